@@ -1,0 +1,17 @@
+"""Size-checked broadcast of small tables."""
+
+from pyspark.sql import DataFrame, functions as F
+
+SMALL_ROWS = 100_000
+
+
+def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` evaluated once and marked for broadcast if it has at most ``max_rows`` rows, else unchanged.
+
+    The check and the later join share one evaluation, and beyond the bound
+    the join shuffles as usual, where adaptive execution splits skewed keys.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
