@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schema import KEYS
+from ..session import stage_table
 from .clean import derive_department
 from .profile import station_validity
 from .series import rank_within_group
@@ -206,7 +207,8 @@ def active_neighbours_daily(df: DataFrame, stations: DataFrame, k: int = 3, pool
     """
     validity = station_validity(df)
     points = stations.select("station_id", F.col(x).alias("x"), F.col(y).alias("y")).distinct()
-    candidates = _with_validity(nearest(points, points, k * pool), validity).drop("rank")
+    # Every step below reads the candidates, so they are searched once and written.
+    candidates = stage_table(_with_validity(nearest(points, points, k * pool), validity).drop("rank"), "candidates")
     own = points.join(validity, "station_id")
 
     inside = (F.col("day") >= F.col("first_day")) & (F.col("day") <= F.col("last_day"))
@@ -216,10 +218,12 @@ def active_neighbours_daily(df: DataFrame, stations: DataFrame, k: int = 3, pool
     following = F.lead("day").over(W.partitionBy("station_id").orderBy("day"))
     segments = turning.select("station_id", F.col("day").alias("seg_start"),
                               F.coalesce(F.date_sub(following, 1), F.col("last_day")).alias("seg_end"))
+    segments = stage_table(segments, "segments")
     active = segments.join(candidates, "station_id").filter(
         (F.col("n_first") <= F.col("seg_start")) & (F.col("n_last") > F.col("seg_start")))
-    ranked = rank_within_group(active, ["station_id", "seg_start", "seg_end"], ["km", "neighbour_id"], k).select(
-        "station_id", "seg_start", "seg_end", "rank", "neighbour_id", "km")
+    ranked = stage_table(
+        rank_within_group(active, ["station_id", "seg_start", "seg_end"], ["km", "neighbour_id"], k).select(
+            "station_id", "seg_start", "seg_end", "rank", "neighbour_id", "km"), "ranked")
     filled = ranked.groupBy("station_id", "seg_start", "seg_end").agg(F.count("*").alias("c")).filter(F.col("c") == k)
 
     days = df.select(*KEYS).distinct()
@@ -228,7 +232,8 @@ def active_neighbours_daily(df: DataFrame, stations: DataFrame, k: int = 3, pool
                         "station_id").filter(in_segment)
 
     short = segments.join(filled, ["station_id", "seg_start", "seg_end"], "left_anti")
-    queries = days.join(short, "station_id").filter(in_segment).select(*KEYS).join(points, "station_id")
+    queries = stage_table(days.join(short, "station_id").filter(in_segment).select(*KEYS).join(points, "station_id"),
+                          "short-days")
     open_days = own.filter(F.col("first_day") < F.col("last_day")).withColumn(
         "day", F.explode(F.expr("sequence(first_day, date_sub(last_day, 1))")))
     searched = nearest(queries, open_days.join(queries.select("day").distinct(), "day", "left_semi"), k, ["day"])

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 ACCURACY = 100_000
 # The sketch errs by one part in ACCURACY of the ranks; four parts leave room for merging sketches.
 MARGIN = 4 / ACCURACY
+# From here on the margin spans two ranks at least; smaller groups are ranked as they are.
+SKETCHED = int(2 / MARGIN)
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] = ()) -> DataFrame:
@@ -25,8 +27,10 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] =
     by, qs = list(by), sorted({float(q) for q in qs})
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     probes = [p for q in qs for p in (max(q - MARGIN, 0.0), min(q + MARGIN, 1.0))]
-    sketch = rows.groupBy(*by).agg(F.percentile_approx("_v", probes, ACCURACY).alias("p")).collect()
-    brackets = [(*[r[c] for c in by], *_merged(r["p"])) for r in sketch if r["p"]]
+    sketch = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.array(F.min("_v"), F.max("_v")).alias("ends"),
+        F.percentile_approx("_v", probes, ACCURACY).alias("p")).collect()
+    brackets = [(*[r[c] for c in by], *_merged(r["p"] if r["n"] >= SKETCHED else r["ends"])) for r in sketch if r["n"]]
 
     keyed, width = _with_brackets(rows, brackets, by)
     lo, hi, v = F.col("_lo"), F.col("_hi"), F.col("_v")
