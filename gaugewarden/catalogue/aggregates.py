@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import clean, labels, neighbours, profile, quantiles
+from ..session import stage_table
 from .base import E_COLS, L_COLS, LONG, query, r6
 
 _FLAGGED = """WITH f AS (SELECT *, CASE WHEN raw_value IS NULL OR value <> raw_value THEN 1 ELSE 0 END AS correction,
@@ -161,7 +162,8 @@ def _(spark, sf_dir):
 
 @query("box_stats_by_rank", _BOX.replace("param", "rank").replace("value", "km").format("near"), "near")
 def _(spark, sf_dir):
-    return profile.box_stats(neighbours.nearest_neighbours(fx.stations(spark, sf_dir)), "km", ["rank"])
+    near = stage_table(neighbours.nearest_neighbours(fx.stations(spark, sf_dir)), "near")
+    return profile.box_stats(near, "km", ["rank"])
 
 
 @query("correlation_matrix", " UNION ALL ".join(

@@ -62,6 +62,10 @@ def l_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.drop_gappy_stations(l_wide(spark, sf_dir), L_PARAMS)
 
 
+def l_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.label_anomalies(l_dense(spark, sf_dir), L_PARAMS)
+
+
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stations that have measurements in E."""
     place = table(spark, sf_dir, "embeddings").select(
@@ -135,6 +139,7 @@ CTES = {
         FROM l_dedup GROUP BY station_id, day""",
     "l_dense": """SELECT * FROM l_wide WHERE station_id NOT IN (
         SELECT station_id FROM l_wide WHERE A IS NULL OR N IS NULL OR R IS NULL)""",
+    "l_label": label_sql("l_dense", L_PARAMS),
     "st": """SELECT vec_id AS station_id, CAST(list_extract(embedding, 1) AS DOUBLE) * 500000 AS Lambert93x,
         CAST(list_extract(embedding, 2) AS DOUBLE) * 500000 AS Lambert93y, label AS region, c_acctbal AS Altitude,
         CASE WHEN label % 3 = 0 THEN 'N' ELSE 'O' END AS in_service
@@ -154,7 +159,7 @@ CTES = {
 }
 NEEDS = {
     "e": [], "e_clean": ["e"], "e_dedup": ["e_clean"], "e_wide": ["e_dedup"], "e_label": ["e_wide"], "l": [],
-    "l_dedup": ["l"], "l_wide": ["l_dedup"], "l_dense": ["l_wide"], "st": [], "pairs": ["st"], "near": ["pairs"],
+    "l_dedup": ["l"], "l_wide": ["l_dedup"], "l_dense": ["l_wide"], "l_label": ["l_dense"], "st": [], "pairs": ["st"], "near": ["pairs"],
     "validity": ["e"], "pt": [], "lab": [], "e_features": ["e_label", "st"],
 }
 

@@ -20,12 +20,17 @@ def wide_measurements(long: DataFrame, params: list[str] = PARAMS, order: list[s
 
 def labelled_measurements(long: DataFrame, stations: DataFrame, params: list[str] = PARAMS,
                           wide_path: str | None = None) -> DataFrame:
+    """From raw measurements to labelled features."""
+    return label_wide(wide_measurements(long, params), stations, params, wide_path)
+
+
+def label_wide(wide: DataFrame, stations: DataFrame, params: list[str], wide_path: str | None = None) -> DataFrame:
     """Complete stations with season, labels and station attributes.
 
     The wide table is written once: the gap check, the deviations and the
     labels each read a few of its columns instead of repeating the pivot.
     """
-    wide = stage_table(wide_measurements(long, params), "wide", wide_path)
+    wide = stage_table(wide, "wide", wide_path)
     complete = clean.drop_gappy_stations(wide, params)
     labelled = labels.label_anomalies(labels.add_season(complete), params)
     return joins.join_station_attrs(labelled, stations, ["Altitude", "Lambert93x", "Lambert93y"])
