@@ -225,10 +225,10 @@ def _(spark, sf_dir):
     return rows.select(*KEYS, raw("click"), "click_difference")
 
 
-@query("correction_box_stats", """WITH e AS (SELECT 'click' AS param, click_difference AS value FROM e_label
+@query("correction_box_stats", """WITH b AS (SELECT click_difference AS value FROM e_label
     WHERE click_anomaly = 1 AND click_difference IS NOT NULL),
-    q AS (SELECT quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75 FROM e),
-    i AS (SELECT *, value >= q25 - 1.5 * (q75 - q25) AND value <= q75 + 1.5 * (q75 - q25) AS inside FROM e, q)
+    q AS (SELECT quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75 FROM b),
+    i AS (SELECT *, value >= q25 - 1.5 * (q75 - q25) AND value <= q75 + 1.5 * (q75 - q25) AS inside FROM b, q)
     SELECT round(max(q25), 6) AS q25, round(max(q50), 6) AS q50, round(max(q75), 6) AS q75,
     round(min(CASE WHEN inside THEN value END), 6) AS whisker_low, round(max(CASE WHEN inside THEN value END), 6) AS whisker_high,
     count(*) - count(CASE WHEN inside THEN 1 END) AS outliers FROM i""", "e_label")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.evaluate import confusion_counts, metrics_from_counts
 from ..operators.scale import standardise
+from ..operators.small import small_table
 from ..session import stage_table
 
 BUCKET_DIMS = 3
@@ -30,6 +31,14 @@ def _square(c: Column) -> Column:
     return c * c
 
 
+def _selective_dims(points: DataFrame, width: int, steps: int) -> list[int]:
+    """The dimensions whose buckets hold the fewest pairs: a value shared by most points selects nothing."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("dim"), F.floor(F.col("cell")[i] / steps).alias("b")) for i in range(width)])
+    counts = points.select(F.inline(pairs)).groupBy("dim", "b").agg(F.count("*").cast("double").alias("c"))
+    mass = counts.groupBy("dim").agg(F.sum(F.col("c") * F.col("c")).alias("m")).orderBy("m", "dim").limit(BUCKET_DIMS)
+    return [r["dim"] for r in mass.collect()]
+
+
 def density_reach(df: DataFrame, cols: list[str], eps: float, enough: int) -> DataFrame:
     """Distinct points of ``cols`` with ``reach``: the largest neighbour count among their neighbours.
 
@@ -44,28 +53,35 @@ def density_reach(df: DataFrame, cols: list[str], eps: float, enough: int) -> Da
 
     points = df.na.drop(subset=cols).groupBy(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, x)]).agg(
         F.count("*").alias("w")).withColumn("cell", F.array(*[F.floor(F.col(n) / side) for n in x]))
+    points = stage_table(points, "density-points")
     cells = points.groupBy("cell").agg(
         F.sum("w").alias("n"), *[F.min(n).alias(f"lo{i}") for i, n in enumerate(x)],
         *[F.max(n).alias(f"hi{i}") for i, n in enumerate(x)])
-    spread = points.agg(*[F.approx_count_distinct(F.col("cell")[i]).alias(n) for i, n in enumerate(x)]).first()
-    leading = sorted(dims, key=lambda i: -spread[i])[:BUCKET_DIMS]
-    bucket = lambda shift: F.array(*[F.floor(F.col("cell")[i] / steps) + s for i, s in zip(leading, shift)])
-    cells = cells.withColumn("bucket", bucket([0] * len(leading)))
-
-    thin = points.join(cells.filter(F.col("n") < enough).select("cell"), "cell", "left_semi")
-    around = F.array(*[bucket(shift) for shift in product((-1, 0, 1), repeat=len(leading))])
+    leading = _selective_dims(points, len(cols), steps)
+    at = lambda shift: F.array(*[F.floor(F.col("cell")[i] / steps) + s for i, s in zip(leading, shift)])
+    cells = small_table(cells.withColumn("bucket", at([0] * len(leading))))
+
+    # The number of partitions is stated, as the few bytes of a point say little about its many pairs.
+    thin = points.join(cells.filter(F.col("n") < enough).select("cell"), "cell", "left_semi").select(*x, "cell").repartition(
+        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    around = F.array(*[at(shift) for shift in product((-1, 0, 1), repeat=len(leading))])
     probes = thin.select(*x, F.explode(around).alias("bucket"))
-    lo, hi = [F.col(f"lo{i}") for i in dims], [F.col(f"hi{i}") for i in dims]
-    at = [F.col(n) for n in x]
-    nearest = _total([_square(F.greatest(lo[i] - at[i], at[i] - hi[i], F.lit(0.0))) for i in dims])
-    farthest = _total([_square(F.greatest(F.abs(at[i] - lo[i]), F.abs(at[i] - hi[i]))) for i in dims])
-    met = probes.join(cells, "bucket").filter(nearest <= eps * eps * (1 + SLACK)).select(
-        *x, "cell", "n", (farthest <= eps * eps * (1 - SLACK)).alias("whole"))
+    gap = [F.greatest(F.col(f"lo{i}") - F.col(x[i]), F.col(x[i]) - F.col(f"hi{i}"), F.lit(0.0)) for i in dims]
+    reach = [F.greatest(F.abs(F.col(x[i]) - F.col(f"lo{i}")), F.abs(F.col(x[i]) - F.col(f"hi{i}"))) for i in dims]
+    # One coordinate too far ends the test of a pair early; the sums come last.
+    touched = reduce(lambda a, b: a & b, [g <= eps * (1 + SLACK) for g in gap])
+    met = probes.join(cells, "bucket").filter(touched).select(
+        *x, "cell", "n", _total([_square(g) for g in gap]).alias("near2"), _total([_square(r) for r in reach]).alias("far2")
+    ).filter(F.col("near2") <= eps * eps * (1 + SLACK)).select(
+        *x, "cell", "n", (F.col("far2") <= eps * eps * (1 - SLACK)).alias("whole"))
+    met = stage_table(met, "density-cells")
 
     there = points.select("cell", *[F.col(n).alias(f"y{i}") for i, n in enumerate(x)], "w")
-    distance = _total([_square(F.col(f"x{i}") - F.col(f"y{i}")) for i in dims])
     y = [f"y{i}" for i in dims]
-    opened = met.filter(~F.col("whole")).join(there, "cell").filter(distance <= eps * eps)
+    apart = [F.col(a) - F.col(b) for a, b in zip(x, y)]
+    close = reduce(lambda a, b: a & b, [F.abs(d) <= eps * (1 + SLACK) for d in apart])
+    opened = met.filter(~F.col("whole")).join(there, "cell").filter(close).filter(
+        _total([_square(d) for d in apart]) <= eps * eps)
     nothing = [F.lit(None).cast("double").alias(n) for n in y]
     links = met.filter("whole").select(*x, "cell", F.col("n").alias("w"), *nothing).unionByName(
         opened.select(*x, "cell", "w", *y))
@@ -80,9 +96,9 @@ def density_reach(df: DataFrame, cols: list[str], eps: float, enough: int) -> Da
     by_cell = links.filter(F.col("y0").isNull()).join(tops, "cell").select(*x, "top")
     partner = known.select(*[F.col(n).alias(m) for n, m in zip(x, y)], F.col("count").alias("top"))
     by_point = links.filter(F.col("y0").isNotNull()).join(partner, y).select(*x, "top")
-    reach = by_cell.unionByName(by_point).groupBy(*x).agg(F.max("top").alias("reach")).unionByName(
+    found = by_cell.unionByName(by_point).groupBy(*x).agg(F.max("top").alias("reach")).unionByName(
         thick.select(*x, F.col("n").alias("reach")))
-    return reach.select(*[F.col(n).alias(c) for n, c in zip(x, cols)], "reach")
+    return found.select(*[F.col(n).alias(c) for n, c in zip(x, cols)], "reach")
 
 
 def density_noise(df: DataFrame, cols: list[str], eps: float, min_samples: int, name: str = "noise") -> DataFrame:

@@ -73,7 +73,7 @@ def reconstruction_residual(train: DataFrame, df: DataFrame, params: list[str],
 def flat_windows(windows: DataFrame, cols: list[str], label: str) -> DataFrame:
     """Windows as one feature vector and a label, without those that hold a null."""
     values = F.flatten(F.transform("inputs", lambda r: F.array(*[r[c] for c in cols])))
-    flat = windows.select("station_id", "last_day", values.alias("_v"), F.element_at("labels", -1)[label].alias("label"))
+    flat = windows.select("station_id", "last_day", values.alias("_v"), F.try_element_at("labels", F.lit(-1))[label].alias("label"))
     complete = flat.filter(F.col("label").isNotNull() & ~F.exists("_v", lambda v: v.isNull()))
     return complete.select("station_id", "last_day", array_to_vector("_v").alias("features"), "label")
 
