@@ -7,6 +7,7 @@ from ..functions import flag
 from ..operators import clean, evaluate, labels, profile, scale
 from ..plans import flows
 from ..schema import KEYS, raw
+from ..session import stage_table
 from .base import L_COLS, L_WIDE, query, r6
 
 _COUNTS = """CAST(sum(CASE WHEN {r} = 1 AND {p} = 1 THEN 1 ELSE 0 END) AS BIGINT) AS "TP",
@@ -72,7 +73,8 @@ _SWEEP = [round(1 - 0.005 * i, 3) for i in range(21)]
     + f""" THEN 1 ELSE 0 END AS pred FROM l_label CROSS JOIN q WHERE year(day) > 1998),
     c AS (SELECT q, {COUNTS} FROM s GROUP BY q) SELECT q, {METRICS} FROM c""", "l_label")
 def _(spark, sf_dir):
-    rows = fx.l_label(spark, sf_dir).withColumns({f"{p}_residual": F.abs(f"{p}_difference") for p in fx.L_PARAMS})
+    rows = stage_table(fx.l_label(spark, sf_dir), "labelled").withColumns(
+        {f"{p}_residual": F.abs(f"{p}_difference") for p in fx.L_PARAMS})
     early = F.year("day") <= 1998
     return evaluate.quantile_threshold_sweep(rows.filter(early), rows.filter(~early), fx.L_PARAMS, _SWEEP)
 

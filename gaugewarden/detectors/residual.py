@@ -11,6 +11,7 @@ from ..operators.evaluate import any_param
 from ..operators.quantiles import exact_quantiles, quantiles_exact
 from ..operators.scale import minmax_apply, minmax_inverse, minmax_stats, zscore_train_stats
 from ..operators.series import input_label_windows
+from ..session import stage_table
 
 
 def fit_each_from_rest(train: DataFrame, params: list[str], meta: list[str]) -> dict[str, dict[str, float]]:
@@ -79,8 +80,11 @@ def flat_windows(windows: DataFrame, cols: list[str], label: str) -> DataFrame:
 
 
 def linear_forecast(windows: DataFrame, cols: list[str], label: str) -> tuple[LinearRegressionModel, DataFrame]:
-    """Least-squares model of the last label from the inputs, and its predictions on the windows."""
-    flat = flat_windows(windows, cols, label)
+    """Least-squares model of the last label from the inputs, and its predictions on the windows.
+
+    Fitting and scoring read the windows several times, so they are written once.
+    """
+    flat = stage_table(flat_windows(windows, cols, label), "windows")
     model = LinearRegression(solver="normal", regParam=0.0).fit(flat)
     return model, model.transform(flat).withColumnRenamed("prediction", "pred")
 

@@ -124,18 +124,18 @@ def _all_bins(df: DataFrame, counts: DataFrame, bins: int) -> DataFrame:
 def box_stats(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:
     """Quartiles, whiskers at 1.5 interquartile ranges and outlier count per group."""
     by = list(by)
-    key = by or ["_all"]
-    rows = df if by else df.withColumn("_all", F.lit(0))
-    rows = rows.select(*key, F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    quartiles = _quartile_columns(exact_quantiles(rows, "v", [0.25, 0.5, 0.75], key), key)
-    boxed = rows.join(small_table(quartiles), key)
+    rows = df.select(*by, F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    quartiles = _quartile_columns(exact_quantiles(rows, "v", [0.25, 0.5, 0.75], by), by)
+    if by:
+        boxed = rows.join(small_table(quartiles), by)
+    else:
+        boxed = rows.withColumn("_q", quartiles.select(F.struct("q25", "q50", "q75")).scalar()).select("v", "_q.*")
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = (F.col("v") >= F.col("q25") - reach) & (F.col("v") <= F.col("q75") + reach)
-    stats = boxed.groupBy(*key).agg(
+    return boxed.groupBy(*by).agg(
         F.max("q25").alias("q25"), F.max("q50").alias("q50"), F.max("q75").alias("q75"),
         F.min(F.when(inside, F.col("v"))).alias("whisker_low"), F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
         F.sum((~inside).cast("int")).alias("outliers"))
-    return stats if by else stats.drop("_all")
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
