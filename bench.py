@@ -17,7 +17,7 @@ from gaugewarden.session import local_session  # noqa: E402
 
 HEADLINE = [
     "daily_anomaly_rate", "label_anomalies", "dedup_and_pivot", "labelled_measurements", "pivot_long_to_wide",
-    "corrections_by_month_param", "describe_table", "quantiles_by_param", "box_stats", "correlation_matrix",
+    "corrections_by_period_param", "describe_table", "quantiles_by_param", "box_stats", "correlation_matrix",
     "normalise_by_max_abs", "lag_features", "series_breaks", "sequence_windows", "input_label_windows", "split_by_position",
     "nearest_neighbours", "neighbour_lag_features", "active_neighbours_daily", "standardise", "minmax_scale",
     "balanced_sample", "quantile_threshold_sweep", "density_noise_grid", "density_noise_features", "isolation_forest",

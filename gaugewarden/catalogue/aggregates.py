@@ -15,8 +15,8 @@ def _flagged(spark, sf_dir):
     return labels.correction_flag(fx.e_clean(spark, sf_dir))
 
 
-for _unit in ("year", "month"):
-    @query(f"corrections_by_{_unit}_param", _FLAGGED + f"""SELECT CAST({_unit}(day) AS INTEGER) AS {_unit}, param,
+for _unit, _suffix in (("year", ""), ("month", "_by_month")):
+    @query(f"corrections_by_period_param{_suffix}", _FLAGGED + f"""SELECT CAST({_unit}(day) AS INTEGER) AS {_unit}, param,
         CAST(sum(correction) AS BIGINT) AS corrections,
         CAST(sum(CASE WHEN raw_value IS NULL THEN correction END) AS BIGINT) AS corrections_raw_unknown,
         CAST(sum(CASE WHEN raw_value IS NOT NULL THEN correction END) AS BIGINT) AS corrections_raw_known
@@ -24,12 +24,12 @@ for _unit in ("year", "month"):
     def _(spark, sf_dir, unit=_unit):
         return profile.corrections_by_period_param(_flagged(spark, sf_dir), unit)
 
-    @query(f"mean_by_{_unit}_param", f"""SELECT CAST({_unit}(day) AS INTEGER) AS {_unit}, param,
+    @query(f"mean_by_period_param{_suffix}", f"""SELECT CAST({_unit}(day) AS INTEGER) AS {_unit}, param,
         round(avg(value), 6) AS mean_value FROM l GROUP BY 1, 2""", "l")
     def _(spark, sf_dir, unit=_unit):
         return profile.mean_by_period_param(fx.l_long(spark, sf_dir), unit)
 
-    @query(f"relative_correction_by_{_unit}", _FLAGGED + f"""SELECT CAST({_unit}(day) AS INTEGER) AS {_unit}, param,
+    @query(f"relative_correction{_suffix}", _FLAGGED + f"""SELECT CAST({_unit}(day) AS INTEGER) AS {_unit}, param,
         {r6('avg(difference) AS mean_difference', 'avg(raw_value) AS mean_raw',
             'avg(difference) / avg(raw_value) AS relative_corr')} FROM f WHERE correction = 1 GROUP BY 1, 2""", "e_clean")
     def _(spark, sf_dir, unit=_unit):

@@ -146,7 +146,7 @@ def _(spark, sf_dir):
     return clean.attach_columns(fx.e_wide(spark, sf_dir).select("station_id", "day", "click"), flags)
 
 
-@query("semi_membership", """SELECT vec_id AS station_id, label FROM embeddings
+@query("semi_anti_membership", """SELECT vec_id AS station_id, label FROM embeddings
     WHERE vec_id IN (SELECT user_id FROM events)""")
 def _(spark, sf_dir):
     every = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("station_id"), "label")

@@ -10,7 +10,6 @@ their reach are opened.
 
 import math
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,11 +31,36 @@ def _square(c: Column) -> Column:
 
 
 def _selective_dims(points: DataFrame, width: int, steps: int) -> list[int]:
-    """The dimensions whose buckets hold the fewest pairs: a value shared by most points selects nothing."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("dim"), F.floor(F.col("cell")[i] / steps).alias("b")) for i in range(width)])
-    counts = points.select(F.inline(pairs)).groupBy("dim", "b").agg(F.count("*").cast("double").alias("c"))
-    mass = counts.groupBy("dim").agg(F.sum(F.col("c") * F.col("c")).alias("m")).orderBy("m", "dim").limit(BUCKET_DIMS)
-    return [r["dim"] for r in mass.collect()]
+    """Dimensions whose joint buckets hold the fewest pairs, chosen one after the other.
+
+    A value shared by most points, or a dimension that follows from chosen ones, selects nothing.
+    """
+    place = lambda i: F.floor(F.col("cell")[i] / steps)
+    chosen = []
+    while len(chosen) < min(BUCKET_DIMS, width):
+        options = F.array(*[F.struct(F.lit(i).alias("dim"), place(i).alias("b")) for i in range(width) if i not in chosen])
+        keys = [place(i).alias(f"k{i}") for i in chosen]
+        counts = points.select(*keys, F.inline(options)).groupBy(*[f"k{i}" for i in chosen], "dim", "b").agg(
+            F.count("*").cast("double").alias("c"))
+        pairs = counts.groupBy("dim").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
+        best = pairs.orderBy("pairs", "dim").first()
+        if best is None:
+            break
+        chosen.append(best["dim"])
+    return chosen or [0]
+
+
+def _reachable_buckets(points: DataFrame, x: list[str], leading: list[int], width: float, eps: float) -> DataFrame:
+    """Each point once per bucket that holds any place within ``eps`` of it."""
+    out = points.withColumn("_far", F.lit(0.0))
+    for i in leading:
+        low, high = F.floor((F.col(x[i]) - eps) / width) - 1, F.floor((F.col(x[i]) + eps) / width) + 1
+        edge = F.col(f"_b{i}") * width
+        gap = F.greatest(edge - F.col(x[i]), F.col(x[i]) - edge - width, F.lit(0.0))
+        out = out.withColumn(f"_b{i}", F.explode(F.sequence(low, high))).withColumn("_far", F.col("_far") + _square(gap))
+        # The slack also covers rounding of bucket edges.
+        out = out.filter(F.col("_far") <= eps * eps * (1 + 1e-6))
+    return out.select(*x, F.array(*[F.col(f"_b{i}") for i in leading]).alias("bucket"))
 
 
 def density_reach(df: DataFrame, cols: list[str], eps: float, enough: int) -> DataFrame:
@@ -48,28 +72,31 @@ def density_reach(df: DataFrame, cols: list[str], eps: float, enough: int) -> Da
     """
     dims = range(len(cols))
     side = eps / math.sqrt(len(cols)) * (1 - SLACK)
-    steps = math.ceil(eps / side)
+    # Buckets are about half of eps wide, a whole number of cells.
+    steps = math.ceil(eps / side / 2)
     x = [f"x{i}" for i in dims]
+    margin = eps * (1 + SLACK)
 
     points = df.na.drop(subset=cols).groupBy(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, x)]).agg(
         F.count("*").alias("w")).withColumn("cell", F.array(*[F.floor(F.col(n) / side) for n in x]))
     points = stage_table(points, "density-points")
     cells = points.groupBy("cell").agg(
-        F.sum("w").alias("n"), *[F.min(n).alias(f"lo{i}") for i, n in enumerate(x)],
-        *[F.max(n).alias(f"hi{i}") for i, n in enumerate(x)])
+        F.sum("w").alias("n"), *[(F.min(n) - margin).alias(f"from{i}") for i, n in enumerate(x)],
+        *[(F.max(n) + margin).alias(f"to{i}") for i, n in enumerate(x)])
     leading = _selective_dims(points, len(cols), steps)
-    at = lambda shift: F.array(*[F.floor(F.col("cell")[i] / steps) + s for i, s in zip(leading, shift)])
-    cells = small_table(cells.withColumn("bucket", at([0] * len(leading))))
+    bucket = F.array(*[F.floor(F.col("cell")[i] / steps) for i in leading])
+    cells = small_table(cells.withColumn("bucket", bucket))
 
     # The number of partitions is stated, as the few bytes of a point say little about its many pairs.
     thin = points.join(cells.filter(F.col("n") < enough).select("cell"), "cell", "left_semi").select(*x, "cell").repartition(
         int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    around = F.array(*[at(shift) for shift in product((-1, 0, 1), repeat=len(leading))])
-    probes = thin.select(*x, F.explode(around).alias("bucket"))
-    gap = [F.greatest(F.col(f"lo{i}") - F.col(x[i]), F.col(x[i]) - F.col(f"hi{i}"), F.lit(0.0)) for i in dims]
-    reach = [F.greatest(F.abs(F.col(x[i]) - F.col(f"lo{i}")), F.abs(F.col(x[i]) - F.col(f"hi{i}"))) for i in dims]
-    # One coordinate too far ends the test of a pair early; the sums come last.
-    touched = reduce(lambda a, b: a & b, [g <= eps * (1 + SLACK) for g in gap])
+    probes = _reachable_buckets(thin, x, leading, steps * side, eps)
+    # Comparing with a widened box keeps the test of a pair short; most pairs end there. The sums come last.
+    touched = reduce(lambda a, b: a & b, [F.col(x[i]).between(F.col(f"from{i}"), F.col(f"to{i}")) for i in dims])
+    lo = [F.col(f"from{i}") + margin for i in dims]
+    hi = [F.col(f"to{i}") - margin for i in dims]
+    gap = [F.greatest(lo[i] - F.col(x[i]), F.col(x[i]) - hi[i], F.lit(0.0)) for i in dims]
+    reach = [F.greatest(F.abs(F.col(x[i]) - lo[i]), F.abs(F.col(x[i]) - hi[i])) for i in dims]
     met = probes.join(cells, "bucket").filter(touched).select(
         *x, "cell", "n", _total([_square(g) for g in gap]).alias("near2"), _total([_square(r) for r in reach]).alias("far2")
     ).filter(F.col("near2") <= eps * eps * (1 + SLACK)).select(
