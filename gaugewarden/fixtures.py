@@ -8,7 +8,6 @@ D: the two leading embedding coordinates as points, ``labels`` as truth and pred
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import seasonal
 from .operators import clean, labels
 from .schema import raw
 

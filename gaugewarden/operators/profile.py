@@ -1,11 +1,13 @@
 """Aggregates, profiles and top rows."""
 
-from itertools import combinations_with_replacement
 from functools import reduce
+from itertools import combinations_with_replacement
+import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import flag, safe_ratio
+from ..functions import flag
 from ..schema import raw
 from .small import small_table
 from .quantiles import exact_quantiles, quantiles_exact
@@ -153,6 +155,22 @@ def pearson_test(df: DataFrame, a: str, b: str) -> DataFrame:
     return one.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r"))))
 
 
+def pearson_p_value(r: float, n: int) -> float:
+    """Two-sided probability of a coefficient at least this large without correlation."""
+    degrees = n - 2
+    if degrees <= 0:
+        return 1.0
+    if abs(r) >= 1:
+        return 0.0
+    if degrees > 10_000:
+        return math.erfc(abs(r) * math.sqrt(degrees / (1 - r * r)) / math.sqrt(2))
+    # With t = sqrt(degrees) * tan(angle) the density of Student's t is a power of the cosine.
+    angle = np.linspace(0, math.pi / 2, 200_001)
+    density = np.cos(angle) ** (degrees - 1)
+    tail = np.linspace(math.asin(abs(r)), math.pi / 2, 200_001)
+    return float(np.trapezoid(np.cos(tail) ** (degrees - 1), tail) / np.trapezoid(density, angle))
+
+
 def normalise_by_max_abs(df: DataFrame, col: str, by: str) -> DataFrame:
     """Value over the largest absolute value of its group.
 
@@ -204,9 +222,3 @@ def threshold_histogram(df: DataFrame, param: str) -> DataFrame:
     diff = F.abs(F.col(raw(param)) - F.col(param))
     corrected = df.filter(diff != 0).select(diff.alias("d"), std.alias("std"))
     return histogram_by_edges(corrected, F.col("d"), [F.col("std") * (i * 0.1) for i in range(11)])
-
-
-def share_of_total(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Counts as shares of their row total."""
-    total = reduce(lambda a, b: a + b, [F.col(c) for c in cols])
-    return df.withColumns({f"{c}_share": safe_ratio(F.col(c), total) for c in cols})

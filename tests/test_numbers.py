@@ -119,6 +119,14 @@ def test_correlation_ignores_incomplete_pairs(spark):
         ("a", "a"): 1.0, ("a", "b"): 1.0, ("b", "b"): 1.0}
 
 
+def test_p_values():
+    """With two degrees of freedom the probability is one minus the coefficient; large samples are normal."""
+    assert profile.pearson_p_value(0.3, 4) == pytest.approx(0.7, abs=1e-6)
+    assert profile.pearson_p_value(0.5, 10) == pytest.approx(0.14111, abs=1e-4)
+    assert profile.pearson_p_value(0.02, 10_000) == pytest.approx(profile.pearson_p_value(0.02, 10_005), rel=0.01)
+    assert profile.pearson_p_value(1.0, 9) == 0.0 and profile.pearson_p_value(0.9, 2) == 1.0
+
+
 def test_extremes_over_missed_and_false_anomalies(spark):
     df = spark.createDataFrame([(1, 0, 5.0, 4.0, -2.0), (0, 1, 9.0, 2.0, 0.5), (1, 1, 1.0, 99.0, 50.0)],
                                "anomaly int, anomaly_pred int, TN double, TN_pred double, TN_difference double")
