@@ -8,6 +8,7 @@ query warms up the session and is not counted.
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,6 +31,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, 8, os.environ.get("BENCH_MEMORY", "16g"))
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     QUERIES["daily_anomaly_rate"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}

@@ -1,7 +1,5 @@
 """Session settings and the shared scratch folder."""
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +23,19 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local master falls back to a temporary folder: on a cluster a
-    machine-local folder would be lost with its machine.
+    Where that is unset, the warehouse folder is used, which driver and
+    executors share as well; nothing goes to a machine's own temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="gaugewarden-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stage_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
