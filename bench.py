@@ -29,10 +29,8 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, 8, os.environ.get("BENCH_MEMORY", "16g"))
+    spark = local_session(cpus, 8, os.environ.get("BENCH_MEMORY", "16g"), tempfile.mkdtemp(prefix="bench-"))
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     QUERIES["daily_anomaly_rate"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}

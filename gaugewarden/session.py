@@ -5,9 +5,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and benchmarks; clusters bring their own."""
-    return (
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A local session for tests and benchmarks; clusters bring their own. ``shared``: folder for scratch tables."""
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("gaugewarden")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -16,8 +16,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
