@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .words import ChunkCache, load, pretokens, text_blocks
+from .words import CACHE_ENTRIES, LONG_CHUNK, ChunkCache, Recent, load, pretokens, text_blocks
 
 #: Pre-tokens merged together in one set of arrays.
 BATCH = 50_000
@@ -86,19 +86,18 @@ class Counter:
     def __init__(self, path: str):
         self.tokenizer, self.table = load(path), MergeTable(path)
         self.cache = ChunkCache(self._work_out, 0)
-        self.known: dict[str, int] = {}
+        self.known = Recent(CACHE_ENTRIES // 2)
 
     def _work_out(self, fresh: list[str]) -> list[int]:
-        if len(self.known) > 400_000:
-            self.known = {}
+        self.known.turn()
         parts = [pretokens(c, self.tokenizer) for c in fresh]
-        found = self.known
-        new = list({p: None for ps in parts for p in ps if p is not None and p not in found})
+        known = self.known
+        new = list({p: None for ps in parts for p in ps if p is not None and known[p] is None})
+        found: dict[str, int] = {}
         for i in range(0, len(new), BATCH):
             found.update(zip(new[i:i + BATCH], self.table.surviving(new[i:i + BATCH]).tolist(), strict=True))
-        values = [sum(1 if p is None else found[p] for p in ps) for ps in parts]
-        for p in [p for p in new if len(p) > 64]:
-            del found[p]
+        values = [sum([1 if p is None else found[p] if p in found else known[p] for p in ps]) for ps in parts]
+        known.update((p, n) for p, n in found.items() if len(p) <= LONG_CHUNK)
         return values
 
     def count(self, texts: list[str]) -> list[int]:

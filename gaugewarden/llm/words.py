@@ -6,10 +6,11 @@ chunks of a corpus repeat, so each worker works out a chunk once.
 """
 
 import re
+import sys
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
-
-import numpy as np
+from operator import itemgetter
 
 # Fixed values of the tokenizer file: its special strings and, for characters below U+0130, its pattern of pre-tokens.
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
@@ -26,10 +27,35 @@ LONG_CHUNK = 64
 
 
 def chunks(text: str) -> list[str]:
-    """Pieces between spaces and newlines; other white space stays inside, where the tokenizer handles it."""
+    """Pieces between spaces and newlines; other white space stays inside, where the tokenizer handles it.
+
+    Where a text has neither special strings nor characters beyond the plain
+    ones, it is lower-cased at once, as the tokenizer would, and fewer chunks differ.
+    """
+    if "<|" not in text and (text.isascii() or not BEYOND.search(text)):
+        text = text.lower()
     return text.replace("\n", " ").split(" ")
 
 
+class Recent(dict):
+    """A dictionary of bounded size: when full it becomes the old one, and entries that are asked for again move over."""
+
+    def __init__(self, entries: int):
+        super().__init__()
+        self.entries, self.old = entries, {}
+
+    def turn(self) -> None:
+        if len(self) > self.entries:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self[key] = value
+        return value
+
+
 @lru_cache(maxsize=2)
 def load(path: str):
     """The tokenizer of a file, once per worker."""
@@ -44,34 +70,30 @@ def load(path: str):
 class ChunkCache:
     """Values of chunks. ``work_out`` gets the distinct unknown chunks of a batch and returns their values.
 
-    Frequent chunks come early, so a full cache is emptied and fills itself
-    again; chunks over ``LONG_CHUNK`` characters are not kept.
+    Chunks over ``LONG_CHUNK`` characters are not kept.
     """
 
     def __init__(self, work_out: Callable[[list[str]], list], empty):
-        self.work_out, self.known = work_out, {"": empty}
-        self.empty = empty
+        self.work_out, self.empty = work_out, empty
+        self.known = Recent(CACHE_ENTRIES)
 
     def of_texts(self, texts: list[str]) -> list[list]:
         """For each text the values of its chunks, in order."""
-        if len(self.known) > CACHE_ENTRIES:
-            self.known = {"": self.empty}
-        out: list[list] = []
-        lists = [chunks(t) for t in texts]
-        get = self.known.get
-        new: dict[str, None] = {}
+        self.known.turn()
+        self.known[""] = self.empty
+        get, recall = self.known.get, self.known.__missing__
+        lists, out, new = [chunks(t) for t in texts], [], {}
         for words in lists:
             values = list(map(get, words))
             if None in values:
-                new.update(dict.fromkeys(w for w, v in zip(words, values, strict=True) if v is None))
+                new.update((w, None) for w, v in zip(words, values) if v is None and recall(w) is None)
             out.append(values)
-        if new:
-            fresh = list(new)
-            found = dict(zip(fresh, self.work_out(fresh), strict=True))
-            for i, words in enumerate(lists):
-                if None in out[i]:
-                    out[i] = [found[w] if v is None else v for w, v in zip(words, out[i], strict=True)]
-            self.known.update((w, v) for w, v in found.items() if len(w) <= LONG_CHUNK)
+        fresh = list(new)
+        found = dict(zip(fresh, self.work_out(fresh), strict=True)) if fresh else {}
+        for i, words in enumerate(lists):
+            if None in out[i]:
+                out[i] = [(found[w] if w in found else get(w)) if v is None else v for w, v in zip(words, out[i])]
+        self.known.update((w, v) for w, v in found.items() if len(w) <= LONG_CHUNK)
         return out
 
 
@@ -91,6 +113,7 @@ def text_blocks(texts, max_chars: int = 2_000_000):
 def pretokens(chunk: str, tokenizer) -> list[str | None]:
     """Pre-tokens of a chunk in the tokenizer's byte letters; None stands for a special string."""
     if "<|" in chunk and SPECIAL.search(chunk):
+        # special strings split a text before it is normalised
         out: list[str | None] = []
         at = 0
         for m in SPECIAL.finditer(chunk):
@@ -98,12 +121,16 @@ def pretokens(chunk: str, tokenizer) -> list[str | None]:
             at = m.end()
         return out + pretokens(chunk[at:], tokenizer)
     if chunk.isascii():
-        return [p for p in PRETOKEN.findall(chunk.lower()) if p.isprintable()] if chunk.isprintable() else _by_library(chunk, tokenizer)
+        low = chunk.lower()
+        if low.isalpha():
+            return [low]
+        if low[:-1].isalpha():  # a word and one sign or digit
+            return [low[:-1], low[-1]] if low[-1].isprintable() else _by_library(chunk, tokenizer)
+        return PRETOKEN.findall(low) if low.isprintable() else _by_library(chunk, tokenizer)
     if BEYOND.search(chunk):
         return _by_library(chunk, tokenizer)
-    found = PRETOKEN.findall(chunk.lower())
     letters = byte_letters()
-    return [p if p.isascii() and p.isprintable() else "".join(letters[b] for b in p.encode()) for p in found]
+    return [p if p.isascii() and p.isprintable() else "".join([letters[b] for b in p.encode()]) for p in PRETOKEN.findall(chunk.lower())]
 
 
 def _by_library(chunk: str, tokenizer) -> list[str | None]:
@@ -122,34 +149,45 @@ def byte_letters() -> list[str]:
 class LibraryEncoder:
     """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit bytes."""
 
+    if sys.byteorder != "little":
+        raise ImportError("ids are written in the byte order of the machine, which must be little-endian")
+
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
-        self.special = {s: np.uint32(self.tokenizer.token_to_id(s)).tobytes() for s in SPECIALS}
-        self.words: dict[str, bytes] = {}
-        self.cache = ChunkCache(self._work_out, b"")
+        self.words, self.chunks = Recent(CACHE_ENTRIES // 2), _Chunks(self, CACHE_ENTRIES)
 
-    def _word(self, p: str) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize(p)], "<u4").tobytes()
+    def word(self, p: str) -> bytes:
+        ids = array("I", [t.id for t in self.model.tokenize(p)]).tobytes()
         if len(p) <= LONG_CHUNK:
             self.words[p] = ids
         return ids
 
-    def _work_out(self, fresh: list[str]) -> list[bytes]:
-        if len(self.words) > CACHE_ENTRIES:
-            self.words = {}
-        out = []
-        for chunk in fresh:
-            if "<|" in chunk or BEYOND.search(chunk):
-                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-                out.append(np.array(ids, "<u4").tobytes())
-            else:
-                known = self.words
-                out.append(b"".join([known[p] if p in known else self._word(p) for p in pretokens(chunk, self.tokenizer)]))
-        return out
+    def chunk(self, chunk: str) -> bytes:
+        if "<|" in chunk or not (chunk.isascii() or not BEYOND.search(chunk)):
+            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        known = self.words
+        return b"".join([known[p] or self.word(p) for p in pretokens(chunk, self.tokenizer)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(values) for values in self.cache.of_texts(texts)]
+        self.words.turn()
+        self.chunks.turn()
+        # one call looks up all chunks of a text and works out the unknown ones on the way
+        return [b"".join(itemgetter(*chunks(t), "")(self.chunks)) for t in texts]
+
+
+class _Chunks(Recent):
+    def __init__(self, encoder: LibraryEncoder, entries: int):
+        super().__init__(entries)
+        self.encoder = encoder
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.encoder.chunk(chunk)
+        if len(chunk) <= LONG_CHUNK:
+            self[chunk] = ids
+        return ids
 
 
 @lru_cache(maxsize=2)
