@@ -61,9 +61,56 @@ def _(spark, sf_dir):
     return density.density_noise(z, fx.FEATURES, 1.5, 10).select(*KEYS, "noise")
 
 
-@query("train_and_check_density")
+_TRAIN_EPS, _TRAIN_MIN = [0.5, 0.45, 0.4], [50, 25, 15]
+# The trained density detector: all candidates, the best of them, and its verdict on every row, unknown values included.
+_TRAINED = ("zk AS MATERIALIZED (SELECT * EXCLUDE (" + ", ".join(fx.FEATURES) + "), " + ", ".join(
+    f"{_MEAN(c, 'e_known')} AS {c}" for c in fx.FEATURES) + " FROM e_known), z AS (SELECT * FROM zk), "
+    + ", ".join(_near_sql(["station_id", "day"], fx.FEATURES, e, f"t{i}") for i, e in enumerate(_TRAIN_EPS))
+    + ", g AS MATERIALIZED (" + " UNION ALL ".join(
+        f"SELECT zk.*, {e} AS eps, {m} AS min_samples, CASE WHEN anomaly > 1 THEN 1 ELSE 0 END AS real, "
+        f"CASE WHEN coalesce(reach, 0) < {m} THEN 1 ELSE 0 END AS pred FROM zk LEFT JOIN t{i}_r USING (station_id, day)"
+        for i, e in enumerate(_TRAIN_EPS) for m in _TRAIN_MIN)
+    + f"), gc AS (SELECT eps, min_samples, {COUNTS} FROM g GROUP BY 1, 2), best AS (SELECT eps, min_samples FROM "
+      "(SELECT *, TP / nullif(TP + FN, 0) AS rec, (TP + TN) / (TP + TN + FP + FN) AS acc FROM gc) WHERE rec > 0 AND acc > 0.7 "
+      "ORDER BY rec DESC, acc DESC LIMIT 1), verdict AS MATERIALIZED (SELECT zk.*, coalesce(f.pred, 0) AS hit FROM zk LEFT JOIN "
+      "(SELECT station_id, day, pred FROM g JOIN best USING (eps, min_samples)) f USING (station_id, day))")
+
+
+def _trained_density(spark, sf_dir):
+    rows = stage_table(fx.e_features_known(spark, sf_dir), "features")
+    return stage_table(flows.train("dbscan", rows, fx.E_PARAMS), "trained")
+
+
+@query("train_and_check_density", f"WITH {_TRAINED}, c AS (" + " UNION ALL ".join(
+    f"SELECT '{p}' AS param, {COUNTS} FROM (SELECT {p}_anomaly AS real, hit AS pred FROM verdict)" for p in fx.E_PARAMS)
+    + f") SELECT param, {METRICS} FROM c", "e_known")
+def _(spark, sf_dir):
+    return flows.check(_trained_density(spark, sf_dir))
+
+
+@query("check_global", f"WITH {_TRAINED}, c AS (SELECT {COUNTS} FROM (SELECT CASE WHEN anomaly > 0 THEN 1 ELSE 0 END AS real, "
+       f"hit AS pred FROM verdict)) SELECT {METRICS} FROM c", "e_known")
+def _(spark, sf_dir):
+    return flows.check_global(_trained_density(spark, sf_dir))
+
+
+@query("density_noise_unknown", f"WITH {_TRAINED} SELECT station_id, day, CASE WHEN coalesce(reach, 0) < 15 THEN 1 ELSE 0 END AS noise "
+       "FROM zk LEFT JOIN t0_r USING (station_id, day)", "e_known")
 def _(spark, sf_dir):
-    return flows.check(flows.train("dbscan", stage_table(fx.e_features(spark, sf_dir), "features"), fx.E_PARAMS))
+    z = scale.standardise(fx.e_features_known(spark, sf_dir).select(*KEYS, *fx.FEATURES), fx.FEATURES)
+    return density.density_noise(stage_table(z, "standardised"), fx.FEATURES, 0.5, 15).select(*KEYS, "noise")
+
+
+@query("density_grid_features", f"WITH {_Z10}, " + ", ".join(
+    _near_sql(["station_id", "day"], fx.FEATURES, e, f"p{i}") for i, e in enumerate([1.5, 1.0])) + ", g AS (" + " UNION ALL ".join(
+    f"SELECT CAST({e} AS DOUBLE) AS eps, {m} AS min_samples, CASE WHEN anomaly > 1 THEN 1 ELSE 0 END AS real, "
+    f"CASE WHEN reach < {m} THEN 1 ELSE 0 END AS pred FROM p{i}_r JOIN z USING (station_id, day)"
+    for i, e in enumerate([1.5, 1.0]) for m in (15, 5)) + f"), c AS (SELECT eps, min_samples, {COUNTS} FROM g GROUP BY 1, 2) "
+    f"SELECT eps, min_samples, {METRICS} FROM c", "e_features")
+def _(spark, sf_dir):
+    z = scale.standardise(fx.e_features(spark, sf_dir).select(*KEYS, (F.col("anomaly") > 1).cast("int").alias("real"), *fx.FEATURES),
+                          fx.FEATURES)
+    return density.density_noise_grid(stage_table(z, "standardised"), fx.FEATURES, "real", [1.5, 1.0], [15, 5])
 
 
 @query("train_and_check_forest")
@@ -90,7 +137,8 @@ def _(spark, sf_dir):
 @query("isolation_forest_grid")
 def _(spark, sf_dir):
     rows = stage_table(fx.e_features(spark, sf_dir), "features")
-    grid = {"trees": [25, 50], "contamination": [0.14, 0.3], "max_samples": [0.2, 0.05], "max_features": [8, 4]}
+    grid = {"trees": [25, 50, 75, 100, 200], "contamination": isoforest.contaminations(rows, "anomaly") or [0.14],
+            "max_samples": [0.5, 0.2, 0.05], "max_features": [8, 6, 4, 1]}
     return isoforest.isolation_forest_grid(rows, fx.FEATURES, "anomaly", grid)
 
 
@@ -101,7 +149,7 @@ def _(spark, sf_dir):
 
 @query("choose_k")
 def _(spark, sf_dir):
-    return cluster.choose_k(stage_table(fx.stations(spark, sf_dir), "stations"), range(2, 9))
+    return cluster.choose_k(stage_table(fx.stations(spark, sf_dir), "stations"))
 
 
 @query("pca_variance")
@@ -143,13 +191,23 @@ def _(spark, sf_dir):
     return residual.linear_forecast(windows, ["A"], "A")[1].drop("features")
 
 
+_DENSE = ["A", "R", "A_origine", "R_origine"]
+
+
+@query("linear_forecast_wide")
+def _(spark, sf_dir):
+    windows = series.input_label_windows(fx.l_dense(spark, sf_dir), _DENSE, 4, 1, 1, ["A"])
+    return residual.linear_forecast(windows, _DENSE, "A")[1].drop("features")
+
+
 def _spatial(spark, sf_dir):
     wide = stage_table(fx.e_features(spark, sf_dir).select(*KEYS, "day_sin", "day_cos", *fx.E_PARAMS), "own")
     active = neighbours.active_neighbours_daily(wide, fx.stations(spark, sf_dir))
     rows = stage_table(neighbours.attach_active_neighbours(wide, active, fx.E_FORECAST), "with-neighbours")
     cols = [c for c in rows.columns if c not in KEYS]
-    early = F.col("day") <= "2024-01-20"
-    return residual.spatial_forecast_residual(rows.filter(early), rows.filter(~early), cols, "view", input_width=2)
+    # a month holds no two stretches of ten days, so other stations and not later days are forecast
+    seen = F.col("station_id") % 3 != 0
+    return residual.spatial_forecast_residual(rows.filter(seen), rows.filter(~seen), cols, "view")
 
 
 @query("spatial_forecast_residual")

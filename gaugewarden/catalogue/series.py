@@ -38,16 +38,16 @@ def _sequence_sql(cols, n, extra=""):
             f"lag(day, {n}) {_W} AS back FROM e_wide) WHERE pos > {n}{extra}")
 
 
-@query("sequence_windows", _sequence_sql(["click", "view"], 5), "e_wide")
+@query("sequence_windows", _sequence_sql(fx.E_PARAMS, 5), "e_wide")
 def _(spark, sf_dir):
-    built = series.sequence_windows(fx.e_wide(spark, sf_dir), ["click", "view"], 5)
-    return _window_columns(built, ["click", "view"], 5)
+    built = series.sequence_windows(fx.e_wide(spark, sf_dir), fx.E_PARAMS, 5)
+    return _window_columns(built, fx.E_PARAMS, 5)
 
 
-@query("sequence_windows_contiguous", _sequence_sql(["click"], 3, " AND back = day - 3"), "e_wide")
+@query("sequence_windows_contiguous", _sequence_sql(fx.E_PARAMS, 3, " AND back = day - 3"), "e_wide")
 def _(spark, sf_dir):
-    built = series.sequence_windows(fx.e_wide(spark, sf_dir), ["click"], 3, contiguous=True)
-    return _window_columns(built, ["click"], 3)
+    built = series.sequence_windows(fx.e_wide(spark, sf_dir), fx.E_PARAMS, 3, contiguous=True)
+    return _window_columns(built, fx.E_PARAMS, 3)
 
 
 def _label_sql(source, by_cols, input_width, label_width, shift, cols, labels_):
@@ -66,10 +66,10 @@ def _label_columns(df, input_width, label_width, cols, labels_):
         *[F.element_at("labels", i)[c].alias(f"{c}_out{i}") for i in range(1, label_width + 1) for c in labels_])
 
 
-@query("input_label_windows", _label_sql("e_wide", [], 6, 2, 2, ["click", "error"], ["error"]), "e_wide")
+@query("input_label_windows", _label_sql("e_wide", [], 6, 2, 2, fx.E_PARAMS, ["error"]), "e_wide")
 def _(spark, sf_dir):
-    built = series.input_label_windows(fx.e_wide(spark, sf_dir), ["click", "error"], 6, 2, 2, ["error"])
-    return _label_columns(built, 6, 2, ["click", "error"], ["error"])
+    built = series.input_label_windows(fx.e_wide(spark, sf_dir), fx.E_PARAMS, 6, 2, 2, ["error"])
+    return _label_columns(built, 6, 2, fx.E_PARAMS, ["error"])
 
 
 _GRID = """grid AS (SELECT s.station_id, d.day, {cols} FROM (SELECT DISTINCT station_id FROM {t}) s CROSS JOIN (
@@ -84,13 +84,15 @@ def _(spark, sf_dir):
 
 
 @query("multi_series_windows", "WITH stats AS (SELECT station_id, " + ", ".join(
-    f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in ("click", "view")) + " FROM e_wide GROUP BY station_id), "
-    + _GRID.format(t="e_wide", cols="click, view", step="1 DAY") + ", scaled AS (SELECT station_id, day, " + ", ".join(
-        f"CASE WHEN s_{c} <> 0 THEN ({c} - m_{c}) / s_{c} END AS {c}" for c in ("click", "view"))
-    + " FROM grid JOIN stats USING (station_id)) " + _label_sql("scaled", [], 4, 3, 3, ["click", "view"], ["click"]), "e_wide")
-def _(spark, sf_dir):
-    built = series.multi_series_windows(fx.e_wide(spark, sf_dir), ["click"], ["view"], 4, 3, 3, normalise=True)
-    return _label_columns(built, 4, 3, ["click", "view"], ["click"])
+    f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in fx.E_PARAMS)
+    + " FROM e_wide WHERE day <= DATE '2024-01-20' GROUP BY station_id), "
+    + _GRID.format(t="e_wide", cols=", ".join(fx.E_PARAMS), step="1 DAY") + ", scaled AS (SELECT station_id, day, " + ", ".join(
+        f"CASE WHEN s_{c} <> 0 THEN ({c} - m_{c}) / s_{c} END AS {c}" for c in fx.E_PARAMS)
+    + " FROM grid LEFT JOIN stats USING (station_id)) " + _label_sql("scaled", [], 4, 3, 3, fx.E_PARAMS, ["click"]), "e_wide")
+def _(spark, sf_dir):
+    built = series.multi_series_windows(fx.e_wide(spark, sf_dir), ["click"], fx.E_PARAMS[1:], 4, 3, 3, normalise=True,
+                                        train=F.col("day") <= "2024-01-20")
+    return _label_columns(built, 4, 3, fx.E_PARAMS, ["click"])
 
 
 _SPLIT = """CASE WHEN pos <= floor(n * CAST({0} AS DOUBLE)) THEN 'train' WHEN pos <= floor(n * CAST({1} AS DOUBLE)) THEN 'val'

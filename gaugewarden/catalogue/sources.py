@@ -22,7 +22,7 @@ def _(spark, sf_dir):
     WHERE event_type IN ('click', 'view') GROUP BY user_id""")
 def _(spark, sf_dir):
     return sql_over_file(spark, f"{sf_dir}/events.parquet", """
-        SELECT user_id AS station_id, count(*) AS measurements FROM measurements
+        SELECT user_id AS station_id, count(*) AS measurements FROM {measurements}
         WHERE event_type IN ('click', 'view') GROUP BY user_id""")
 
 

@@ -1,157 +1,253 @@
 """Density noise: points with too few neighbours that are also near no dense point.
 
-The classic all-pairs neighbour count is avoided three ways, all exact:
-identical points are folded into one weighted point; a fine cell is so small
-that its points are all neighbours, so a cell with enough of them needs no
-pairs; and a cell that lies wholly within reach of a point counts as one
-number. Only points of thin cells look around, and only cells on the rim of
-their reach are opened.
+Equal points are folded into one weighted point. The points are turned to
+their principal axes, which leaves distances as they are, and the space is cut
+along the leading axes into leaves of about equal numbers of points. A leaf
+holds its own points in memory and lets the points within reach of it pass in
+batches. Points compare in small blocks with bounding boxes in all dimensions,
+and a point stops looking once it has enough neighbours at every distance.
 """
 
-import math
-from functools import reduce
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from ..operators.evaluate import confusion_counts, metrics_from_counts
+from ..operators.evaluate import confusion_counts, metrics_from_counts, select_best_candidate
 from ..operators.scale import standardise
-from ..operators.small import small_table
 from ..session import stage_table
+from ..sources.writers import append_run_log
 
-BUCKET_DIMS = 3
+LEAF_POINTS = 8_192
+BLOCK = 256
+AXES = 3
 SLACK = 1e-9
 
 
-def _total(terms: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms)
-
+def _axes(points: DataFrame, width: int) -> np.ndarray:
+    """Up to ``AXES`` directions of largest variance as columns, from one row of sums."""
+    x = [F.element_at("x", i + 1) for i in range(width)]
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+    sums = points.agg(F.count("*"), *[F.sum(c) for c in x], *[F.sum(x[i] * x[j]) for i, j in pairs]).first()
+    n = max(1, sums[0])
+    mean = np.array([v or 0.0 for v in sums[1:width + 1]]) / n
+    cov = np.zeros((width, width))
+    for (i, j), s in zip(pairs, sums[width + 1:]):
+        cov[i, j] = cov[j, i] = (s or 0.0) / n - mean[i] * mean[j]
+    return np.linalg.eigh(cov)[1][:, ::-1][:, :min(AXES, width)]
 
-def _square(c: Column) -> Column:
-    return c * c
 
+def _cuts(points: DataFrame, axes: np.ndarray, leaf_points: int) -> list:
+    """Nested cuts: of the first axis, of the second in each slice, of the third in each of these.
 
-def _selective_dims(points: DataFrame, width: int, steps: int) -> list[int]:
-    """Dimensions whose joint buckets hold the fewest pairs, chosen one after the other.
-
-    A value shared by most points, or a dimension that follows from chosen ones, selects nothing.
+    They are quantiles of the points, so leaves hold about equally many; how
+    exact the quantiles are is no matter to the result. The driver gets one number per leaf.
     """
-    place = lambda i: F.floor(F.col("cell")[i] / steps)
-    chosen = []
-    while len(chosen) < min(BUCKET_DIMS, width):
-        options = F.array(*[F.struct(F.lit(i).alias("dim"), place(i).alias("b")) for i in range(width) if i not in chosen])
-        keys = [place(i).alias(f"k{i}") for i in chosen]
-        counts = points.select(*keys, F.inline(options)).groupBy(*[f"k{i}" for i in chosen], "dim", "b").agg(
-            F.count("*").cast("double").alias("c"))
-        pairs = counts.groupBy("dim").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
-        best = pairs.orderBy("pairs", "dim").first()
-        if best is None:
-            break
-        chosen.append(best["dim"])
-    return chosen or [0]
-
-
-def _reachable_buckets(points: DataFrame, x: list[str], leading: list[int], width: float, eps: float) -> DataFrame:
-    """Each point once per bucket that holds any place within ``eps`` of it."""
-    out = points.withColumn("_far", F.lit(0.0))
-    for i in leading:
-        low, high = F.floor((F.col(x[i]) - eps) / width) - 1, F.floor((F.col(x[i]) + eps) / width) + 1
-        edge = F.col(f"_b{i}") * width
-        gap = F.greatest(edge - F.col(x[i]), F.col(x[i]) - edge - width, F.lit(0.0))
-        out = out.withColumn(f"_b{i}", F.explode(F.sequence(low, high))).withColumn("_far", F.col("_far") + _square(gap))
-        # The slack also covers rounding of bucket edges.
-        out = out.filter(F.col("_far") <= eps * eps * (1 + 1e-6))
-    return out.select(*x, F.array(*[F.col(f"_b{i}") for i in leading]).alias("bucket"))
-
-
-def density_reach(df: DataFrame, cols: list[str], eps: float, enough: int) -> DataFrame:
-    """Distinct points of ``cols`` with ``reach``: the largest neighbour count among their neighbours.
+    parts = max(1, -(-points.count() // leaf_points))
+    per_axis = max(1, round(parts ** (1 / axes.shape[1])))
+    fractions = [(i + 1) / per_axis for i in range(per_axis - 1)]
+    if not fractions:
+        return []
+    at = [sum((F.element_at("x", i + 1) * float(v) for i, v in enumerate(axis)), F.lit(0.0)) for axis in axes.T]
+    rows, keys, cuts = points.select(*[a.alias(f"p{k}") for k, a in enumerate(at)]), [], []
+    for k in range(axes.shape[1]):
+        found = rows.groupBy(*keys).agg(F.percentile_approx(f"p{k}", fractions, 1_000).alias("cuts")).collect()
+        level = {tuple(r[c] for c in keys): sorted(set(r["cuts"])) for r in found}
+        cuts.append(level)
+        if keys:
+            table = F.create_map(*[v for key, c in level.items() for v in (F.lit("/".join(map(str, key))), F.array(*map(F.lit, c)))])
+            own = table[F.concat_ws("/", *keys)]
+        else:
+            own = F.array(*map(F.lit, level[()]))
+        rows = rows.withColumn(f"s{k}", F.size(F.filter(own, lambda c: c < F.col(f"p{k}"))))  # noqa: B023
+        keys.append(f"s{k}")
+    return cuts
+
+
+def _leaves(x: np.ndarray, axes: np.ndarray, cuts: list, reach: float):
+    """(rows, leaf, own) for every leaf that holds a place within ``reach`` of a row."""
+    p = x @ axes
+
+    def descend(rows: np.ndarray, own: np.ndarray, path: tuple[int, ...]):
+        if len(path) == len(cuts):
+            yield rows, "/".join(map(str, path)), own
+            return
+        here = np.array(cuts[len(path)].get(path, []))
+        v = p[rows, len(path)]
+        home, first, last = (np.searchsorted(here, v + d, side="left") for d in (0.0, -reach, reach))
+        for s in range(len(here) + 1):
+            met = (first <= s) & (s <= last)
+            if met.any():
+                yield from descend(rows[met], own[met] & (home[met] == s), (*path, s))
+
+    yield from descend(np.arange(len(x)), np.ones(len(x), bool), ())
+
+
+def _visits(points: DataFrame, axes: np.ndarray, cuts: list, reach: float, extra: str = "") -> DataFrame:
+    """Points in every leaf they can matter to, sorted so that a leaf's own points come first."""
+    names = ["id", "w", "x", *extra.split()]
+
+    def deal(batches):
+        for batch in batches:
+            for rows, leaf, own in _leaves(np.stack(batch["x"].to_numpy()), axes, cuts, reach):
+                yield batch[names].iloc[rows].assign(leaf=leaf, visitor=~own)
+
+    kinds = "id long, w long, x array<double>" + "".join(f", {e} array<long>" for e in extra.split())
+    return points.select(*names).mapInPandas(deal, f"{kinds}, leaf string, visitor boolean").repartition("leaf").sortWithinPartitions(
+        "leaf", "visitor")
+
+
+class _Leaf:
+    """Own points of a leaf and, per distance, what they have found: summed weights, or the largest count of a neighbour."""
+
+    def __init__(self, eps: list[float], enough: int, largest: bool):
+        self.eps2 = np.array(eps) ** 2
+        self.enough, self.largest = enough, largest
+        self.ids, self.x, self.found = [], [], []
+
+    def own(self, ids, x, value):
+        # blocks of points that lie together: sorted along the widest dimension
+        order = np.argsort(x[:, np.argmax(x.max(axis=0) - x.min(axis=0))], kind="stable")
+        for i in range(0, len(order), BLOCK):
+            o = order[i:i + BLOCK]
+            self.ids.append(ids[o])
+            self.x.append(x[o])
+            self.found.append(value[o] if self.largest else np.zeros((len(o), len(self.eps2)), np.int64))
+
+    def look(self, x, value):
+        """Compare own blocks with a batch, nearest own blocks of it first."""
+        order = np.argsort(x[:, np.argmax(x.max(axis=0) - x.min(axis=0))], kind="stable")
+        limit = self.eps2.max() * (1 + SLACK)
+        blocks = [order[i:i + BLOCK] for i in range(0, len(order), BLOCK)]
+        boxes = np.array([(x[b].min(axis=0), x[b].max(axis=0)) for b in blocks])
+        for k, a in enumerate(self.x):
+            short = np.flatnonzero((self.found[k] < self.enough).any(axis=1))
+            if not len(short):
+                continue
+            low, high = a[short].min(axis=0), a[short].max(axis=0)
+            gap = np.maximum(0, np.maximum(boxes[:, 0] - high, low - boxes[:, 1]))
+            far = (gap * gap).sum(axis=1)
+            for j in np.argsort(far, kind="stable"):
+                if far[j] > limit:
+                    break
+                short = short[(self.found[k][short] < self.enough).any(axis=1)]
+                if not len(short):
+                    break
+                self._compare(k, short, x[blocks[j]], value[blocks[j]])
+
+    def _compare(self, k, rows, y, value):
+        d = self.x[k][rows][:, None, :] - y[None, :, :]
+        d2 = d[..., 0] * d[..., 0]
+        for i in range(1, d.shape[2]):  # in this order the sums are those of the plain formula
+            d2 = d2 + d[..., i] * d[..., i]
+        for e, limit in enumerate(self.eps2):
+            near = d2 <= limit
+            if self.largest:
+                best = np.where(near, value[None, :, e], 0).max(axis=1)
+                self.found[k][rows, e] = np.maximum(self.found[k][rows, e], best)
+            else:
+                self.found[k][rows, e] += near @ value[:, 0]
+
+    def close(self, name: str) -> pd.DataFrame:
+        ids, found = np.concatenate(self.ids), np.minimum(np.concatenate(self.found), self.enough)
+        return pd.DataFrame({"id": ids, name: list(found)})
+
+
+def _search(visits: DataFrame, eps: list[float], enough: int, given: str | None, name: str) -> DataFrame:
+    def run(batches):
+        at, leaf, waiting = None, None, []
+
+        def start(own):
+            x = np.stack(own["x"].to_numpy())
+            value = np.stack(own[given].to_numpy()) if given else own[["w"]].to_numpy()
+            leaf.own(own["id"].to_numpy(), x, value)
+            leaf.look(x, value)
+
+        for batch in batches:
+            for (key, visitor), rows in batch.groupby(["leaf", "visitor"], sort=True):
+                if key != at or (visitor and waiting):
+                    if waiting:  # all own points are there
+                        start(pd.concat(waiting))
+                        waiting = []
+                if key != at:
+                    if leaf is not None and leaf.ids:
+                        yield leaf.close(name)
+                    at, leaf = key, _Leaf(eps, enough, given is not None)
+                if not visitor:
+                    waiting.append(rows)
+                elif leaf.ids:
+                    leaf.look(np.stack(rows["x"].to_numpy()), np.stack(rows[given].to_numpy()) if given else rows[["w"]].to_numpy())
+        if waiting:
+            start(pd.concat(waiting))
+        if leaf is not None and leaf.ids:
+            yield leaf.close(name)
+
+    return visits.mapInPandas(run, f"id long, {name} array<long>")
+
+
+def density_reach(df: DataFrame, cols: list[str], eps: list[float] | float, enough: int, leaf_points: int = LEAF_POINTS) -> DataFrame:
+    """Distinct points of ``cols`` with ``reach``: for each ``eps`` the largest neighbour count among their neighbours.
 
     A neighbour is at most ``eps`` away and a point is its own neighbour, so a
     point is noise for some ``min_samples <= enough`` exactly if its reach is
-    below it. Counts above ``enough`` may be reported as any number not below it.
+    below it. Counts are reported up to ``enough``. Rows with an unknown coordinate are no points.
     """
-    dims = range(len(cols))
-    side = eps / math.sqrt(len(cols)) * (1 - SLACK)
-    # Buckets are about half of eps wide, a whole number of cells.
-    steps = math.ceil(eps / side / 2)
-    x = [f"x{i}" for i in dims]
-    margin = eps * (1 + SLACK)
-
+    eps = [float(e) for e in (eps if isinstance(eps, (list, tuple)) else [eps])]
+    x = [f"x{i}" for i in range(len(cols))]
     points = df.na.drop(subset=cols).groupBy(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, x)]).agg(
-        F.count("*").alias("w")).withColumn("cell", F.array(*[F.floor(F.col(n) / side) for n in x]))
+        F.count("*").alias("w")).select(F.array(*x).alias("x"), "w", F.monotonically_increasing_id().alias("id"))
     points = stage_table(points, "density-points")
-    cells = points.groupBy("cell").agg(
-        F.sum("w").alias("n"), *[(F.min(n) - margin).alias(f"from{i}") for i, n in enumerate(x)],
-        *[(F.max(n) + margin).alias(f"to{i}") for i, n in enumerate(x)])
-    leading = _selective_dims(points, len(cols), steps)
-    bucket = F.array(*[F.floor(F.col("cell")[i] / steps) for i in leading])
-    cells = small_table(cells.withColumn("bucket", bucket))
-
-    # The number of partitions is stated, as the few bytes of a point say little about its many pairs.
-    thin = points.join(cells.filter(F.col("n") < enough).select("cell"), "cell", "left_semi").select(*x, "cell").repartition(
-        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    probes = _reachable_buckets(thin, x, leading, steps * side, eps)
-    # Comparing with a widened box keeps the test of a pair short; most pairs end there. The sums come last.
-    touched = reduce(lambda a, b: a & b, [F.col(x[i]).between(F.col(f"from{i}"), F.col(f"to{i}")) for i in dims])
-    lo = [F.col(f"from{i}") + margin for i in dims]
-    hi = [F.col(f"to{i}") - margin for i in dims]
-    gap = [F.greatest(lo[i] - F.col(x[i]), F.col(x[i]) - hi[i], F.lit(0.0)) for i in dims]
-    reach = [F.greatest(F.abs(F.col(x[i]) - lo[i]), F.abs(F.col(x[i]) - hi[i])) for i in dims]
-    met = probes.join(cells, "bucket").filter(touched).select(
-        *x, "cell", "n", _total([_square(g) for g in gap]).alias("near2"), _total([_square(r) for r in reach]).alias("far2")
-    ).filter(F.col("near2") <= eps * eps * (1 + SLACK)).select(
-        *x, "cell", "n", (F.col("far2") <= eps * eps * (1 - SLACK)).alias("whole"))
-    met = stage_table(met, "density-cells")
-
-    there = points.select("cell", *[F.col(n).alias(f"y{i}") for i, n in enumerate(x)], "w")
-    y = [f"y{i}" for i in dims]
-    apart = [F.col(a) - F.col(b) for a, b in zip(x, y)]
-    close = reduce(lambda a, b: a & b, [F.abs(d) <= eps * (1 + SLACK) for d in apart])
-    opened = met.filter(~F.col("whole")).join(there, "cell").filter(close).filter(
-        _total([_square(d) for d in apart]) <= eps * eps)
-    nothing = [F.lit(None).cast("double").alias(n) for n in y]
-    links = met.filter("whole").select(*x, "cell", F.col("n").alias("w"), *nothing).unionByName(
-        opened.select(*x, "cell", "w", *y))
-    # Both the counts and the reach need the links, so they are written once.
-    links = stage_table(links, "density-links")
-
-    thick = points.join(cells.filter(F.col("n") >= enough).select("cell", "n"), "cell")
-    counts = links.groupBy(*x).agg(F.sum("w").alias("count"))
-    known = counts.unionByName(thick.select(*x, F.col("n").alias("count")))
-    tops = known.withColumn("cell", F.array(*[F.floor(F.col(n) / side) for n in x])).groupBy("cell").agg(
-        F.max("count").alias("top"))
-    by_cell = links.filter(F.col("y0").isNull()).join(tops, "cell").select(*x, "top")
-    partner = known.select(*[F.col(n).alias(m) for n, m in zip(x, y)], F.col("count").alias("top"))
-    by_point = links.filter(F.col("y0").isNotNull()).join(partner, y).select(*x, "top")
-    found = by_cell.unionByName(by_point).groupBy(*x).agg(F.max("top").alias("reach")).unionByName(
-        thick.select(*x, F.col("n").alias("reach")))
-    return found.select(*[F.col(n).alias(c) for n, c in zip(x, cols)], "reach")
-
-
-def density_noise(df: DataFrame, cols: list[str], eps: float, min_samples: int, name: str = "noise") -> DataFrame:
-    """1 for noise, 0 for every clustered point. Rows with an unknown coordinate are left out."""
+    axes = _axes(points, len(cols))
+    cuts = _cuts(points, axes, leaf_points)
+    reach = max(eps) * (1 + 1e-6) + SLACK
+    counts = _search(_visits(points, axes, cuts, reach), eps, enough, None, "counts")
+    counted = stage_table(points.join(counts, "id"), "density-counts")
+    found = _search(_visits(counted, axes, cuts, reach, "counts"), eps, enough, "counts", "reach")
+    return counted.join(found, "id").select(*[F.element_at("x", i + 1).alias(c) for i, c in enumerate(cols)], "reach")
+
+
+def density_noise(df: DataFrame, cols: list[str], eps: float, min_samples: int, name: str = "noise", unknown: int = 1) -> DataFrame:
+    """1 for noise, 0 for every clustered point. Rows with an unknown coordinate stay and get ``unknown``."""
     reach = density_reach(df, cols, eps, min_samples)
-    return df.join(reach, list(cols)).withColumn(name, (F.col("reach") < min_samples).cast("int")).drop("reach")
+    noise = (F.col("reach")[0] < min_samples).cast("int")
+    return df.join(reach, list(cols), "left").withColumn(name, F.coalesce(noise, F.lit(unknown))).drop("reach")
 
 
 def density_noise_grid(df: DataFrame, cols: list[str], real: str, eps_list: list[float],
-                       min_samples_list: list[int]) -> DataFrame:
-    """Confusion counts and metrics per candidate; one neighbour search serves all ``min_samples`` of an ``eps``."""
-    results = []
-    for eps in eps_list:
-        reach = density_reach(df, cols, eps, max(min_samples_list))
-        scored = df.select(real, *cols).join(reach, list(cols))
-        sums = [s.alias(f"{n}_{m}") for m in min_samples_list for s, n in zip(
-            confusion_counts(F.col(real), (F.col("reach") < m).cast("int")), ("TP", "TN", "FP", "FN"))]
-        cells = [F.struct(F.lit(float(eps)).alias("eps"), F.lit(m).alias("min_samples"),
-                          *[F.col(f"{n}_{m}").alias(n) for n in ("TP", "TN", "FP", "FN")]) for m in min_samples_list]
-        results.append(scored.agg(*sums).select(F.inline(F.array(*cells))))
-    return metrics_from_counts(reduce(DataFrame.unionByName, results))
-
-
-def detect(df: DataFrame, params: list[str], cols: list[str], eps: float = 0.5, min_samples: int = 15) -> DataFrame:
-    """Standardise, find noise and report it for the row and for every parameter."""
-    scaled = standardise(df.select("station_id", "day", *cols), cols)
-    found = density_noise(scaled, cols, eps, min_samples, "anomaly_pred").select("station_id", "day", "anomaly_pred")
-    flagged = df.join(found, ["station_id", "day"]).withColumn("is_test", F.lit(1))
+                       min_samples_list: list[int], unknown: int = 1) -> DataFrame:
+    """Confusion counts and metrics per candidate; one search serves all of them."""
+    reach = density_reach(df, cols, list(eps_list), max(min_samples_list))
+    scored = df.select(real, *cols).join(reach, list(cols), "left")
+    cases = [(i, float(e), m) for i, e in enumerate(eps_list) for m in min_samples_list]
+    sums, cells = [], []
+    for i, e, m in cases:
+        noise = F.coalesce((F.col("reach")[i] < m).cast("int"), F.lit(unknown))
+        sums += [s.alias(f"{n}_{i}_{m}") for s, n in zip(confusion_counts(F.col(real), noise), ("TP", "TN", "FP", "FN"))]
+        cells.append(F.struct(F.lit(e).alias("eps"), F.lit(m).alias("min_samples"),
+                              *[F.col(f"{n}_{i}_{m}").alias(n) for n in ("TP", "TN", "FP", "FN")]))
+    return metrics_from_counts(scored.agg(*sums).select(F.inline(F.array(*cells))))
+
+
+def detect(df: DataFrame, params: list[str], cols: list[str], eps_list: list[float] = (0.5, 0.45, 0.4),
+           min_samples_list: list[int] = (50, 25, 15), log_path: str | None = None) -> DataFrame:
+    """Standardise, try all candidates and report the noise of the best one for the row and for every parameter.
+
+    The truth is an anomaly in more than one parameter. Best is the highest
+    recall among candidates with an accuracy above 0.7; if there is none,
+    nothing is reported. A row with an unknown value is an anomaly. One search
+    serves all candidates, whose counts and metrics go to ``log_path``.
+    """
+    scaled = stage_table(standardise(df.select("station_id", "day", F.col("anomaly").alias("_found"), *cols), cols), "standardised")
+    reach = density_reach(scaled, cols, list(eps_list), max(min_samples_list))
+    reached = stage_table(scaled.join(reach, list(cols), "left").select(
+        "station_id", "day", (F.col("_found") > 1).cast("int").alias("real"), "reach"), "density-reach")
+    cases = [(i, float(e), m) for i, e in enumerate(eps_list) for m in min_samples_list]
+    noise = lambda i, m: F.coalesce((F.col("reach")[i] < m).cast("int"), F.lit(1))
+    report = metrics_from_counts(reached.select("real", F.inline(F.array(*[F.struct(
+        F.lit(e).alias("eps"), F.lit(m).alias("min_samples"), noise(i, m).alias("pred")) for i, e, m in cases]))).groupBy(
+        "eps", "min_samples").agg(*confusion_counts(F.col("real"), F.col("pred"))))
+    if log_path:
+        append_run_log(report, log_path)
+    best = select_best_candidate(report.filter("recall > 0")).first()
+    found = F.lit(0) if best is None else noise([float(e) for e in eps_list].index(best["eps"]), best["min_samples"])
+    flagged = df.join(reached.select("station_id", "day", found.alias("anomaly_pred")), ["station_id", "day"]).withColumn("is_test", F.lit(1))
     return flagged.withColumns({f"{p}_anomaly_pred": F.col("anomaly_pred") for p in params})

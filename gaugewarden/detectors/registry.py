@@ -6,10 +6,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators.joins import join_spatial_left
-from ..schema import raw
+from ..schema import META_FEATURES, raw
 from . import cluster, density, isoforest
 
-SPATIAL = ["Lambert93x", "Lambert93y", "Altitude", "cluster"]
+SPATIAL = [*META_FEATURES[1:3], META_FEATURES[0], "cluster"]
 
 
 def check_columns(df: DataFrame, params: list[str], spatial: bool = False) -> None:
@@ -36,7 +36,7 @@ def register(name: str, detector: Detector) -> None:
 
 
 def _features(params: list[str]) -> list[str]:
-    return ["day_sin", "day_cos", "Lambert93x", "Lambert93y", "Altitude", *map(raw, params)]
+    return [*META_FEATURES, *map(raw, params)]
 
 
 def _prepare_forest(df: DataFrame, stations: DataFrame, spatial: bool, seed: int) -> DataFrame:
@@ -47,7 +47,9 @@ def _prepare_forest(df: DataFrame, stations: DataFrame, spatial: bool, seed: int
 
 def _train_forest(df: DataFrame, params: list[str], spatial: bool, seed: int) -> DataFrame:
     check_columns(df, params, spatial)
-    return isoforest.detect(df, params, _features(params), spatial, seed)
+    # an unknown raw value counts as 0, as the reports have it; stations must have their attributes
+    fill = {raw(p): 0.0 for p in params} | {"cluster": -1.0}
+    return isoforest.detect(df, params, _features(params), spatial, seed, fill)
 
 
 def _train_density(df: DataFrame, params: list[str], spatial: bool, seed: int) -> DataFrame:

@@ -90,10 +90,15 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete raw values with season and station attributes: what the density and forest detectors use."""
+    """The same with 0 for unknown raw values."""
+    return e_features_known(spark, sf_dir).fillna(0.0, [raw(p) for p in E_PARAMS])
+
+
+def e_features_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw values, known or not, with season and station attributes: what the density and forest detectors use."""
     labelled = labels.add_season(e_label(spark, sf_dir))
     st = stations(spark, sf_dir).select("station_id", "Altitude", "Lambert93x", "Lambert93y")
-    return labelled.join(st, "station_id").fillna(0.0, [raw(p) for p in E_PARAMS])
+    return labelled.join(st, "station_id")
 
 
 FEATURES = [*map(raw, E_PARAMS), "Altitude", "Lambert93x", "Lambert93y", "day_sin", "day_cos"]
@@ -152,14 +157,14 @@ CTES = {
     "pt": """SELECT vec_id, CAST(list_extract(embedding, 1) AS DOUBLE) AS x, CAST(list_extract(embedding, 2) AS DOUBLE) AS y
         FROM embeddings""",
     "lab": "SELECT doc_id, CASE WHEN quality = 0 THEN 1 ELSE 0 END AS real, toxic AS pred FROM labels",
-    "e_features": f"""SELECT e_label.* REPLACE ({', '.join(f'coalesce({p}_origine, 0) AS {p}_origine' for p in E_PARAMS)}),
-        Altitude, Lambert93x, Lambert93y, sin(2 * pi() * dayofyear(day) / 366) AS day_sin,
+    "e_known": """SELECT e_label.*, Altitude, Lambert93x, Lambert93y, sin(2 * pi() * dayofyear(day) / 366) AS day_sin,
         cos(2 * pi() * dayofyear(day) / 366) AS day_cos FROM e_label JOIN st USING (station_id)""",
+    "e_features": f"""SELECT * REPLACE ({', '.join(f'coalesce({p}_origine, 0) AS {p}_origine' for p in E_PARAMS)}) FROM e_known""",
 }
 NEEDS = {
     "e": [], "e_clean": ["e"], "e_dedup": ["e_clean"], "e_wide": ["e_dedup"], "e_label": ["e_wide"], "l": [],
     "l_dedup": ["l"], "l_wide": ["l_dedup"], "l_dense": ["l_wide"], "l_label": ["l_dense"], "st": [], "pairs": ["st"], "near": ["pairs"],
-    "validity": ["e"], "pt": [], "lab": [], "e_features": ["e_label", "st"],
+    "validity": ["e"], "pt": [], "lab": [], "e_known": ["e_label", "st"], "e_features": ["e_known"],
 }
 
 

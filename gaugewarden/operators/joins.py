@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..schema import KEYS
 from .profile import station_validity
-from .small import small_table
+
 
 def one_per_station(stations: DataFrame) -> DataFrame:
     """Stations without repeated ids, which would double measurements; the first row by its attributes stays."""
@@ -15,13 +15,13 @@ def one_per_station(stations: DataFrame) -> DataFrame:
 
 def join_station_attrs(df: DataFrame, stations: DataFrame, cols: list[str]) -> DataFrame:
     """Inner join of station attributes; rows of unknown stations go."""
-    return df.join(small_table(one_per_station(stations.select("station_id", *cols))), "station_id")
+    return df.join(one_per_station(stations.select("station_id", *cols)), "station_id")
 
 
 def join_spatial_left(df: DataFrame, stations: DataFrame,
                       cols: list[str] = ("Lambert93x", "Lambert93y", "Altitude", "cluster")) -> DataFrame:
     """Replace spatial columns by those of ``stations``; rows of unknown stations stay."""
-    right = small_table(one_per_station(stations.select("station_id", *cols)))
+    right = one_per_station(stations.select("station_id", *cols))
     return df.drop(*cols).join(right, "station_id", "left")
 
 

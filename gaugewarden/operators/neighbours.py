@@ -5,6 +5,10 @@ meet through a grid of cells; nearest neighbours through a stack of grids in
 which every station searches at the finest level that surely holds enough.
 """
 
+from datetime import timedelta
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -14,8 +18,11 @@ from .clean import derive_department
 from .profile import station_validity
 from .series import rank_within_group
 
-LEVELS = 18
 KM = 1000.0
+#: Grids get finer, by so many levels at a time, until no cell holds more than so many spots.
+LEVEL_STEP = 9
+CROWDED = 64
+FINEST = 45
 
 
 def planar_km(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -70,14 +77,17 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, within: list[str] = (
         F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("side"))).scalar()
     cell = [*within, "level", "cx", "cy"]
 
+    box = df_literal(queries, box)
     by_spot = rank_within_group(points.select(*within, "x", "y", "station_id"), [*within, "x", "y"], ["station_id"], k + 1)
     spots = by_spot.groupBy(*within, "x", "y").agg(F.collect_list("station_id").alias("ids"))
-    spot_cells = _at_levels(spots, box)
+    spots = stage_table(spots, "spots")
+    levels = _levels(spots, within, box)
+    spot_cells = _at_levels(spots, box, levels)
     crowd = _shifted(spot_cells.groupBy(*cell).agg(F.sum(F.size("ids")).alias("c")), 1).groupBy(*cell).agg(
         F.sum("c").alias("around"))
 
     asked = queries.select(*within, "station_id", "x", "y")
-    enough = _at_levels(asked, box).join(crowd, cell).filter(F.col("around") > k).groupBy(*within, "station_id").agg(
+    enough = _at_levels(asked, box, levels).join(crowd, cell).filter(F.col("around") > k).groupBy(*within, "station_id").agg(
         F.max("level").alias("level"))
     placed = asked.join(enough, [*within, "station_id"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
     probes = _shifted(_cell_of(placed, box), 3)
@@ -97,9 +107,26 @@ def _cell_of(df: DataFrame, box: Column) -> DataFrame:
     return placed.drop("_box")
 
 
-def _at_levels(df: DataFrame, box: Column) -> DataFrame:
+def df_literal(df: DataFrame, one: Column) -> Column:
+    """A scalar subquery of three numbers worked out once, as literals for the many places that use it."""
+    row = df.sparkSession.range(1).select(one.alias("b")).first()["b"]
+    return F.struct(*[F.lit(row[c]).cast("double").alias(c) for c in ("x", "y", "side")])
+
+
+def _levels(spots: DataFrame, within: list[str], box: Column) -> int:
+    """Depth at which no cell is crowded, so that one far station does not press all others into a few cells."""
+    levels = 2 * LEVEL_STEP
+    while levels < FINEST:
+        finest = _cell_of(spots.withColumn("level", F.lit(levels)), box).groupBy(*within, "cx", "cy").count()
+        if finest.filter(F.col("count") > CROWDED).isEmpty():
+            break
+        levels += LEVEL_STEP
+    return levels
+
+
+def _at_levels(df: DataFrame, box: Column, levels: int) -> DataFrame:
     """Each row once per grid."""
-    return _cell_of(df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))), box)
+    return _cell_of(df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))), box)
 
 
 def _shifted(df: DataFrame, reach: int) -> DataFrame:
@@ -111,10 +138,16 @@ def _shifted(df: DataFrame, reach: int) -> DataFrame:
 
 def nearest_neighbours(stations: DataFrame, k: int = 5, x: str = "Lambert93x", y: str = "Lambert93y") -> DataFrame:
     """The ``k`` nearest other stations of each station, with distance and rank."""
-    points = stations.select("station_id", F.col(x).alias("x"), F.col(y).alias("y")).distinct()
+    points = stage_table(_points(stations, x, y), "station-points")
     return nearest(points, points, k)
 
 
+def _points(stations: DataFrame, x: str, y: str) -> DataFrame:
+    """One place per station, the first one of a station listed at several."""
+    return stations.groupBy("station_id").agg(F.min(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("p")).select(
+        "station_id", "p.x", "p.y")
+
+
 def neighbour_table(stations: DataFrame, neighbours: DataFrame, k: int = 5) -> DataFrame:
     """Stations with ``stationproche1..k`` and ``distance_station1..k`` for export."""
     at = lambda c, r: F.max(F.when(F.col("rank") == r, F.col(c)))
@@ -162,31 +195,48 @@ def active_neighbour_intervals(df: DataFrame, stations: DataFrame, k: int = 3, p
 
     A segment ends on the earliest last day among them and the next starts a
     day later. The walk depends on the order of events, so it runs per station,
-    on the ``k * pool`` nearest candidates only: a small, fixed group size.
+    on its ``k * pool`` nearest candidates. A station for which these are too
+    few at some time walks again with four times as many, until they suffice or
+    are all stations there are.
     """
-    validity = station_validity(df)
-    candidates = _with_validity(nearest_neighbours(stations, k * pool, x, y), validity)
-    targets = candidates.join(validity, "station_id")
-    schema = "station_id long, seg_start date, seg_end date, rank int, neighbour_id long, km double"
+    validity = stage_table(station_validity(df), "validity")
+    points = stage_table(_points(stations, x, y), "station-points")
+    open_ = validity.join(points, "station_id", "left_semi").count()
+    schema = "station_id long, seg_start date, seg_end date, rank int, neighbour_id long, km double, short boolean"
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank")
-        start, last, out = group["first_day"].iloc[0], group["last_day"].iloc[0], []
-        while start < last:
-            active = group[(group["n_first"] <= start) & (group["n_last"] > start)].head(k)
-            if active.empty:
-                later = group.loc[group["n_first"] > start, "n_first"]
-                if later.empty:
-                    break
-                start = later.min()
-                continue
-            end = active["n_last"].min()
-            out += [(group["station_id"].iloc[0], start, end, i + 1, row.neighbour_id, row.km)
-                    for i, row in enumerate(active.itertuples())]
-            start = end + pd.Timedelta(days=1).to_pytimedelta()
-        return pd.DataFrame(out, columns=["station_id", "seg_start", "seg_end", "rank", "neighbour_id", "km"])
-
-    return targets.groupBy("station_id").applyInPandas(walk, schema)
+        near = group.sort_values("rank")
+        opens, closes = near["n_first"].to_numpy(), near["n_last"].to_numpy()
+        day, until = near["first_day"].iat[0], near["last_day"].iat[0]
+        found, short = [], False
+        while day < until:
+            here = np.flatnonzero((opens <= day) & (closes > day))[:k]
+            short |= len(here) < k
+            if len(here):
+                end = closes[here].min()
+                found += [(day, end, i + 1, near["neighbour_id"].iat[j], near["km"].iat[j]) for i, j in enumerate(here)]
+                day = end + timedelta(days=1)
+            elif (opens > day).any():
+                day = opens[opens > day].min()
+            else:
+                break
+        found = found or [(None, None, None, None, None)]
+        out = pd.DataFrame(found, columns=["seg_start", "seg_end", "rank", "neighbour_id", "km"])
+        return out.assign(station_id=near["station_id"].iat[0], short=short)[schema_names]
+
+    schema_names = [c.split()[0] for c in schema.split(", ")]
+    asked, done = points, []
+    while True:
+        near = nearest(asked, points, k * pool)
+        targets = _with_validity(near, validity).join(validity, "station_id")
+        walked = stage_table(targets.groupBy("station_id").applyInPandas(walk, schema), "walked")
+        enough = k * pool >= open_
+        done.append(walked if enough else walked.filter(~F.col("short")))
+        asked = asked.join(walked.filter("short").select("station_id").distinct(), "station_id", "left_semi")
+        if enough or asked.isEmpty():
+            break
+        asked, pool = stage_table(asked, "short-stations"), pool * 4
+    return reduce(DataFrame.unionByName, done).filter("rank IS NOT NULL").drop("short")
 
 
 def _with_validity(neighbours: DataFrame, validity: DataFrame) -> DataFrame:
@@ -206,7 +256,7 @@ def active_neighbours_daily(df: DataFrame, stations: DataFrame, k: int = 3, pool
     pool never limits the result.
     """
     validity = station_validity(df)
-    points = stations.select("station_id", F.col(x).alias("x"), F.col(y).alias("y")).distinct()
+    points = stage_table(_points(stations, x, y), "station-points")
     # Every step below reads the candidates, so they are searched once and written.
     candidates = stage_table(_with_validity(nearest(points, points, k * pool), validity).drop("rank"), "candidates")
     own = points.join(validity, "station_id")
@@ -227,13 +277,14 @@ def active_neighbours_daily(df: DataFrame, stations: DataFrame, k: int = 3, pool
     filled = ranked.groupBy("station_id", "seg_start", "seg_end").agg(F.count("*").alias("c")).filter(F.col("c") == k)
 
     days = df.select(*KEYS).distinct()
-    in_segment = (F.col("day") >= F.col("seg_start")) & (F.col("day") <= F.col("seg_end"))
-    settled = days.join(ranked.join(filled.drop("c"), ["station_id", "seg_start", "seg_end"], "left_semi"),
-                        "station_id").filter(in_segment)
+    # a segment as its days, so that measured days meet their own segment and no other
+    each_day = F.explode(F.sequence("seg_start", "seg_end")).alias("day")
+    full = ranked.join(filled.drop("c"), ["station_id", "seg_start", "seg_end"], "left_semi")
+    place = full.groupBy("station_id", "seg_start", "seg_end").agg(F.collect_list(F.struct("rank", "neighbour_id", "km")).alias("near"))
+    settled = days.join(place.select("station_id", "near", each_day), KEYS).select(*KEYS, F.inline("near"))
 
     short = segments.join(filled, ["station_id", "seg_start", "seg_end"], "left_anti")
-    queries = stage_table(days.join(short, "station_id").filter(in_segment).select(*KEYS).join(points, "station_id"),
-                          "short-days")
+    queries = stage_table(days.join(short.select("station_id", each_day), KEYS, "left_semi").join(points, "station_id"), "short-days")
     open_days = own.filter(F.col("first_day") < F.col("last_day")).withColumn(
         "day", F.explode(F.expr("sequence(first_day, date_sub(last_day, 1))")))
     searched = nearest(queries, open_days.join(queries.select("day").distinct(), "day", "left_semi"), k, ["day"])
@@ -247,3 +298,12 @@ def attach_active_neighbours(df: DataFrame, active: DataFrame, params: list[str]
     wide = active.join(there, ["neighbour_id", "day"]).groupBy(*KEYS).agg(*[
         F.max(F.when(F.col("rank") == i + 1, F.col(p))).alias(f"{p}_{i}") for i in range(k) for p in params])
     return df.join(wide, KEYS, "left")
+
+
+def attach_neighbour_attributes(df: DataFrame, active: DataFrame, stations: DataFrame, cols: list[str], k: int = 3) -> DataFrame:
+    """Columns ``{c}_0 .. {c}_{k-1}``: attributes of the active neighbours of each day, nearest first."""
+    there = stations.groupBy("station_id").agg(F.min(F.struct(*cols)).alias("_a")).select(
+        F.col("station_id").alias("neighbour_id"), "_a.*")
+    wide = active.join(there, "neighbour_id").groupBy(*KEYS).agg(*[
+        F.max(F.when(F.col("rank") == i + 1, F.col(c))).alias(f"{c}_{i}") for i in range(k) for c in cols])
+    return df.join(wide, KEYS, "left")

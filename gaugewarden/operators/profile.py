@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import flag
 from ..schema import raw
-from .small import small_table
 from .quantiles import exact_quantiles, quantiles_exact
 
 UNITS = {"year": F.year, "month": F.month}
@@ -129,7 +128,7 @@ def box_stats(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:
     rows = df.select(*by, F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     quartiles = _quartile_columns(exact_quantiles(rows, "v", [0.25, 0.5, 0.75], by), by)
     if by:
-        boxed = rows.join(small_table(quartiles), by)
+        boxed = rows.join(quartiles, by)
     else:
         boxed = rows.withColumn("_q", quartiles.select(F.struct("q25", "q50", "q75")).scalar()).select("v", "_q.*")
     reach = 1.5 * (F.col("q75") - F.col("q25"))
@@ -177,7 +176,7 @@ def normalise_by_max_abs(df: DataFrame, col: str, by: str) -> DataFrame:
     The maxima are combined before the shuffle and joined back; a window over
     the group would pull all rows of a parameter into one task.
     """
-    peaks = small_table(df.groupBy(by).agg(F.max(F.abs(col)).alias("_peak")))
+    peaks = df.groupBy(by).agg(F.max(F.abs(col)).alias("_peak"))
     return df.join(peaks, by, "left").withColumn(f"{col}_normalised", F.try_divide(F.col(col), F.col("_peak"))).drop(
         "_peak")
 

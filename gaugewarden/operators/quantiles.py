@@ -98,8 +98,3 @@ def quantiles_exact(df: DataFrame, cols: list[str], qs: list[float]) -> DataFram
     long = df.select(*[F.col(c).cast("double") for c in cols]).unpivot([], list(cols), "column", "_value")
     return exact_quantiles(long, "_value", qs, ["column"])
 
-
-def quantile_of(df: DataFrame, value: str, q: float) -> float | None:
-    """A single quantile as a number."""
-    row = exact_quantiles(df, value, [q]).first()
-    return row and row["quantile"]

@@ -116,17 +116,19 @@ def densify_grid(df: DataFrame, step: str = "1 day", keys: DataFrame | None = No
 
 
 def multi_series_windows(df: DataFrame, labels: list[str], regressors: list[str], input_width: int, label_width: int,
-                         shift: int, static: list[str] = (), normalise: bool = False) -> DataFrame:
+                         shift: int, static: list[str] = (), normalise: bool = False, train: Column | None = None) -> DataFrame:
     """Input and label windows of every station over the dense daily grid.
 
-    With ``normalise`` each station is scaled by its own mean and population
-    deviation. On the grid the position follows from the calendar, so no ranking is needed.
+    With ``normalise`` each station is scaled by the mean and population
+    deviation of its rows that meet ``train`` (all, unless given), so that the
+    others stay unseen; without such rows its values are null. On the grid the position follows from the calendar, so no ranking is needed.
     """
     cols = [*labels, *regressors]
     grid = densify_grid(df.select("station_id", "day", *cols))
+    seen = lambda c: F.col(c) if train is None else F.when(train, F.col(c))
     fitted = [F.max(c).alias(c) for c in static]
     if normalise:
-        fitted += [F.avg(c).alias(f"_m_{c}") for c in cols] + [F.stddev_pop(c).alias(f"_s_{c}") for c in cols]
+        fitted += [F.avg(seen(c)).alias(f"_m_{c}") for c in cols] + [F.stddev_pop(seen(c)).alias(f"_s_{c}") for c in cols]
     if fitted:
         grid = grid.join(df.groupBy("station_id").agg(*fitted), "station_id")
     if normalise:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..detectors import DETECTORS
 from ..functions import flag
-from ..operators import clean, evaluate, joins, labels
+from ..operators import clean, evaluate, joins, labels, profile
 from ..schema import PARAMS, RAW_SUFFIX
 from ..session import stage_table
 
@@ -60,6 +60,19 @@ def check(results: DataFrame) -> DataFrame:
     return evaluate.metrics_per_param(results, trained_params(results))
 
 
+def check_global(results: DataFrame) -> DataFrame:
+    """Confusion counts and metrics of the whole row's verdict, on the rows kept for testing; any anomaly counts as one."""
+    tested = results.filter(F.col("is_test") == 1).withColumn("anomaly", flag(F.col("anomaly") > 0))
+    return evaluate.classification_metrics(tested, "anomaly", "anomaly_pred")
+
+
+def check_classes(results: DataFrame) -> DataFrame:
+    """Precision, recall, f1 and support of both classes of the whole row's verdict, with the counts of both predictions."""
+    tested = results.filter(F.col("is_test") == 1).withColumn("anomaly", flag(F.col("anomaly") > 0))
+    table = profile.crosstab_labels(tested, "anomaly", "anomaly_pred").withColumnRenamed("real", "label")
+    return evaluate.class_report(tested, "anomaly", "anomaly_pred").join(table, "label", "left").fillna(0, ["pred_0", "pred_1"])
+
+
 def station_follow_up(df: DataFrame, station: int, year: int) -> DataFrame:
     """One station and year, in order, for a report."""
     return clean.filter_station(df, station, year).orderBy("day")

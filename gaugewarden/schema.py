@@ -2,10 +2,8 @@
 
 from pyspark.sql import types as T
 
-# Parameter codes, the one extracted but unused, sentinels.
+# Parameter codes, names of station attributes and season, suffix of raw columns, sentinels.
 PARAMS = ["ETP", "GLOT", "RR", "TN", "TX"]
-EXTRACTED_PARAMS = ["ETP", "GLOT", "RR", "TM", "TN", "TX"]
-FORECAST_PARAMS = ["ETP", "GLOT", "TN", "TX"]
 META_FEATURES = ["Altitude", "Lambert93x", "Lambert93y", "day_sin", "day_cos"]
 RAW_SUFFIX = "_origine"
 MISSING_RAW = -999
@@ -19,6 +17,10 @@ RAIN_NAMES = ["paspluie", "tresfaible", "faible", "moyen", "fort", "extreme"]
 
 KEYS = ["station_id", "day"]
 
+# Column names of the measurement files and the names used here.
+FILE_COLUMNS = {"codearvalis": "station_id", "libellecourt": "param", "datemesure": "day", "valeur": "value",
+                "valeurorigine": "raw_value", "idstatut": "status", "idmodeobtention": "mode"}
+
 MEASUREMENTS = T.StructType([
     T.StructField("station_id", T.IntegerType()),
     T.StructField("param", T.StringType()),
@@ -29,6 +31,7 @@ MEASUREMENTS = T.StructType([
     T.StructField("mode", T.DoubleType()),
 ])
 
+# Column names of the station file.
 STATIONS = T.StructType([
     T.StructField("Station", T.IntegerType()),
     T.StructField("Nom", T.StringType()),

@@ -1,5 +1,6 @@
 """Session settings and the shared scratch folder."""
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from the place the driver has it at; other places take ``addPyFile``."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
 

@@ -81,7 +81,7 @@ def test_gappy_stations_go_entirely(spark):
 
 
 def test_nan_in_a_file_becomes_null(spark, tmp_path):
-    (tmp_path / "m.csv").write_text("id;param;day;value;raw;status;mode\n"
+    (tmp_path / "m.csv").write_text("codearvalis;libellecourt;datemesure;valeur;valeurorigine;idstatut;idmodeobtention\n"
                                     "269;TX;2010-01-01;0.6;;1;2.0\n269;TN;2010-01-01;NaN;-999;1;\n")
     got = scan_measurements_csv(spark, str(tmp_path / "m.csv"))
     assert got.columns == MEASUREMENTS.fieldNames()
@@ -95,6 +95,20 @@ def test_station_file(spark, tmp_path):
     assert (got["station_id"], got["department"], got["Altitude"]) == (9151, 91, 150)
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    """An index column in front and another order move no value."""
+    (tmp_path / "s.csv").write_text(";Station;Altitude;Nom;Latitude;Longitude;En Service;Frequence;Parametres;Lambert93y;Lambert93x\n"
+                                    "0;9151;150;Somewhere;48.4;2.2;O;H;TN TX;6800000;640000\n")
+    got = scan_stations_csv(spark, str(tmp_path / "s.csv")).first()
+    assert (got["station_id"], got["Nom"], got["Latitude"], got["Lambert93x"]) == (9151, "Somewhere", 48.4, 640000.0)
+    (tmp_path / "m.csv").write_text("param;station_id;day;value;raw_value;status\nTX;1;2010-01-01;0.5;;1\n")
+    with pytest.raises(ValueError, match="mode"):
+        scan_measurements_csv(spark, str(tmp_path / "m.csv"))
+    (tmp_path / "m.csv").write_text("param;station_id;day;value;raw_value;status;mode\nTX;1;2010-01-01;warm;;1;2\n")
+    with pytest.raises(Exception, match="warm|MALFORMED"):
+        scan_measurements_csv(spark, str(tmp_path / "m.csv")).collect()
+
+
 def test_periods_are_folders_that_prune(spark, tmp_path):
     df = spark.createDataFrame([(date(y, 6, 1), y) for y in range(2010, 2025)], "day date, y int")
     write_partitioned(df, str(tmp_path / "p"))

@@ -90,12 +90,67 @@ def test_same_seed_same_forest_whatever_the_partitions(spark):
 
 def test_tree_samples_have_the_wanted_size(spark):
     df = spark.createDataFrame(measured())
-    trees = isoforest.grow_forests(df, [isoforest.Forest(("ETP_origine",), 10, 0.2)], ["station_id", "day"])[0]
-    assert len(trees) == 10
+    forest = isoforest.Forest(("ETP_origine", "GLOT_origine"), 10, 0.2)
+    sample = isoforest._samples(df, [forest], [120], 600, ["station_id", "day"], 42, {})
+    sizes = [r["count"] for r in sample.groupBy("tree").count().collect()]
+    assert len(sizes) == 10 and abs(np.mean(sizes) - 120) < 12 and min(sizes) > 80
+    assert isoforest.grow_forests(df, [forest], ["station_id", "day"]).select("tree").distinct().count() == 10
+    assert isoforest.Forest(("a",), 10, 0.2).sample_size(1_000_000) == 200_000
     assert isoforest.Forest(("a",), 10, 0.2).sample_size(600) == 120
     assert isoforest.Forest(("a",), 10, 256).sample_size(100) == 100
 
 
+def test_large_nodes_are_split_by_aggregates(spark):
+    """The same trees in kind: sizes halve, leaves are as deep, planted outliers score high; joins score like one pass."""
+    df = spark.createDataFrame(measured())
+    forest = isoforest.Forest(("ETP_origine", "GLOT_origine", "day_sin"), 30, 0.5)
+    key = ["station_id", "day"]
+    nodes = isoforest.grow_forests(df, [forest], key, task_rows=20)
+    local = isoforest.grow_forests(df, [forest], key)
+    inner, leaves = nodes.filter("feature >= 0").count(), nodes.filter("feature < 0").count()
+    assert leaves == inner + 30 and nodes.select("tree", "node").distinct().count() == nodes.count()
+    assert nodes.agg(F.max(F.length(F.bin("node")))).first()[0] <= 1 + np.ceil(np.log2(300))
+    case = [("s", forest, 0, 30)]
+    one = isoforest.add_scores(df, nodes, case, 600).select(*key, "s").toPandas().sort_values(key)["s"].to_numpy()
+    joined = isoforest.add_scores(df, nodes, case, 600, sent_nodes=0).select(*key, "s").toPandas().sort_values(key)["s"].to_numpy()
+    grown_in_tasks = isoforest.add_scores(df, local, case, 600).select(*key, "s").toPandas().sort_values(key)["s"].to_numpy()
+    np.testing.assert_allclose(one, joined)
+    assert np.corrcoef(one, grown_in_tasks)[0, 1] > 0.8
+
+
+def test_unknown_features_are_refused_unless_stated(spark):
+    df = spark.createDataFrame(measured()).withColumn("GLOT_origine", F.when(F.col("GLOT_origine") > 0, F.col("GLOT_origine")))
+    with pytest.raises(Exception, match="unknown value in GLOT_origine"):
+        isoforest.isolation_forest(df, ["ETP_origine", "GLOT_origine"], 5)
+    out = isoforest.isolation_forest(df, ["ETP_origine", "GLOT_origine"], 5, fill={"GLOT_origine": 0.0})
+    assert out.count() == 600
+
+
+def test_density_keeps_rows_with_unknown_values(spark):
+    pdf = measured()
+    pdf.loc[5, "GLOT_origine"] = None
+    found = density.detect(spark.createDataFrame(pdf).withColumn("anomaly", F.lit(2)), ["ETP"], ["ETP_origine", "GLOT_origine"],
+                           [0.5, 0.2], [5, 3]).toPandas()
+    assert len(found) == 600 and set(found["anomaly_pred"]) <= {0, 1}
+    noise = density.density_noise(spark.createDataFrame(pdf), ["ETP_origine", "GLOT_origine"], 0.5, 3).toPandas()
+    assert len(noise) == 600 and noise.loc[noise["GLOT_origine"].isna(), "noise"].tolist() == [1]
+
+
+@pytest.mark.parametrize("kind", ["spread", "crowd"])
+def test_leaves_do_not_change_the_noise(spark, kind):
+    pdf = points(kind, 5)
+    cols = list(pdf.columns)
+    df = spark.createDataFrame(pdf)
+    counts = []
+    for leaf in (20, 100, 10_000):
+        got = density.density_reach(df, cols, [1.0, 0.6], 6, leaf_points=leaf).toPandas().sort_values(cols)
+        counts.append(np.stack(got["reach"].to_numpy()))
+    for e, eps in enumerate((1.0, 0.6)):
+        _, reach = brute_reach(pdf.drop_duplicates().sort_values(cols).to_numpy(), eps)
+        assert (np.minimum(reach, 6) == counts[0][:, e]).all()
+    assert (counts[0] == counts[1]).all() and (counts[0] == counts[2]).all()
+
+
 def test_one_forest_per_parameter_with_its_own_share(spark):
     out = isoforest.isolation_forest_by_param(spark.createDataFrame(measured()), ["ETP", "GLOT"], trees=40).toPandas()
     assert abs(out["ETP_anomaly_pred"].sum() - 12) <= 2 and abs(out["GLOT_anomaly_pred"].sum() - 12) <= 2
