@@ -166,68 +166,74 @@ def domain_posteriors(docs: DataFrame, model: DomainModel | None, domains: tuple
     return docs.select(*kept, predict(F.coalesce(F.col(text), F.lit(""))).alias("__p")).select(*kept, "__p.n_tokens", "__p.posterior")
 
 
-def rate_column(steps: list[np.ndarray], posterior: str = "posterior") -> Column:
-    """Rate after the given steps: from 1, each adds its weighted posterior and is cut off at 0."""
+def rate_column(steps: list[tuple[np.ndarray, float]], posterior: str = "posterior") -> Column:
+    """Rate after the given steps (weights, momentum): from 1, each adds its weighted posterior and is cut off at 0."""
     if not steps:
         return F.lit(1.0)
-    lists = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps])
-    return F.aggregate(lists, F.lit(1.0), lambda rate, step: F.greatest(F.lit(0.0), rate + F.aggregate(
-        F.zip_with(F.col(posterior), step, lambda p, s: p * s), F.lit(0.0), lambda a, b: a + b)))
+    lists = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in s]).alias("w"), F.lit(float(b)).alias("b")) for s, b in steps])
+
+    def step(acc: Column, one: Column) -> Column:
+        ahead = acc["r"] + one["b"] * (acc["r"] - acc["before"])
+        gain = F.aggregate(F.zip_with(F.col(posterior), one["w"], lambda p, w: p * w), F.lit(0.0), lambda x, y: x + y)
+        return F.struct(F.greatest(F.lit(0.0), ahead + gain).alias("r"), acc["r"].alias("before"))
+
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("before"))
+    return F.aggregate(lists, start, step, lambda acc: acc["r"])
 
 
 def fit_rates(table: DataFrame, targets: dict[str, float], domains: tuple[str, ...], anchor: str, tolerance: float = 1e-6,
-              max_steps: int = 60) -> tuple[list[np.ndarray], np.ndarray]:
+              max_steps: int = 60) -> tuple[list[tuple[np.ndarray, float]], np.ndarray]:
     """Steps of the projected gradient, and the target totals. ``table`` has n_tokens and posterior.
 
     Minimised is the squared distance of the expected totals to the targets,
-    measured by the inverse of G = sum of tokens p p' over the rows that can
-    move, which makes 1 the right step size; deviations of rates count by
-    tokens. The gradient at a document is a weighting of its posteriors, so
-    few numbers per step describe all rates, and every step is one distributed
-    sum. The total of ``anchor`` sets the size of the mixture: its target is what the corpus has.
+    measured by the inverse of G = sum of tokens p p', which makes 1 the right
+    step size; deviations of rates count by tokens. The gradient at a document
+    is a weighting of its posteriors, so few numbers per step describe all
+    rates, and every step, with momentum until that overshoots, is one
+    distributed sum. The total of ``anchor`` sets the size of the mixture: its
+    target is what the corpus has. Where no rates reach the targets, the
+    steps end close to the nearest totals.
     """
     d = len(domains)
     share = np.array([max(0.0, targets.get(k, 0.0)) for k in domains])
     p = [F.element_at("posterior", i + 1) for i in range(d)]
 
-    def sums(steps):
-        rate = F.col("__rate")
-        moved = table.withColumn("__rate", rate_column(steps))
-        total = [F.sum(rate * F.col("n_tokens") * p[i]) for i in range(d)]
-        gram = [F.sum(F.when(rate > 0, F.col("n_tokens") * p[i] * p[j])) for i in range(d) for j in range(i, d)]
-        row = moved.agg(*total, *gram).first()
-        got = np.array([v or 0.0 for v in row[:d]])
-        g = np.zeros((d, d))
-        g[np.triu_indices(d)] = [v or 0.0 for v in row[d:]]
-        return got, g + np.triu(g, 1).T
-
-    steps: list[np.ndarray] = []
-    got, gram = sums(steps)
+    def totals(steps) -> np.ndarray:
+        used = F.col("__rate") * F.col("n_tokens")
+        row = table.withColumn("__rate", rate_column(steps)).agg(*[F.sum(used * c) for c in p]).first()
+        return np.array([v or 0.0 for v in row])
+
+    got = totals([])
     if share.sum() == 0 or got.sum() == 0:
-        return steps, got
+        return [], got
+    gram = table.agg(*[F.sum(F.col("n_tokens") * p[i] * p[j]) for i in range(d) for j in range(d)]).first()
+    inverse = np.linalg.pinv(np.array(gram, float).reshape(d, d), rcond=1e-9)
     at = domains.index(anchor)
     size = got[at] / share[at] if share[at] > 0 and got[at] > 0 else got.sum() / share.sum()
     target = np.where(got > 0, share * size, 0.0)  # a domain of which there is nothing can have no tokens
-    error = float(np.abs(got - target).max())
-    while error > tolerance * target.sum() and len(steps) < max_steps:
-        step = np.linalg.lstsq(gram, target - got, rcond=1e-9)[0]
-        scale = 1.0
-        while True:  # halve a step that makes things worse, as the rates at 0 bend the way
-            trial, trial_gram = sums([*steps, step * scale])
-            new = float(np.abs(trial - target).max())
-            if new < error or scale < 1e-3:
-                break
-            scale /= 2
-        if new >= error * (1 - 1e-9):
+    distance = lambda t: float((target - t) @ inverse @ (target - t))
+    steps: list[tuple[np.ndarray, float]] = []
+    before, momentum, errors = got, 1.0, [distance(got)]
+    while errors[-1] > tolerance ** 2 * float(target @ inverse @ target) and len(steps) < max_steps:
+        after = (1 + np.sqrt(1 + 4 * momentum ** 2)) / 2
+        b = (momentum - 1) / after
+        trial = [*steps, (inverse @ (target - got - b * (got - before)), b)]
+        new = totals(trial)
+        if distance(new) > errors[-1] and b > 0:
+            after, trial = 1.0, [*steps, (inverse @ (target - got), 0.0)]
+            new = totals(trial)
+        if distance(new) >= errors[-1]:
+            break
+        steps, before, got, momentum = trial, got, new, after
+        errors.append(distance(new))
+        if len(errors) > 8 and errors[-1] > 0.98 * errors[-8]:
             break
-        steps.append(step * scale)
-        got, gram, error = trial, trial_gram, new
     return steps, target
 
 
 def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, domains: tuple[str, ...] = DOMAINS,
-            anchor: str = "high", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, posterior (by ``domains``), rate and copies; input columns with these names are replaced.
+            anchor: str = "high", key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with n_tokens, posterior (by ``domains``), rate and copies; input columns with these names are replaced.
 
     ``copies`` is the rate rounded up or down by the hash of key and text, so
     that it is right on average and the same in every run. Null and empty
@@ -235,17 +241,18 @@ def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | No
     """
     targets = TARGETS if targets is None else targets
     model = fit_domains(docs, labelled, key, text)
-    kept = [c for c in docs.columns if c not in ("n_tokens", "posterior", "rate", "copies")]
-    table = stage_table(domain_posteriors(docs.select(*kept), model, domains, text), "posteriors")
-    steps, _ = fit_rates(table.select("n_tokens", "posterior"), targets, domains, anchor)
+    kept = [c for c in keep or docs.columns if c not in ("n_tokens", "posterior", "rate", "copies")]
     chance = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit(13)), F.lit(1 << 30)) / float(1 << 30)
+    marked = docs.select(*kept, *[c for c in {text} - {*kept}], chance.alias("__chance"))
+    table = stage_table(domain_posteriors(marked, model, domains, text).select(*kept, "__chance", "n_tokens", "posterior"), "posteriors")
+    steps, _ = fit_rates(table.select("n_tokens", "posterior"), targets, domains, anchor)
     rated = table.withColumn("rate", rate_column(steps))
-    return rated.withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
+    return rated.withColumn("copies", F.floor(F.col("rate") + F.col("__chance")).cast("long")).drop("__chance")
 
 
 def sampled(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, each as often as its ``copies`` say, with the same columns whatever their names."""
     rows = docs.select(F.struct("*").alias("__row"), F.col(key).alias("__key"), F.col(text).alias("__text"))
     labelled = labelled.withColumnRenamed(key, "__key")
-    mixed = mixture(rows, labelled, key="__key", text="__text", **options).where("copies > 0")
+    mixed = mixture(rows, labelled, key="__key", text="__text", keep=["__row"], **options).where("copies > 0")
     return mixed.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")

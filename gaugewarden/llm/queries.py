@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, share_package
 from . import encode, exact_dedup, language_id, mixing, packing, secret_scan, simhash, token_counts, token_files, vector_dedup, warc
 
 #: Vocabulary the queries use; the operators take any path.
@@ -18,7 +18,11 @@ ORACLES: dict[str, str] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        share_package(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -34,7 +38,7 @@ def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_mixture_rates(spark, sf_dir):
     """Tokens, domain posteriors, fitted rate and copies of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mixed = mixing.mixture(docs, domain_labels(spark, sf_dir))
+    mixed = mixing.mixture(docs, domain_labels(spark, sf_dir), keep=["doc_id"])
     shares = [F.round(F.col("posterior")[i], 9).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)]
     return mixed.select("doc_id", "n_tokens", *shares, "rate", "copies")
 

@@ -82,7 +82,7 @@ def test_rates_meet_targets(spark, targets):
     assert (rate >= 0).all() and target[0] == pytest.approx((tokens * p[:, 0]).sum())
     best = brute_rates(tokens.astype(float), p, target, 3_000)
     reach = np.abs((best[:, None] * tokens[:, None] * p).sum(axis=0) - target).max()
-    assert np.abs(got - target).max() <= reach * 1.05 + 1e-3 * target.sum()
+    assert np.abs(got - target).max() <= reach + (1e-5 if reach < 1e-3 else 0.025) * target.sum()
 
 
 def test_mixture_of_the_labelled_table(spark, docs):
