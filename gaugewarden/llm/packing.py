@@ -33,7 +33,7 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     for k in range(1, UNIT_FRACTIONS + 1):
         scaled = (k + 1) * size
         whole = scaled % capacity == 0
-        steps = np.where(whole, scaled * k, scaled // capacity * capacity)  # times k * capacity
+        steps = np.where(whole, k * size, scaled // capacity * capacity)  # times k * capacity
         best = max(best, -(-int((counts * steps).sum()) // (k * capacity)))
     return best
 
