@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugewarden.llm import exact_dedup, language_id, mixing, queries, simhash
-from gaugewarden.session import stage_table
+from gaugewarden.session import share_package, stage_table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +46,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents table, each written as Parquet and read again."""
+    share_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))

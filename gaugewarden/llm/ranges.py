@@ -50,5 +50,6 @@ def in_shards(df: DataFrame, key: str, starts: np.ndarray, *then: str) -> DataFr
         out[known] = np.searchsorted(starts, keys[known].to_numpy(np.int64), side="right")
         return pd.Series(out)
 
-    return df.withColumn("shard", shard(F.col(key).cast("long"))).repartition(len(starts) + 1, "shard").sortWithinPartitions(
-        "shard", F.col(key).asc_nulls_first(), *then)
+    # ranges, not hashes, of the shard number: hashing would put several shards into one task and none into others
+    dealt = df.withColumn("shard", shard(F.col(key).cast("long"))).repartitionByRange(len(starts) + 1, "shard")
+    return dealt.sortWithinPartitions("shard", F.col(key).asc_nulls_first(), *then)

@@ -22,7 +22,7 @@ PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{
 SPECIAL = re.compile("|".join(map(re.escape, SPECIALS)))
 #: Above these characters lower-casing and composing depend on more than the single character.
 BEYOND = re.compile("[^\x00-į]")
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 LONG_CHUNK = 64
 
 

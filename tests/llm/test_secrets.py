@@ -32,7 +32,7 @@ def test_base_matches():
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(25)))
         assert sorted(secret_scan.matches(text)) == plain(text)
         hits += bool(plain(text))
-    assert hits > 500
+    assert hits > 300
 
 
 def b64(data):
