@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import fixtures as fx
+from ..session import share_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,6 +16,7 @@ def query(name: str, select: str | None = None, *sources: str):
 
     def keep(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            share_package(spark)
             return rounded(fn(spark, sf_dir))
 
         run.__name__ = name
