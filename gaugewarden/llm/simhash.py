@@ -25,6 +25,8 @@ GOLAY, GOLAY_RADIUS, REPEAT, REPEAT_RADIUS = 23, 3, 9, 4
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (a fixed value).
 GENERATOR = 0b101011100011
 SHINGLES_AT_ONCE = 200_000
+#: Most buckets of dropped rows that are sent to all tasks, as one number each.
+BUCKETS = 1 << 20
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -182,5 +184,12 @@ def first_of_groups(docs: DataFrame, threshold: int = 2, width: int = 3, text: s
     place = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"))
     rows = stage_table(docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text"), place.alias("__place")),
                        "near-duplicate-input")
-    stay = near_duplicates(rows, threshold, width, "__text", "__place").where("__place = component_id").select("__place.row")
-    return rows.join(stay, F.col("__place.row") == F.col("row"), "left_semi").select("__row.*")
+    gone = near_duplicates(rows, threshold, width, "__text", "__place").where("__place != component_id").select("__place.row")
+    gone = stage_table(gone.withColumn("bucket", F.pmod("row", F.lit(BUCKETS))), "near-duplicate-rows")
+    # only rows in a bucket with a dropped one are shuffled; there are BUCKETS numbers at most to send to all tasks
+    buckets = F.broadcast(gone.select("bucket").distinct())
+    marked = rows.withColumn("__bucket", F.pmod("__place.row", F.lit(BUCKETS)))
+    met = F.col("__bucket") == F.col("bucket")
+    alone = marked.join(buckets, met, "left_anti")
+    kept = marked.join(buckets, met, "left_semi").join(gone.select("row"), F.col("__place.row") == F.col("row"), "left_anti")
+    return alone.unionByName(kept).select("__row.*")
