@@ -79,7 +79,7 @@ def _with_originals(pages: DataFrame, key: str, html: str, url: str, min_bytes:
 
 
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", html: str = "html", url: str = "url", min_bytes: int = 0,
-                   file_bytes: int = 64_000_000, rows_per_shard: int = 4_000, max_shards: int = 10_000) -> DataFrame:
+                   file_bytes: int = 64_000_000, rows_per_shard: int = 1_000, max_shards: int = 10_000) -> DataFrame:
     """Write ``pages`` below ``folder``; return the manifest, one row per file, staged and thus done.
 
     Of pages with equal payloads of at least ``min_bytes`` bytes the one with
