@@ -41,6 +41,28 @@ def test_rejection_and_odd_rows(spark, docs):
     assert language_id.identify_languages(odd(spark).limit(0), model).count() == 0
 
 
+def test_short_texts_are_judged_too(spark, docs):
+    model = language_id.fit_languages(docs)
+    strange = ["蜀道之难难于上青天", "Съешь же ещё этих мягких булок", "こんにちは世界", "안녕하세요 세계", "שלום עולם", "مرحبا بالعالم", "Καλημέρα κόσμε",
+               "qxzjv kqxwz vvqjx zzxkq jjqwx"]
+    found = language_id.identify_languages(odd(spark, list(enumerate(strange))), model).collect()
+    assert [r.text for r in found if not r.rejected] == []
+    rng = np.random.default_rng(1)
+    cuts = []
+    for r in docs.where("length(text) > 200").select("text").collect():  # clean cuts of a word to a few sentences
+        n = int(rng.integers(8, 200))
+        at = int(rng.integers(len(r.text) - n))
+        cuts.append(r.text[at:at + n])
+    found = language_id.identify_languages(odd(spark, list(enumerate(cuts))), model).where("lang_pred <> 'und'").collect()
+    assert len(found) > 900 and np.mean([r.rejected for r in found]) < 0.005
+
+
+def test_bounds_do_not_hang_on_mislabelled_rows(spark, docs):
+    wrong = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 50 == 0, "de").otherwise(F.col("lang")))
+    clean, mixed = (language_id.fit_languages(d) for d in (docs, wrong))
+    assert clean.bounds.shape == (len(clean.languages), len(language_id.CUT_SIZES)) and (mixed.bounds[:, 4:] > 0.5 * clean.bounds[:, 4:]).all()
+
+
 def test_nothing_to_learn_from(spark):
     model = language_id.fit_languages(odd(spark).withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in language_id.identify_languages(odd(spark), model).collect()} == {"und"}
