@@ -1,21 +1,23 @@
 """Secret scans with a worklist of decoded layers.
 
 A text is scanned as it is, then as every layer that can be decoded from it:
-percent escapes, Unicode escapes, base64 runs and what they hold compressed.
-Each layer carries, for every character, the piece of the original text it
+percent escapes, Unicode escapes, base64 runs (also wrapped ones, at all four
+alignments) and what any of them hold compressed. Bytes that are no UTF-8 are
+scanned as Latin-1 and for ASCII in UTF-16. Each layer carries, for every character, the piece of the original text it
 came from, so matches in a layer are reported as spans of the original. Layers
 already seen at the same place are not taken again, which ends cycles.
 """
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
 from array import array
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 import zstandard
@@ -32,6 +34,11 @@ PERCENT = re.compile("(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 BASE64 = re.compile("[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+NOT_BASE64 = re.compile("[^A-Za-z0-9+/_-]+")
+#: First bytes of gzip, zlib, bzip2, xz and zstandard.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+WIDE = re.compile(rb"(?:[\x09-\x7e]\x00){12,}|(?:\x00[\x09-\x7e]){12,}")
 CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f�]")
 
 RESULT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, n_unread long"
@@ -50,16 +57,23 @@ def matches(text: str) -> list[tuple[int, str, int]]:
 
 @dataclass
 class Layer:
-    """A decoded text; character i came from the original's characters low[i] to high[i] (exclusive)."""
+    """A decoded text or decoded bytes; ``local`` gives the place of a part in the layer ``parent`` it came from.
 
-    text: str
-    low: array | None = None
-    high: array | None = None
+    ``read``: the text of these bytes is a layer already.
+    """
+
+    data: str | bytes
+    parent: "Layer | None" = None
+    local: Callable[[int, int], tuple[int, int]] | None = None
+    read: bool = False
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        if self.low is None:
-            return start, end
-        return self.low[start], max(self.high[start:end])
+        """The place of a part in the original text."""
+        layer = self
+        while layer.parent is not None:
+            start, end = layer.local(start, end)
+            layer = layer.parent
+        return start, end
 
 
 @dataclass
@@ -70,39 +84,53 @@ class Found:
     unread: int = 0
 
 
-def inflate(data: bytes, limit: int) -> bytes | None:
-    """One compressed layer taken off, None if there is none; ``OverflowError`` beyond ``limit`` bytes."""
-    if data[:2] == b"\x1f\x8b":
-        unzip = zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-        unzip = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        unzip = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        unzip = lzma.LZMADecompressor()
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
-        unzip = None
-    else:
-        return None
-    try:
-        if unzip is None:
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out = reader.read(limit + 1)
-        else:
-            out = unzip.decompress(data, limit + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    if len(out) > limit:
-        raise OverflowError
-    return out
+def inflate(data: bytes, limit: int) -> tuple[bytes, int] | None:
+    """What all compressed members at the start of ``data`` hold, and how many bytes they take; None if there are none.
 
-
-def readable(data: bytes) -> str | None:
+    ``OverflowError`` beyond ``limit`` bytes.
+    """
+    out, size, at, view = [], 0, 0, memoryview(data)
+    while m := PACKED.match(data, at):
+        head = m.group()
+        try:
+            if head == b"\x28\xb5\x2f\xfd":
+                end = len(data)
+                with zstandard.ZstdDecompressor().stream_reader(view[at:], read_across_frames=True) as reader:
+                    while size <= limit and (part := reader.read(min(1 << 20, limit + 1 - size))):
+                        out.append(part)
+                        size += len(part)
+            else:
+                unzip = (zlib.decompressobj(31) if head[0] == 0x1F else zlib.decompressobj() if head[0] == 0x78 else
+                         bz2.BZ2Decompressor() if head[0] == 0x42 else lzma.LZMADecompressor())
+                out.append(unzip.decompress(view[at:], limit + 1 - size))
+                size += len(out[-1])
+                end = len(data) - len(unzip.unused_data)
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+            if head != b"\x28\xb5\x2f\xfd":
+                break
+        if size > limit:
+            raise OverflowError
+        at = end
+        padded = len(data) - len(data[at:].lstrip(b"\0"))
+        if padded > at and PACKED.match(data, padded):
+            at = padded
+    return (b"".join(out), at) if size else None
+
+
+def views(data: bytes, start: int, end: int, read: bool):
+    """(text, offset of each character and of the end, clean) of the ways to read a part of ``data``."""
+    part = data[start:end]
+    for m in WIDE.finditer(part):
+        yield m.group().replace(b"\0", b"").decode(), range(start + m.start(), start + m.end() + 1, 2), True
+    if read or not part:
+        return
     try:
-        text = data.decode()
+        text = part.decode()
     except UnicodeDecodeError:
-        return None
-    return None if not text or CONTROL.search(text) else text
+        yield part.decode("latin-1"), range(start, end + 1), False
+        return
+    at = range(start, end + 1) if len(text) == len(part) else [start, *(start + n for n in accumulate(len(c.encode()) for c in text))]
+    yield text, at, not CONTROL.search(text)
 
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -111,25 +139,21 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     low, high, at = array("q"), array("q"), 0
 
     def keep(a: int, b: int) -> None:
-        parts.append(layer.text[a:b])
-        low.extend(range(a, b) if layer.low is None else layer.low[a:b])
-        high.extend(range(a + 1, b + 1) if layer.high is None else layer.high[a:b])
+        parts.append(layer.data[a:b])
+        low.extend(range(a, b))
+        high.extend(range(a + 1, b + 1))
 
-    for m in pattern.finditer(layer.text):
-        pieces = decode(m)
-        if pieces is None:
-            continue
+    for m in pattern.finditer(layer.data):
         keep(at, m.start())
-        for chars, a, b in pieces:
-            s, e = layer.span(a, b)
+        for chars, a, b in decode(m):
             parts.append(chars)
-            low.extend([s] * len(chars))
-            high.extend([e] * len(chars))
+            low.extend([a] * len(chars))
+            high.extend([b] * len(chars))
         at = m.end()
     if not at:
         return None
-    keep(at, len(layer.text))
-    return Layer("".join(parts), low, high)
+    keep(at, len(layer.data))
+    return Layer("".join(parts), layer, lambda s, e: (low[s], high[e - 1]))
 
 
 def _percent(m: re.Match):
@@ -137,13 +161,30 @@ def _percent(m: re.Match):
     out, i = [], 0
     while i < len(data):  # characters one by one, so that each keeps its own place
         n = next((k for k in (1, 2, 3, 4) if _whole(data[i:i + k])), 0)
-        if not n:
-            return None
-        out.append((data[i:i + n].decode(), m.start() + 3 * i, m.start() + 3 * (i + n)))
+        n, char = (n, data[i:i + n].decode()) if n else (1, chr(data[i]))
+        out.append((char, m.start() + 3 * i, m.start() + 3 * (i + n)))
         i += n
     return out
 
 
+def _percent_bytes(m: re.Match):
+    return [(chr(x), m.start() + 3 * i, m.start() + 3 * i + 3) for i, x in enumerate(bytes.fromhex(m.group().replace("%", "")))]
+
+
+def _bytes(layer: Layer | None) -> Layer | None:
+    """A decoded layer as bytes, one for each character up to U+00FF, if they hold something compressed or in UTF-16."""
+    if layer is None:
+        return None
+    parts = [c.encode("latin-1") if c <= "\xff" else c.encode(errors="replace") for c in layer.data]
+    data = b"".join(parts)
+    if not PACKED.search(data) and not WIDE.search(data):
+        return None
+    of = array("q")
+    for i, p in enumerate(parts):
+        of.extend([i] * len(p))
+    return Layer(data, layer, lambda s, e: (of[s], of[e - 1] + 1), True)
+
+
 def _whole(data: bytes) -> bool:
     try:
         return len(data.decode()) == 1
@@ -159,48 +200,61 @@ def _escape(m: re.Match):
         code, a, b = units[i]
         if 0xD800 <= code < 0xDC00 and i + 1 < len(units) and 0xDC00 <= units[i + 1][0] < 0xE000:
             code, b, i = 0x10000 + (code - 0xD800 << 10) + units[i + 1][0] - 0xDC00, units[i + 1][2], i + 1
-        if code > 0x10FFFF or 0xD800 <= code < 0xE000:
-            return None
-        out.append((chr(code), a, b))
+        out.append(("\ufffd" if code > 0x10FFFF or 0xD800 <= code < 0xE000 else chr(code), a, b))
         i += 1
     return out
 
 
-def _base64(layer: Layer, m: re.Match, limit: int) -> Layer | None:
-    run = m.group().rstrip("=")
-    if len(run) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-    except binascii.Error:
-        return None
-    whole = layer.span(m.start(), m.end())
-    packed = False
-    while (inner := inflate(data, limit)) is not None:
-        data, packed = inner, True
-    text = readable(data)
-    if text is None:
-        return None
-    low, high = array("q"), array("q")
-    if packed:
-        low.extend([whole[0]] * len(text))
-        high.extend([whole[1]] * len(text))
-        return Layer(text, low, high)
+def _base64(layer: Layer, m: re.Match):
+    """The bytes of a run at each of the four alignments."""
+    places = array("q")
     at = 0
-    for c in text:
-        n = len(c.encode())
-        s, e = layer.span(m.start() + at * 4 // 3, min(m.end(), m.start() + -(-(at + n) * 4 // 3)))
-        low.append(s)
-        high.append(e)
-        at += n
-    return Layer(text, low, high)
+    for a, b in [*((g.start(), g.end()) for g in NOT_BASE64.finditer(m.group())), (len(m.group()), 0)]:
+        places.extend(range(m.start() + at, m.start() + a))
+        at = b
+    run = NOT_BASE64.sub("", m.group()).replace("-", "+").replace("_", "/")
+    for skip in range(4):
+        part = run[skip:]
+        part = part[:-1] if len(part) % 4 == 1 else part
+        data = base64.b64decode(part + "=" * (-len(part) % 4))
+
+        def local(s: int, e: int, skip=skip, n=len(data)) -> tuple[int, int]:
+            if (s, e, skip) == (0, n, 0):
+                return m.start(), m.end()
+            return places[skip + s * 4 // 3], places[skip - (-e * 4 // 3) - 1] + 1
+
+        yield Layer(data, layer, local)
+
+
+def _unpack(raw: Layer, limit: int, found: Found):
+    """(layer, clean) of what the bytes hold: compressed streams as bytes, all between them as texts."""
+    at = look = 0
+    parts = []
+    while m := PACKED.search(raw.data, look):
+        start = m.start()
+        try:
+            opened = inflate(raw.data[start:] if start else raw.data, limit)
+        except OverflowError:
+            found.unread += 1
+            opened = b"", len(raw.data) - start
+        if opened is None:
+            look = start + 1
+            continue
+        data, n = opened
+        parts.append((at, start))
+        at = look = start + n
+        yield Layer(data, raw, lambda s, e, place=(start, at): place), False
+    for start, end in [*parts, (at, len(raw.data))]:
+        for text, place, clean in views(raw.data, start, end, raw.read):
+            yield Layer(text, raw, lambda s, e, place=place: (place[s], place[e])), clean
 
 
 def scan(text: str, max_layer_bytes: int = 1 << 26) -> Found:
     """All secrets of a text and of the layers decoded from it.
 
     A compressed layer over ``max_layer_bytes`` is counted in ``unread``
-    instead of being opened, as a few bytes can stand for any amount.
+    instead of being opened, as a few bytes can stand for any amount. Layers
+    with bytes that are no text count as layers only where a secret is found.
     """
     found = Found(base=matches(text))
     found.spans.update(found.base)
@@ -208,28 +262,34 @@ def scan(text: str, max_layer_bytes: int = 1 << 26) -> Found:
     work = [Layer(text)]
     while work:
         layer = work.pop()
-        made = []
-        if "%" in layer.text:
-            made.append(_replaced(layer, PERCENT, _percent))
-        if "\\" in layer.text or "&#" in layer.text:
-            made.append(_replaced(layer, ESCAPE, _escape))
-        for m in BASE64.finditer(layer.text):
-            try:
-                made.append(_base64(layer, m, max_layer_bytes))
-            except OverflowError:
-                found.unread += 1
-        for new in made:
-            if new is None:
+        made: list[tuple[Layer | None, bool]] = []
+        if isinstance(layer.data, bytes):
+            made.extend(_unpack(layer, max_layer_bytes, found))
+        else:
+            if "%" in layer.data:
+                made += [(_replaced(layer, PERCENT, _percent), True), (_bytes(_replaced(layer, PERCENT, _percent_bytes)), False)]
+            if "\\" in layer.data or "&#" in layer.data:
+                escaped = _replaced(layer, ESCAPE, _escape)
+                made += [(escaped, True), (_bytes(escaped), False)]
+            for pattern in (BASE64, WRAPPED):
+                for m in pattern.finditer(layer.data):
+                    made.extend((x, False) for x in _base64(layer, m))
+        for new, clean in made:
+            if new is None or not new.data:
                 continue
-            mark = (hashlib.sha256(new.text.encode(errors="surrogatepass")).digest(), new.low[0], new.high[-1]) if new.text else None
-            if mark is None or mark in seen:
+            data = new.data if isinstance(new.data, bytes) else new.data.encode(errors="surrogatepass")
+            mark = (hashlib.sha256(data).digest(), type(new.data), new.read, new.span(0, len(new.data)))
+            if mark in seen:
                 continue
             seen.add(mark)
-            found.layers += 1
-            for start, kind, end in matches(new.text):
+            work.append(new)
+            if isinstance(new.data, bytes):
+                continue
+            hits = matches(new.data)
+            found.layers += bool(clean or hits)
+            for start, kind, end in hits:
                 a, b = new.span(start, end)
                 found.spans.add((a, kind, b))
-            work.append(new)
     return found
 
 

@@ -1,9 +1,13 @@
 """Secret scans: base matches by the plain definition, and spans of nested layers."""
 
 import base64
+import bz2
 import gzip
+import io
+import lzma
 import random
 import re
+import tarfile
 from urllib.parse import quote
 
 import zstandard
@@ -65,6 +69,46 @@ def test_layers():
     assert any(kind == "access" for _, kind in spans_of(f"- {mixed} -"))
 
 
+def kinds_of(text):
+    return {kind for _, kind in spans_of(text)}
+
+
+def test_compressed_bytes_in_every_encoding():
+    packed = gzip.compress(TOKEN.encode(), mtime=0)
+    for text in (quote(packed, safe=""), "".join(f"\\x{b:02x}" for b in packed), "".join(f"\\u{b:04x}" for b in packed)):
+        assert "assign" in kinds_of(f"see {text} end")
+    assert "access" in kinds_of("x %ff%41" + KEY[1:] + " y")
+
+
+def test_all_members_are_read():
+    for pack in (lambda b: gzip.compress(b), bz2.compress, lzma.compress, zstandard.compress):
+        assert "access" in kinds_of(f"x {b64(pack(b'first ') + pack(KEY.encode()))} y")
+        assert "access" in kinds_of(f"x {b64(pack(KEY[:9].encode()) + pack(KEY[9:].encode()))} y")
+
+
+def test_layers_with_bytes_that_are_no_text():
+    assert "access" in kinds_of(f"x {b64(KEY.encode('utf-16'))} y") and "access" in kinds_of(f"x {b64(KEY.encode('utf-16-be'))} y")
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w:gz") as t:
+        info = tarfile.TarInfo("a")
+        info.size = len(TOKEN)
+        t.addfile(info, io.BytesIO(TOKEN.encode()))
+    assert "assign" in kinds_of(f"x {b64(tar.getvalue())} y")
+    assert "access" in kinds_of(f"x {b64(bytes([0, 255, 1]) + KEY.encode())} y")
+
+
+def test_wrapped_and_shifted_base64():
+    noise = bytes(random.Random(5).randrange(256) for _ in range(300))
+    run = b64(gzip.compress(noise + b" " + KEY.encode()))
+    for end in ("\n", "\r\n", "\n  "):
+        assert "access" in kinds_of("x\n" + end.join(run[i:i + 76] for i in range(0, len(run), 76)) + "\ny")
+    run = b64("some words before " + KEY + " and after")
+    for i in range(8, 48):
+        assert "access" in kinds_of(f"{run[:i]}\n{run[i:]}") or i < 16
+    for skip in range(4):
+        assert "access" in kinds_of("abc"[:skip] + run)
+
+
 def test_prose_and_broken_layers_are_left_alone():
     for text in ("", "100% of it", "%zz %C3 %ff%fe", "\\u12 \\ud800 &#99999999;", "internationalisation" * 3, "A" * 40, b64(b"\x1f\x8b bad"),
                  "=" * 50, b64(bytes(range(256)))):
