@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, share_package
-from . import encode, exact_dedup, language_id, mixing, packing, secret_scan, simhash, token_counts, token_files, vector_dedup, warc
+from . import decontamination, encode, exact_dedup, language_id, mixing, packing, secret_scan, simhash, token_counts, token_files, vector_dedup, warc
 
 #: Vocabulary the queries use; the operators take any path.
 VOCABULARY = "word_bpe_49k.json"
@@ -126,3 +126,34 @@ def op10_language_id(spark, sf_dir):
     model = language_id.fit_languages(docs.where("remainder <> 1"))
     return language_id.identify_languages(docs.select("doc_id", "text", "remainder"), model).select(
         "doc_id", F.coalesce(F.col("remainder") == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op11_benchmark_overlap(spark, sf_dir):
+    """Words, hit words and items found of every document."""
+    found = decontamination.find_benchmark_text(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["last"] - h["first"] + 1)
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def _words_sql(of: str) -> str:
+    lower = f"translate(coalesce({of}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+# Windows are numbered by their first word; a document is keyed by its row, as ids may repeat.
+ORACLES["op11_benchmark_overlap"] = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words_sql('text')} AS w FROM documents),
+    b AS (SELECT item_id, {_words_sql('text')} AS w FROM benchmark),
+    wanted AS (SELECT DISTINCT item_id, least(len(w), 10) AS m,
+        unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS phrase
+        FROM b WHERE len(w) > 0),
+    there AS (SELECT r, m, unnest(range(1, len(w) - m + 2)) AS i, w FROM d, (SELECT DISTINCT m FROM wanted) WHERE len(w) >= m),
+    met AS (SELECT r, i, t.m, item_id FROM there t JOIN wanted ON t.m = wanted.m AND array_to_string(w[i:i + t.m - 1], ' ') = phrase),
+    covered AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + m)) FROM met) GROUP BY r),
+    named AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+        FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM met WHERE item_id IS NOT NULL) GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)"""
