@@ -1,12 +1,13 @@
 """One registered query per operator on its whole table, with the SQL it must agree with where SQL can say it."""
 
 from collections.abc import Callable
+import hashlib
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, share_package
-from . import decontamination, encode, exact_dedup, language_id, mixing, packing, secret_scan, simhash, token_counts, token_files, vector_dedup, warc
+from . import centroids, decontamination, encode, exact_dedup, language_id, mixing, packing, secret_scan, simhash, token_counts, token_files, vector_dedup, warc
 
 #: Vocabulary the queries use; the operators take any path.
 VOCABULARY = "word_bpe_49k.json"
@@ -157,3 +158,35 @@ ORACLES["op11_benchmark_overlap"] = f"""
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
         sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
     FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)"""
+
+
+@query
+def op12_centroid_clusters(spark, sf_dir):
+    clustered, final = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in final.tolist()]
+    return clustered.withColumn("centroid_sha256", F.array(*map(F.lit, digests)).cast("array<string>")[F.col("cluster")])
+
+
+def _rounds_sql(rounds: int) -> str:
+    near = "SELECT r, i, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, i) AS place FROM ({})) WHERE place = 1"
+    gap = ("SELECT r, i, CAST(list_sum(list_transform(range(1, 65), lambda j: (x[j] - c[j]) * (x[j] - c[j]))) AS BIGINT) AS d"
+           " FROM v, c{}")
+    steps = []
+    for n in range(rounds):
+        steps += [f"a{n} AS MATERIALIZED ({near.format(gap.format(n))})",
+                  f"""m{n} AS (SELECT i, list(f ORDER BY j) AS c FROM (SELECT i, j, CAST(floor_div AS BIGINT) AS f FROM (
+                      SELECT i, j, (CAST(sum(y) AS BIGINT) - ((CAST(sum(y) AS BIGINT) % count(*)) + count(*)) % count(*)) // count(*) AS floor_div
+                      FROM (SELECT i, unnest(range(1, 65)) AS j, unnest(x) AS y FROM a{n} JOIN v USING (r)) GROUP BY i, j)) GROUP BY i)""",
+                  f"c{n + 1} AS MATERIALIZED (SELECT i, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (i))"]
+    steps.append(f"a{rounds} AS MATERIALIZED ({near.format(gap.format(rounds))})")
+    return ", ".join(steps)
+
+
+ORACLES["op12_centroid_clusters"] = f"""
+    WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+        FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS i, x AS c FROM v QUALIFY i < 40),
+    {_rounds_sql(centroids.ROUNDS)}
+    SELECT vec_id, CAST(i AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY i) AS BIGINT) AS cluster_inertia,
+        CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a{centroids.ROUNDS} JOIN v USING (r) JOIN c{centroids.ROUNDS} USING (i)"""
