@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, share_package
-from . import centroids, decontamination, encode, exact_dedup, language_id, mixing, packing, secret_scan, simhash, token_counts, token_files, vector_dedup, warc
+from . import centroids, collocations, decontamination, encode, exact_dedup, language_id, mixing, packing, secret_scan, simhash, token_counts, token_files, vector_dedup, warc
 
 #: Vocabulary the queries use; the operators take any path.
 VOCABULARY = "word_bpe_49k.json"
@@ -190,3 +190,28 @@ ORACLES["op12_centroid_clusters"] = f"""
     SELECT vec_id, CAST(i AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY i) AS BIGINT) AS cluster_inertia,
         CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
     FROM a{centroids.ROUNDS} JOIN v USING (r) JOIN c{centroids.ROUNDS} USING (i)"""
+
+
+@query
+def op13_phrase_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+_PIECES = ("unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+           "'[.,;:!?\\x0A-\\x0D]'))")
+ORACLES["op13_phrase_collocations"] = f"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT lang, {_PIECES} AS piece FROM documents)),
+    f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM (SELECT lang, size, unnest(list_transform(
+        range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+        FROM p, (SELECT unnest(range(1, 4)) AS size) WHERE len(w) >= size) GROUP BY ALL),
+    totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+    c AS MATERIALIZED (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+    cuts AS (SELECT c.lang, c.phrase, a, k, lf.f AS l, rf.f AS r, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(lf.f AS HUGEINT) * rf.f) AS BIGINT) AS score
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
+        JOIN f lf ON lf.lang = c.lang AND lf.phrase = array_to_string(w[1:k], ' ')
+        JOIN f rf ON rf.lang = c.lang AND rf.phrase = array_to_string(w[k + 1:], ' ')),
+    scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inner_ AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a AS longer FROM c WHERE size = 3),
+    kept AS (SELECT * FROM scored s WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = s.lang AND i.phrase = s.phrase AND 100 * longer >= 50 * a))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000"""
