@@ -114,7 +114,7 @@ def _repeat_options(part: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def anchors(prints: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, anchor) of every anchor within covering radius plus ``threshold``; with 0, each row's home alone."""
+    """(row, anchor) of every anchor within covering radius plus ``threshold``; with 0, each row's home alone, in the order of the rows."""
     if not 0 <= threshold <= 2:
         raise ValueError("the error patterns are listed for a threshold of at most 2 bits")
     v = prints.view(np.uint64) if prints.dtype == np.int64 else prints.astype(np.uint64)
@@ -126,6 +126,9 @@ def anchors(prints: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]
         bits = width if width == GOLAY else 1
         row, anchor, left = row[at], anchor[at] << bits | word, left[at] - excess
         shift += width
+    if threshold == 0:  # the two words of a repetition code come one after the other
+        anchor = anchor[np.argsort(row, kind="stable")]
+        row = np.arange(len(v))
     return row, anchor
 
 
