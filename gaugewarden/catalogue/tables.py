@@ -250,15 +250,16 @@ def _(spark, sf_dir):
     return known.withColumns({"prefix": name_prefix(F.col("name")), "plain": F.replace("name", F.lit("_origine"), F.lit(""))})
 
 
-@query("array_functions", """SELECT vec_id, round(list_sum(list_transform(embedding[1:8], lambda v: CAST(v AS DOUBLE) * 2)), 6)
-    AS head_doubled, len(embedding) // 8 AS steps, round(CAST(embedding[9] AS DOUBLE), 6) AS second_step FROM embeddings""")
+@query("array_functions", f"""SELECT vec_id, CAST(step AS INTEGER) AS step, {r6('list_sum(v) * 2 AS doubled', 'v[1] AS first', 'v[8] AS last')}
+    FROM (SELECT vec_id, step, list_transform(embedding[step * 8 + 1:step * 8 + 8], lambda e: CAST(e AS DOUBLE)) AS v
+    FROM (SELECT *, unnest(range(len(embedding) // 8)) AS step FROM embeddings))""")
 def _(spark, sf_dir):
+    """All values of each array as stacked windows of eight."""
     v = F.transform("embedding", lambda x: x.cast("double"))
-    head = F.transform(F.slice(v, 1, 8), lambda x: x * 2)
-    stacked = F.transform(F.sequence(F.lit(1), F.floor(F.size(v) / 8).cast("int")), lambda i: F.slice(v, (i - 1) * 8 + 1, 8))
-    return fx.table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.aggregate(head, F.lit(0.0), lambda a, x: a + x).alias("head_doubled"),
-        F.size(stacked).cast("long").alias("steps"), F.flatten(stacked)[8].alias("second_step"))
+    windows = F.transform(F.sequence(F.lit(0), (F.size(v) / 8).cast("int") - 1), lambda i: F.slice(v, i * 8 + 1, 8))
+    doubled = F.aggregate(F.transform("w", lambda x: x * 2), F.lit(0.0), lambda a, x: a + x)
+    stacked = fx.table(spark, sf_dir, "embeddings").filter(F.size("embedding") >= 8).select("vec_id", F.posexplode(windows).alias("step", "w"))
+    return stacked.select("vec_id", "step", doubled.alias("doubled"), F.col("w")[0].alias("first"), F.element_at("w", -1).alias("last"))
 
 
 @query("label_anomalies", f"SELECT {E_LABEL} FROM e_label", "e_label")

@@ -1,38 +1,51 @@
 """Reproducible samples and splits.
 
 Random choices are taken in the order of an MD5 of the key and a seed. A
-sample of exact size needs the hash at which to cut; it is found from counts
-per hash prefix and the rows of one prefix, so the rows themselves are only
-filtered and never sorted or gathered.
+sample of exact size needs the hash at which to cut. The hashes are written
+once; the cut is then found digit by digit from counts per prefix, and only the
+last few hashes are looked at, so no task ranks a share of the rows.
 """
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import hash_order
 from ..schema import KEYS
+from ..session import stage_table
 
-PREFIX = 5
+#: Digits by which a prefix is lengthened at a time: 4,096 counts.
+DIGITS = 3
+#: Most hashes that are fetched to find the last one.
+EDGE = 1_000
+HASH_DIGITS = 32
 ALL = "g"  # sorts after every hexadecimal hash
 NONE = ""
 
 
-def hash_cutoff(df: DataFrame, key: list[str], quota: Column | int, seed: int) -> Column:
-    """The hash up to which rows belong to the first ``quota`` keys (a scalar column).
+def hash_cutoff(df: DataFrame, key: list[str], quota: int, seed: int, edge: int = EDGE) -> str:
+    """The hash up to which rows belong to the first ``quota`` keys; rows of one key share a hash and stay together.
 
-    Prefixes are bounded in number (16 to the power of ``PREFIX``), and the one
-    where the quota runs out holds about a millionth of the keys.
+    Each round counts the hashes inside the prefix where the quota runs out by
+    their next digits and lengthens the prefix, until it holds at most ``edge`` of them.
     """
-    quota = quota if isinstance(quota, Column) else F.lit(quota)
-    hashed = df.select(hash_order(seed, *key).alias("h")).withColumn("b", F.substring("h", 1, PREFIX))
-    counts = hashed.groupBy("b").agg(F.count("*").alias("c"))
-    running = W.orderBy("b").rowsBetween(W.unboundedPreceding, 0)
-    ends = counts.select("b", "c", F.sum("c").over(running).alias("end"), quota.alias("quota"))
-    edge = ends.filter((F.col("end") >= F.col("quota")) & (F.col("end") - F.col("c") < F.col("quota"))).select(
-        F.struct("b", (F.col("quota") - F.col("end") + F.col("c")).alias("left"))).scalar()
-    last = hashed.withColumn("edge", edge).filter(F.col("b") == F.col("edge.b")).select(
-        "h", F.row_number().over(W.orderBy("h")).alias("r"), "edge.left").filter(F.col("r") == F.col("left"))
-    found = last.agg(F.max("h")).scalar()
-    return F.when(quota <= 0, F.lit(NONE)).otherwise(F.coalesce(found, F.lit(ALL)))
+    if quota <= 0:
+        return NONE
+    hashed = stage_table(df.select(hash_order(seed, *key).alias("h")), "hashes")
+    prefix, left = "", quota
+    while True:
+        inside = hashed.filter(F.col("h").startswith(prefix))
+        size = len(prefix) + DIGITS
+        found = {r["p"]: r["c"] for r in inside.groupBy(F.substring("h", 1, size).alias("p")).agg(F.count("*").alias("c")).collect()}
+        for p in sorted(found):
+            if left <= found[p]:
+                break
+            left -= found[p]
+        else:
+            return ALL
+        if size >= HASH_DIGITS:
+            return p
+        prefix = p
+        if found[p] <= edge:
+            return sorted(r["h"] for r in hashed.filter(F.col("h").startswith(prefix)).collect())[left - 1]
 
 
 def sample_stations(stations: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -51,7 +64,7 @@ def sample_fraction(df: DataFrame, frac: float, seed: int = 42, keep: Column | N
 
 def balanced_sample(df: DataFrame, label: str, seed: int = 42, key: list[str] = KEYS) -> DataFrame:
     """All rows labelled 1 and as many of those labelled 0."""
-    positives = df.filter(F.col(label) == 1).agg(F.count("*")).scalar()
+    positives = df.filter(F.col(label) == 1).count()
     negatives = df.filter(F.col(label) == 0)
     cutoff = hash_cutoff(negatives, key, positives, seed)
     return df.filter((F.col(label) == 1) | ((F.col(label) == 0) & (hash_order(seed, *key) <= cutoff)))
@@ -68,7 +81,7 @@ def split_by_year_station(df: DataFrame, train_years: list[int], val_years: list
     year = F.year("day")
     known = year.isin([*train_years, *val_years])
     ids = df.filter(known).select("station_id").distinct()
-    quota = F.rint(ids.agg(F.count("*")).scalar() * F.lit(station_share)).cast("long")
+    quota = round(ids.count() * station_share)
     drawn = hash_order(seed, "station_id") <= hash_cutoff(ids, ["station_id"], quota, seed)
     part = F.when(~known, "test").when(year.isin(val_years) | drawn, "val").otherwise("train")
     return df.withColumn("split", part)
@@ -77,8 +90,8 @@ def split_by_year_station(df: DataFrame, train_years: list[int], val_years: list
 def split_test_stations(df: DataFrame, test_years: list[int], seed: int = 42) -> DataFrame:
     """``test``: a tenth of the stations (rounded up) or the given years. ``train``: the rest."""
     ids = df.select("station_id").distinct()
-    n = ids.agg(F.count("*")).scalar()
-    quota = n - F.floor(n * 9 / 10)
+    n = ids.count()
+    quota = n - n * 9 // 10
     drawn = hash_order(seed, "station_id") <= hash_cutoff(ids, ["station_id"], quota, seed)
     return df.withColumn("split", F.when(drawn | F.year("day").isin(test_years), "test").otherwise("train"))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewarden.operators import evaluate, labels, profile, scale
-from gaugewarden.operators.quantiles import SKETCHED, exact_quantiles, quantiles_exact
+from gaugewarden.operators.quantiles import SKETCHED, bracket_counts, exact_quantiles, quantiles_exact
 
 from .conftest import rows
 
@@ -44,6 +44,28 @@ def test_only_values_near_a_quantile_are_ranked(spark):
     assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+KINDS = {
+    "normal": lambda rng, n: rng.normal(size=n), "heavy": lambda rng, n: np.exp(rng.normal(size=n) * 9),
+    "halves": lambda rng, n: np.where(rng.random(n) < 0.5, rng.choice([1.0, 3.0], n), 1 + 2 * rng.random(n)),
+    "few": lambda rng, n: rng.integers(0, 4, n).astype(float), "constant": lambda rng, n: np.full(n, 2.0)}
+
+
+@pytest.mark.parametrize("kind", sorted(KINDS))
+def test_brackets_are_narrowed_until_they_are_small(spark, kind):
+    """A coarse sketch and a small bound: several rounds, the same result, and as many rows to rank at ten times the rows."""
+    largest = {}
+    for n in (4_000, 40_000):
+        v = KINDS[kind](np.random.default_rng(n), n)
+        df = spark.createDataFrame(pd.DataFrame({"g": np.arange(n) % 2, "v": v})).repartition(8).cache()
+        got = exact_quantiles(df, "v", QS, ["g"], accuracy=200, ranked=60).toPandas().sort_values(["g", "q"])
+        for g in (0, 1):
+            np.testing.assert_allclose(got.loc[got["g"] == g, "quantile"], np.quantile(v[g::2], QS), rtol=1e-12)
+        largest[n] = max(r["count"] for r in bracket_counts(df, "v", QS, ["g"], accuracy=200, ranked=60).groupBy("g").count().collect())
+        df.unpersist()
+    # seven fractions, at most two slots each, 60 rows a slot and one null row between slots
+    assert max(largest.values()) <= 2 * len(QS) * 61
+
+
 def test_standardise_uses_the_population_deviation(spark):
     df = spark.createDataFrame([(v, 3.0) for v in (1.0, 2.0, 4.0)], "a double, b double")
     got = rows(scale.standardise(df, ["a", "b"]))

@@ -129,3 +129,14 @@ def test_year_and_station_split(spark):
     out = sampling.split_by_year_station(df, list(range(2010, 2021)), [2021, 2022])
     count = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
     assert count == {"test": 40 * 2, "val": 40 * 2 + 4 * 11, "train": 36 * 11}
+
+
+@pytest.mark.parametrize("edge", [0, 40])
+def test_cutoff_is_the_hash_at_the_quota(spark, edge):
+    """Whatever few hashes are looked at in the end; rows of one key share a hash, a third of all rows here."""
+    df = spark.createDataFrame([(i if i % 3 else 0,) for i in range(3_000)], "id long")
+    hashes = sorted(r[0] for r in df.select(sampling.hash_order(9, "id")).collect())
+    for quota in (1, 700, 3_000):
+        assert sampling.hash_cutoff(df, ["id"], quota, 9, edge) == hashes[quota - 1]
+    assert sampling.hash_cutoff(df, ["id"], 3_001, 9, edge) == sampling.ALL
+    assert sampling.hash_cutoff(df, ["id"], 0, 9, edge) == sampling.NONE
