@@ -12,7 +12,7 @@ from .base import query, r6
 from .evaluation import COUNTS, METRICS
 
 _MEAN = lambda c, t: f"(({c} - (SELECT avg({c}) FROM {t})) / (SELECT stddev_pop({c}) FROM {t}))"
-_PT = f"z AS (SELECT vec_id, {_MEAN('x', 'pt')} AS x, {_MEAN('y', 'pt')} AS y FROM pt)"
+_PT = "z AS MATERIALIZED (SELECT vec_id, " + ", ".join(f"{_MEAN(c, 'pt')} AS {c}" for c in fx.POINT) + " FROM pt)"
 
 
 def _near_sql(key, cols, eps, name):
@@ -26,27 +26,27 @@ def _near_sql(key, cols, eps, name):
 
 
 def _points(spark, sf_dir):
-    return scale.standardise(fx.points(spark, sf_dir), ["x", "y"])
+    return stage_table(scale.standardise(fx.points(spark, sf_dir), fx.POINT), "standardised")
 
 
-@query("density_noise", f"WITH {_PT}, {_near_sql(['vec_id'], 'xy', 0.3, 'p')} "
+@query("density_noise", f"WITH {_PT}, {_near_sql(['vec_id'], fx.POINT, 9.7, 'p')} "
        "SELECT vec_id, CASE WHEN reach < 8 THEN 1 ELSE 0 END AS noise FROM p_r", "pt")
 def _(spark, sf_dir):
-    return density.density_noise(_points(spark, sf_dir), ["x", "y"], 0.3, 8).select("vec_id", "noise")
+    return density.density_noise(_points(spark, sf_dir), fx.POINT, 9.7, 8).select("vec_id", "noise")
 
 
-_EPS, _MIN = [0.4, 0.3, 0.2], [15, 10, 5]
+_EPS, _MIN = [9.9, 9.7, 9.5], [15, 10, 5]
 
 
 @query("density_noise_grid", f"WITH {_PT}, " + ", ".join(
-    _near_sql(["vec_id"], "xy", e, f"p{i}") for i, e in enumerate(_EPS)) + ", g AS (" + " UNION ALL ".join(
+    _near_sql(["vec_id"], fx.POINT, e, f"p{i}") for i, e in enumerate(_EPS)) + ", g AS (" + " UNION ALL ".join(
     f"SELECT CAST({e} AS DOUBLE) AS eps, {m} AS min_samples, CASE WHEN label = 0 THEN 1 ELSE 0 END AS real, "
     f"CASE WHEN reach < {m} THEN 1 ELSE 0 END AS pred FROM p{i}_r JOIN embeddings USING (vec_id)"
     for i, e in enumerate(_EPS) for m in _MIN) + f"), c AS (SELECT eps, min_samples, {COUNTS} FROM g GROUP BY 1, 2) "
     f"SELECT eps, min_samples, {METRICS} FROM c", "pt")
 def _(spark, sf_dir):
     truth = fx.table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") == 0).cast("int").alias("real"))
-    return density.density_noise_grid(_points(spark, sf_dir).join(truth, "vec_id"), ["x", "y"], "real", _EPS, _MIN)
+    return density.density_noise_grid(_points(spark, sf_dir).join(truth, "vec_id"), fx.POINT, "real", _EPS, _MIN)
 
 
 _Z10 = "z AS MATERIALIZED (SELECT station_id, day, anomaly, " + ", ".join(

@@ -2,10 +2,13 @@
 
 Equal points are folded into one weighted point. The points are turned to
 their principal axes, which leaves distances as they are, and the space is cut
-along the leading axes into leaves of about equal numbers of points. A leaf
-holds its own points in memory and lets the points within reach of it pass in
-batches. Points compare in small blocks with bounding boxes in all dimensions,
-and a point stops looking once it has enough neighbours at every distance.
+along the leading axes into a tree of cells whose leaves hold about equal numbers
+of points. Cells are kept as tables: their cuts, bounding boxes in all
+dimensions and the weight inside. Every leaf walks down the tree of cells: one
+that is within reach as a whole adds its weight without a look at its points,
+one out of reach is left, and only the points of leaves that remain in doubt are sent to
+it. There points compare in small blocks by the same rule, and a point stops
+looking once it has enough neighbours at every distance.
 """
 
 import numpy as np
@@ -21,79 +24,132 @@ LEAF_POINTS = 8_192
 BLOCK = 256
 AXES = 3
 SLACK = 1e-9
+#: Cells of a level whose cuts or boxes are sent to all tasks; more of them meet the rows by a salted join.
+SENT_CELLS = 2_000
+SALTS = 32
 
 
 def _axes(points: DataFrame, width: int) -> np.ndarray:
-    """Up to ``AXES`` directions of largest variance as columns, from one row of sums."""
-    x = [F.element_at("x", i + 1) for i in range(width)]
-    pairs = [(i, j) for i in range(width) for j in range(i, width)]
-    sums = points.agg(F.count("*"), *[F.sum(c) for c in x], *[F.sum(x[i] * x[j]) for i, j in pairs]).first()
-    n = max(1, sums[0])
-    mean = np.array([v or 0.0 for v in sums[1:width + 1]]) / n
-    cov = np.zeros((width, width))
-    for (i, j), s in zip(pairs, sums[width + 1:]):
-        cov[i, j] = cov[j, i] = (s or 0.0) / n - mean[i] * mean[j]
+    """Up to ``AXES`` directions of largest variance as columns, from sums of products: one short table per task."""
+
+    def products(batches):
+        gram = np.zeros((width + 1, width + 1))
+        for batch in batches:
+            if len(batch):
+                x = np.column_stack([np.stack(batch["x"].to_numpy()), np.ones(len(batch))])
+                gram += x.T @ x
+        yield pd.DataFrame({"k": np.arange(gram.size), "v": gram.ravel()})
+
+    sums = points.select("x").mapInPandas(products, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    gram = np.zeros((width + 1) ** 2)
+    for r in sums:
+        gram[r["k"]] = r["v"]
+    gram = gram.reshape(width + 1, width + 1) / max(1.0, gram[-1])
+    cov = gram[:-1, :-1] - np.outer(gram[-1, :-1], gram[-1, :-1])
     return np.linalg.eigh(cov)[1][:, ::-1][:, :min(AXES, width)]
 
 
-def _cuts(points: DataFrame, axes: np.ndarray, leaf_points: int) -> list:
-    """Nested cuts: of the first axis, of the second in each slice, of the third in each of these.
+def _with_cells(points: DataFrame, axes: np.ndarray, leaf_points: int, sent_cells: int) -> tuple[DataFrame, int]:
+    """Points with ``cell``, the path of their leaf in the tree of cells, and the tree's depth.
 
-    They are quantiles of the points, so leaves hold about equally many; how
-    exact the quantiles are is no matter to the result. The driver gets one number per leaf.
+    Each level cuts its cells at quantiles of the next axis, so leaves hold about
+    equally many points; how exact the quantiles are is no matter to the result.
+    The cuts are a table, which the points meet by the path of their cell.
     """
     parts = max(1, -(-points.count() // leaf_points))
     per_axis = max(1, round(parts ** (1 / axes.shape[1])))
     fractions = [(i + 1) / per_axis for i in range(per_axis - 1)]
+    rows = points.withColumn("cell", F.lit(""))
     if not fractions:
-        return []
-    at = [sum((F.element_at("x", i + 1) * float(v) for i, v in enumerate(axis)), F.lit(0.0)) for axis in axes.T]
-    rows, keys, cuts = points.select(*[a.alias(f"p{k}") for k, a in enumerate(at)]), [], []
-    for k in range(axes.shape[1]):
-        found = rows.groupBy(*keys).agg(F.percentile_approx(f"p{k}", fractions, 1_000).alias("cuts")).collect()
-        level = {tuple(r[c] for c in keys): sorted(set(r["cuts"])) for r in found}
-        cuts.append(level)
-        if keys:
-            table = F.create_map(*[v for key, c in level.items() for v in (F.lit("/".join(map(str, key))), F.array(*map(F.lit, c)))])
-            own = table[F.concat_ws("/", *keys)]
+        return rows, 0
+    salt = F.pmod("id", F.lit(SALTS)).cast("int").alias("salt")
+    for level, axis in enumerate(axes.T):
+        at = sum((F.element_at("x", i + 1) * float(v) for i, v in enumerate(axis)), F.lit(0.0))
+        cuts = rows.groupBy("cell").agg(F.array_sort(F.array_distinct(F.percentile_approx(at, fractions, 1_000))).alias("cuts"))
+        cuts = stage_table(cuts, "density-cuts")
+        if per_axis ** level <= sent_cells:
+            met = rows.join(F.broadcast(cuts), "cell")
         else:
-            own = F.array(*map(F.lit, level[()]))
-        rows = rows.withColumn(f"s{k}", F.size(F.filter(own, lambda c: c < F.col(f"p{k}"))))  # noqa: B023
-        keys.append(f"s{k}")
-    return cuts
-
-
-def _leaves(x: np.ndarray, axes: np.ndarray, cuts: list, reach: float):
-    """(rows, leaf, own) for every leaf that holds a place within ``reach`` of a row."""
-    p = x @ axes
-
-    def descend(rows: np.ndarray, own: np.ndarray, path: tuple[int, ...]):
-        if len(path) == len(cuts):
-            yield rows, "/".join(map(str, path)), own
-            return
-        here = np.array(cuts[len(path)].get(path, []))
-        v = p[rows, len(path)]
-        home, first, last = (np.searchsorted(here, v + d, side="left") for d in (0.0, -reach, reach))
-        for s in range(len(here) + 1):
-            met = (first <= s) & (s <= last)
-            if met.any():
-                yield from descend(rows[met], own[met] & (home[met] == s), (*path, s))
-
-    yield from descend(np.arange(len(x)), np.ones(len(x), bool), ())
+            copies = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            met = rows.withColumn("salt", salt).join(copies, ["cell", "salt"])
+        child = F.size(F.filter("cuts", lambda c: c < at))  # noqa: B023
+        rows = stage_table(met.select(F.concat_ws("/", F.nullif("cell", F.lit("")), child.cast("string")).alias("cell"), *points.columns),
+                           "density-cells")
+    return rows, axes.shape[1]
 
 
-def _visits(points: DataFrame, axes: np.ndarray, cuts: list, reach: float, extra: str = "") -> DataFrame:
-    """Points in every leaf they can matter to, sorted so that a leaf's own points come first."""
-    names = ["id", "w", "x", *extra.split()]
+def _boxes(rows: DataFrame, width: int, depth: int, value: list, largest: bool) -> list[DataFrame]:
+    """Per level the cells with ``parent``, ``low`` and ``high`` corners and ``value`` (one number per distance); leaves last."""
+    x = [F.element_at("x", i + 1) for i in range(width)]
+    corners = [F.array(*[F.min(v) for v in x]).alias("low"), F.array(*[F.max(v) for v in x]).alias("high")]
+    cells = stage_table(rows.groupBy("cell").agg(*corners, F.array(*value).alias("value")), "density-boxes")
+    levels = [cells]
+    for _ in range(depth - 1):
+        up = levels[0].withColumn("cell", F.expr("substring_index(cell, '/', size(split(cell, '/')) - 1)"))
+        fold = lambda c, f: F.array(*[f(F.element_at(c, i + 1)) for i in range(width)]).alias(c)
+        combine = F.max if largest else F.sum
+        levels.insert(0, stage_table(up.groupBy("cell").agg(fold("low", F.min), fold("high", F.max), F.array(
+            *[combine(F.element_at("value", i + 1)) for i in range(len(value))]).alias("value")), "density-boxes"))
+    parent = F.when(F.col("cell").contains("/"), F.expr("substring_index(cell, '/', size(split(cell, '/')) - 1)")).otherwise(F.lit(""))
+    return [level.withColumn("parent", parent) for level in levels]
+
+
+def _within_and_beyond(low_a, high_a, low_b, high_b, eps2):
+    """(pairs, distances) of flags: all of one box within reach of all of the other; nothing of it within reach."""
+    gap = np.maximum(0, np.maximum(low_b - high_a, low_a - high_b))
+    span = np.maximum(high_b - low_a, high_a - low_b)
+    # corners meet after other roundings than points, so what is close to a limit stays in doubt
+    near, far = (gap * gap).sum(axis=-1)[..., None], (span * span).sum(axis=-1)[..., None]
+    return far <= eps2 * (1 - SLACK), near > eps2 * (1 + SLACK)
+
+
+def _walk(levels: list[DataFrame], eps: list[float], enough: int, largest: bool, sent_cells: int) -> tuple[DataFrame, DataFrame]:
+    """(a, base): what whole cells give the points of leaf ``a`` at each distance; and (a, cell): leaves in doubt whose points ``a`` must see.
+
+    Leaves that have enough from whole cells at every distance see nothing more.
+    """
+    leaves, eps2 = levels[-1], np.array(eps) ** 2
+    here = leaves.select(F.col("cell").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
 
-    def deal(batches):
+    def decide(batches):
         for batch in batches:
-            for rows, leaf, own in _leaves(np.stack(batch["x"].to_numpy()), axes, cuts, reach):
-                yield batch[names].iloc[rows].assign(leaf=leaf, visitor=~own)
-
-    kinds = "id long, w long, x array<double>" + "".join(f", {e} array<long>" for e in extra.split())
-    return points.select(*names).mapInPandas(deal, f"{kinds}, leaf string, visitor boolean").repartition("leaf").sortWithinPartitions(
-        "leaf", "visitor")
+            if len(batch):
+                corner = lambda c: np.stack(batch[c].to_numpy())  # noqa: E731, B023
+                within, beyond = _within_and_beyond(corner("low_a"), corner("high_a"), corner("low"), corner("high"), eps2)
+                settled = (within | beyond).all(axis=1)
+                given = np.where(within, np.stack(batch["value"].to_numpy()), 0)
+                keep = ~settled | within.any(axis=1)
+                yield pd.DataFrame({"a": batch["a"], "cell": batch["cell"], "settled": settled, "given": list(given)})[keep]
+
+    gather = F.max if largest else F.sum
+    add = lambda df: df.groupBy("a").agg(F.array(*[gather(F.element_at("given", i + 1)) for i in range(len(eps))]).alias("base"))
+    base, doubt = None, here.select("a", F.lit("").alias("cell"))
+    for k, level in enumerate(levels):
+        salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")
+        if k == 0 or level.count() <= sent_cells:
+            pairs = doubt.withColumnRenamed("cell", "parent").join(F.broadcast(level), "parent")
+        else:
+            copies = level.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            pairs = doubt.withColumnRenamed("cell", "parent").withColumn("salt", salt).join(copies, ["parent", "salt"])
+        decided = stage_table(pairs.join(here, "a").select("a", "low_a", "high_a", "cell", "low", "high", "value").mapInPandas(
+            decide, "a string, cell string, settled boolean, given array<long>"), "density-pairs")
+        settled = decided.filter("settled").select("a", "given")
+        base = add(settled if base is None else settled.unionByName(base.withColumnRenamed("base", "given")))
+        base = stage_table(base, "density-base")
+        full = base.filter(F.forall("base", lambda v: v >= enough)).select("a")
+        doubt = decided.filter(~F.col("settled")).select("a", "cell").join(full, "a", "left_anti")
+    return base, doubt
+
+
+def _visits(rows: DataFrame, base: DataFrame, doubt: DataFrame, extra: list[str]) -> DataFrame:
+    """Every leaf's own points with its base, then the points of the leaves it must see."""
+    names = ["id", "w", "x", *extra]
+    itself = doubt.filter("a = cell").select("a", F.lit(False).alias("settled"))
+    own = rows.withColumnRenamed("cell", "a").join(base, "a", "left").join(itself, "a", "left").select(
+        "a", F.lit(False).alias("visitor"), *names, "base", F.coalesce("settled", F.lit(True)).alias("settled"))
+    guests = rows.join(doubt.filter("a <> cell"), "cell").select(
+        "a", F.lit(True).alias("visitor"), *names, F.lit(None).cast("array<long>").alias("base"), F.lit(False).alias("settled"))
+    return own.unionByName(guests).withColumnRenamed("a", "leaf").repartition("leaf").sortWithinPartitions("leaf", "visitor")
 
 
 class _Leaf:
@@ -104,31 +160,35 @@ class _Leaf:
         self.enough, self.largest = enough, largest
         self.ids, self.x, self.found = [], [], []
 
-    def own(self, ids, x, value):
+    def own(self, ids, x, value, base):
         # blocks of points that lie together: sorted along the widest dimension
         order = np.argsort(x[:, np.argmax(x.max(axis=0) - x.min(axis=0))], kind="stable")
         for i in range(0, len(order), BLOCK):
             o = order[i:i + BLOCK]
             self.ids.append(ids[o])
             self.x.append(x[o])
-            self.found.append(value[o] if self.largest else np.zeros((len(o), len(self.eps2)), np.int64))
+            start = value[o] if self.largest else np.zeros((len(o), len(self.eps2)), np.int64)
+            self.found.append(np.maximum(start, base) if self.largest else start + base)
 
     def look(self, x, value):
-        """Compare own blocks with a batch, nearest own blocks of it first."""
+        """Compare own blocks with a batch, nearest blocks of it first; a block within reach as a whole only gives its sum or largest value."""
         order = np.argsort(x[:, np.argmax(x.max(axis=0) - x.min(axis=0))], kind="stable")
-        limit = self.eps2.max() * (1 + SLACK)
         blocks = [order[i:i + BLOCK] for i in range(0, len(order), BLOCK)]
-        boxes = np.array([(x[b].min(axis=0), x[b].max(axis=0)) for b in blocks])
+        low, high = (np.array([f(x[b], axis=0) for b in blocks]) for f in (np.min, np.max))
+        whole = np.array([value[b].max(axis=0) if self.largest else np.full(len(self.eps2), value[b].sum()) for b in blocks])
         for k, a in enumerate(self.x):
             short = np.flatnonzero((self.found[k] < self.enough).any(axis=1))
             if not len(short):
                 continue
-            low, high = a[short].min(axis=0), a[short].max(axis=0)
-            gap = np.maximum(0, np.maximum(boxes[:, 0] - high, low - boxes[:, 1]))
-            far = (gap * gap).sum(axis=1)
-            for j in np.argsort(far, kind="stable"):
-                if far[j] > limit:
-                    break
+            low_a, high_a = a[short].min(axis=0), a[short].max(axis=0)
+            within, beyond = _within_and_beyond(low_a, high_a, low, high, self.eps2)
+            settled = (within | beyond).all(axis=1)
+            for j in np.flatnonzero(settled & within.any(axis=1)):
+                given = np.where(within[j], whole[j], 0)
+                self.found[k][short] = np.maximum(self.found[k][short], given) if self.largest else self.found[k][short] + given
+            open_ = np.flatnonzero(~settled)
+            gap = np.maximum(0, np.maximum(low[open_] - high_a, low_a - high[open_]))
+            for j in open_[np.argsort((gap * gap).sum(axis=1), kind="stable")]:
                 short = short[(self.found[k][short] < self.enough).any(axis=1)]
                 if not len(short):
                     break
@@ -159,8 +219,10 @@ def _search(visits: DataFrame, eps: list[float], enough: int, given: str | None,
         def start(own):
             x = np.stack(own["x"].to_numpy())
             value = np.stack(own[given].to_numpy()) if given else own[["w"]].to_numpy()
-            leaf.own(own["id"].to_numpy(), x, value)
-            leaf.look(x, value)
+            base = own["base"].iat[0]
+            leaf.own(own["id"].to_numpy(), x, value, np.zeros(len(eps), np.int64) if base is None else np.asarray(base))
+            if not own["settled"].iat[0]:  # else its own box has given all that is to give
+                leaf.look(x, value)
 
         for batch in batches:
             for (key, visitor), rows in batch.groupby(["leaf", "visitor"], sort=True):
@@ -184,7 +246,8 @@ def _search(visits: DataFrame, eps: list[float], enough: int, given: str | None,
     return visits.mapInPandas(run, f"id long, {name} array<long>")
 
 
-def density_reach(df: DataFrame, cols: list[str], eps: list[float] | float, enough: int, leaf_points: int = LEAF_POINTS) -> DataFrame:
+def density_reach(df: DataFrame, cols: list[str], eps: list[float] | float, enough: int, leaf_points: int = LEAF_POINTS,
+                  sent_cells: int = SENT_CELLS) -> DataFrame:
     """Distinct points of ``cols`` with ``reach``: for each ``eps`` the largest neighbour count among their neighbours.
 
     A neighbour is at most ``eps`` away and a point is its own neighbour, so a
@@ -196,12 +259,16 @@ def density_reach(df: DataFrame, cols: list[str], eps: list[float] | float, enou
     points = df.na.drop(subset=cols).groupBy(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, x)]).agg(
         F.count("*").alias("w")).select(F.array(*x).alias("x"), "w", F.monotonically_increasing_id().alias("id"))
     points = stage_table(points, "density-points")
-    axes = _axes(points, len(cols))
-    cuts = _cuts(points, axes, leaf_points)
-    reach = max(eps) * (1 + 1e-6) + SLACK
-    counts = _search(_visits(points, axes, cuts, reach), eps, enough, None, "counts")
-    counted = stage_table(points.join(counts, "id"), "density-counts")
-    found = _search(_visits(counted, axes, cuts, reach, "counts"), eps, enough, "counts", "reach")
+    rows, depth = _with_cells(points, _axes(points, len(cols)), leaf_points, sent_cells)
+
+    def searched(rows: DataFrame, value: list, given: str | None, name: str) -> DataFrame:
+        levels = _boxes(rows, len(cols), depth, value, given is not None)
+        visits = _visits(rows, *_walk(levels, eps, enough, given is not None, sent_cells), [given] if given else [])
+        return _search(visits, eps, enough, given, name)
+
+    counts = searched(rows, [F.sum("w")] * len(eps), None, "counts")
+    counted = stage_table(rows.join(counts, "id"), "density-counts")
+    found = searched(counted, [F.max(F.element_at("counts", i + 1)) for i in range(len(eps))], "counts", "reach")
     return counted.join(found, "id").select(*[F.element_at("x", i + 1).alias(c) for i, c in enumerate(cols)], "reach")
 
 

@@ -3,7 +3,7 @@
 E: ``events`` as daily measurements with gaps, duplicates and corrections.
 L: ``lineitem`` as dense quarterly measurements.
 S: ``embeddings`` and ``customer`` as the station dimension.
-D: the two leading embedding coordinates as points, ``labels`` as truth and prediction.
+D: embeddings as points, ``labels`` as truth and prediction.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -78,9 +78,12 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("station_id")))
 
 
+POINT = [f"x{i}" for i in range(1, 65)]
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda i: F.element_at("embedding", i).cast("double")
-    return table(spark, sf_dir, "embeddings").select("vec_id", at(1).alias("x"), at(2).alias("y"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[at(i + 1).alias(c) for i, c in enumerate(POINT)])
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,8 +157,8 @@ CTES = {
     "near": """SELECT station_id, other_id AS neighbour_id, km, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
         PARTITION BY station_id ORDER BY km, other_id) AS rn FROM pairs) WHERE rn <= 5""",
     "validity": "SELECT station_id, min(day) AS first_day, max(day) AS last_day FROM e GROUP BY station_id",
-    "pt": """SELECT vec_id, CAST(list_extract(embedding, 1) AS DOUBLE) AS x, CAST(list_extract(embedding, 2) AS DOUBLE) AS y
-        FROM embeddings""",
+    "pt": "SELECT vec_id, " + ", ".join(f"CAST(list_extract(embedding, {i + 1}) AS DOUBLE) AS {c}" for i, c in enumerate(POINT))
+          + " FROM embeddings",
     "lab": "SELECT doc_id, CASE WHEN quality = 0 THEN 1 ELSE 0 END AS real, toxic AS pred FROM labels",
     "e_known": """SELECT e_label.*, Altitude, Lambert93x, Lambert93y, sin(2 * pi() * dayofyear(day) / 366) AS day_sin,
         cos(2 * pi() * dayofyear(day) / 366) AS day_cos FROM e_label JOIN st USING (station_id)""",

@@ -43,6 +43,46 @@ def test_noise_is_exact(spark, kind, dims, eps):
     assert (got["noise"].to_numpy() == (reach < 6)).all()
 
 
+def reach_of(spark, pdf, eps, enough, **options):
+    cols = list(pdf.columns)
+    found = density.density_reach(spark.createDataFrame(pdf), cols, eps, enough, **options)
+    return pdf.merge(found.toPandas(), on=cols, how="left")["reach"]
+
+
+@pytest.mark.parametrize("kind,dims,sent_cells", [("spread", 2, 2_000), ("crowd", 4, 0), ("copies", 2, 0), ("zeros", 6, 2_000)])
+def test_reach_over_a_tree_of_cells(spark, kind, dims, sent_cells):
+    """Many small leaves, distances from nothing to the diameter, and no bound on what counts."""
+    pdf = points(kind, dims, 500)
+    p = pdf.to_numpy()
+    diameter = np.sqrt(((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2)).max()
+    eps = [0.0, 0.2, diameter / 4, diameter * 1.001]
+    got = np.stack(reach_of(spark, pdf, eps, 10 ** 9, leaf_points=15, sent_cells=sent_cells))
+    for i, e in enumerate(eps):
+        assert (got[:, i] == brute_reach(p, e)[1]).all()
+    few = np.stack(reach_of(spark, pdf, eps[1:], 7, leaf_points=15, sent_cells=sent_cells))
+    assert (few == np.minimum(got[:, 1:], 7)).all()
+
+
+def test_a_reach_over_all_points_costs_boxes_and_no_points(spark):
+    """No leaf asks for the points of another; the plan does not grow with the number of leaves."""
+    sizes = []
+    for n in (300, 3_000):
+        rng = np.random.default_rng(n)
+        df = spark.createDataFrame(pd.DataFrame(rng.normal(size=(n, 3)), columns=["c0", "c1", "c2"]))
+        rows = df.select(F.array("c0", "c1", "c2").alias("x"), F.lit(1).cast("long").alias("w"), F.monotonically_increasing_id().alias("id"))
+        cells, depth = density._with_cells(rows, density._axes(rows, 3), 10, 2_000)
+        levels = density._boxes(cells, 3, depth, [F.sum("w")], False)
+        leaves = levels[-1].count()
+        assert leaves > n / 20 and cells.groupBy("cell").count().agg(F.max("count")).first()[0] < 60
+        base, doubt = density._walk(levels, [50.0], 10 ** 9, False, 2_000)
+        assert doubt.count() == 0 and {tuple(r["base"]) for r in base.collect()} == {(n,)}
+        _, doubt = density._walk(levels, [0.1], 5, False, 2_000)
+        assert doubt.count() < leaves ** 2 / 2
+        found = density.density_reach(df, ["c0", "c1", "c2"], 1.0, 5, leaf_points=10)
+        sizes.append(len(found._jdf.queryExecution().optimizedPlan().toString()))
+    assert abs(sizes[0] - sizes[1]) < sizes[0] / 10
+
+
 def test_a_point_counts_itself_and_a_border_point_is_not_noise(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (3.0,), (9.0,)], "x double")
     got = {r["x"]: r["noise"] for r in density.density_noise(df, ["x"], 1.0, 3).collect()}
