@@ -120,6 +120,42 @@ def _(spark, sf_dir):
     return flows.check(flows.train("isolationForest", prepared, fx.E_PARAMS, spatial=True))
 
 
+# Trees over all rows, followed level by level: SQL draws features and cuts from the same hashes.
+_TREE_COLS, _TREES, _LEVELS, _SEED = [raw("click"), "Altitude", "Lambert93x"], 3, 20, 42
+_U = lambda node, salt: (f"(CAST('0x' || substr(md5('{_SEED}:' || tree || ':' || {node} || ':{salt}'), 1, 13) AS BIGINT)"
+                         " / CAST(4503599627370496 AS DOUBLE))")
+_PATH = lambda c: f"CASE WHEN {c} > 2 THEN 2 * (ln({c} - 1) + 0.5772156649015329) - 2.0 * ({c} - 1) / {c} WHEN {c} = 2 THEN 1 ELSE 0 END"
+
+
+def _tree_sql() -> str:
+    n, width = "(SELECT count(*) FROM e_features)", len(_TREE_COLS)
+    steps = [f"f AS (SELECT tree, list(i ORDER BY {_U('i', 'feature')}) AS features FROM (SELECT unnest(range({_TREES})) AS tree), "
+             f"(SELECT unnest(range({width})) AS i) GROUP BY tree)",
+             f"r0 AS MATERIALIZED (SELECT station_id, day, [{', '.join(_TREE_COLS)}] AS x, tree, CAST(1 AS BIGINT) AS node FROM e_features, f)"]
+    for k in range(_LEVELS):
+        low, high = ("[" + ", ".join(f"{fn}(x[{i + 1}])" for i in range(width)) + "]" for fn in ("min", "max"))
+        steps += [
+            f"g{k} AS (SELECT tree, node, count(*) AS c, {low} AS lo, {high} AS hi FROM r{k} GROUP BY tree, node)",
+            f"a{k} AS (SELECT g.*, CASE WHEN {k} >= greatest(1, ceil(log2(greatest({n}, 2)))) THEN [] "
+            f"ELSE list_filter(features, lambda i: lo[i + 1] < hi[i + 1]) END AS able FROM g{k} g JOIN f USING (tree))",
+            f"s{k} AS MATERIALIZED (SELECT tree, node, c, CASE WHEN len(able) > 0 THEN able[1 + CAST(floor({_U('node', 1)} * len(able)) AS INTEGER)] END AS i, "
+            f"lo, hi, {_U('node', 2)} AS u FROM a{k})",
+            f"e{k} AS MATERIALIZED (SELECT station_id, day, {k} + {_PATH('c')} AS length FROM r{k} JOIN s{k} USING (tree, node) WHERE i IS NULL)",
+            f"r{k + 1} AS MATERIALIZED (SELECT station_id, day, x, tree, 2 * node + CASE WHEN x[i + 1] > lo[i + 1] + u * (hi[i + 1] - lo[i + 1]) THEN 1 ELSE 0 END AS node "
+            f"FROM r{k} JOIN s{k} USING (tree, node) WHERE i IS NOT NULL)"]
+    ends = " UNION ALL ".join(f"SELECT * FROM e{k}" for k in range(_LEVELS))
+    return (f"WITH {', '.join(steps)}, ends AS ({ends}) SELECT station_id, day, round(pow(2, -sum(length) / {_TREES} / ({_PATH(n)})), 6) AS score "
+            "FROM ends GROUP BY station_id, day")
+
+
+@query("isolation_trees", _tree_sql(), "e_features")
+def _(spark, sf_dir):
+    rows = stage_table(fx.e_features(spark, sf_dir).select(*KEYS, *_TREE_COLS), "features")
+    forest = isoforest.Forest(tuple(_TREE_COLS), _TREES, 10 ** 9)
+    nodes = isoforest.grow_forests(rows, [forest], KEYS, _SEED)
+    return isoforest.add_scores(rows, nodes, [("score", forest, 0, _TREES)], rows.count()).select(*KEYS, "score")
+
+
 @query("isolation_forest")
 def _(spark, sf_dir):
     rows = stage_table(fx.e_features(spark, sf_dir), "features")

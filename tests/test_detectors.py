@@ -158,6 +158,29 @@ def test_large_nodes_are_split_by_aggregates(spark):
     assert np.corrcoef(one, grown_in_tasks)[0, 1] > 0.8
 
 
+def test_trees_do_not_depend_on_how_they_are_grown(spark):
+    """Node for node, whether by aggregates, in tasks or by both; copies make a third of the rows, so leaves end at the depth."""
+    pdf = measured()
+    pdf.loc[:199, ["ETP_origine", "GLOT_origine", "day_sin"]] = 0.5
+    df = spark.createDataFrame(pdf)
+    forests = [isoforest.Forest(("ETP_origine", "GLOT_origine", "day_sin"), 4, 0.5, 2), isoforest.Forest(("GLOT_origine", "day_cos"), 3, 10 ** 9)]
+    found = [sorted(map(tuple, isoforest.grow_forests(df, forests, ["station_id", "day"], task_rows=t).collect())) for t in (2, 20, 100_000)]
+    assert found[0] == found[1] == found[2] and len({t for _, t, *_ in found[0]}) == 7
+
+
+@pytest.mark.parametrize("sent_nodes", [0, 40, 400])
+def test_scores_past_tops_and_subtrees_are_those_of_one_pass(spark, sent_nodes):
+    df = spark.createDataFrame(measured())
+    key = ["station_id", "day"]
+    forests = [isoforest.Forest(("ETP_origine", "GLOT_origine", "day_sin"), 6, 0.5), isoforest.Forest(("day_cos", "ETP_origine"), 5, 64, 1)]
+    nodes = isoforest.grow_forests(df, forests, key)
+    cases = [("a", forests[0], 0, 6), ("b", forests[0], 0, 2), ("c", forests[1], 1, 5)]
+    whole = isoforest.add_scores(df, nodes, cases, 600).toPandas().sort_values(key)
+    routed = isoforest.add_scores(df, nodes, cases, 600, sent_nodes=sent_nodes).toPandas().sort_values(key)
+    assert list(whole.columns) == list(routed.columns) and len(whole) == len(routed)
+    np.testing.assert_allclose(whole[["a", "b", "c"]].to_numpy(), routed[["a", "b", "c"]].to_numpy(), rtol=1e-12)
+
+
 def test_unknown_features_are_refused_unless_stated(spark):
     df = spark.createDataFrame(measured()).withColumn("GLOT_origine", F.when(F.col("GLOT_origine") > 0, F.col("GLOT_origine")))
     with pytest.raises(Exception, match="unknown value in GLOT_origine"):
