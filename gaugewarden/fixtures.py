@@ -186,6 +186,7 @@ def sql(select: str, *sources: str) -> str:
     if not order:
         return select
     body = ", ".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in order)
-    if select.lstrip().upper().startswith("WITH "):
-        return f"WITH {body}, {select.lstrip()[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if select.lstrip().startswith(start):
+            return f"{start}{body}, {select.lstrip()[len(start):]}"
     return f"WITH {body} {select}"

@@ -6,7 +6,6 @@ which every station searches at the finest level that surely holds enough.
 """
 
 from datetime import timedelta
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -194,49 +193,35 @@ def active_neighbour_intervals(df: DataFrame, stations: DataFrame, k: int = 3, p
     """Segments of each station's life with the ``k`` nearest stations active at the segment's start.
 
     A segment ends on the earliest last day among them and the next starts a
-    day later. The walk depends on the order of events, so it runs per station,
-    on its ``k * pool`` nearest candidates. A station for which these are too
-    few at some time walks again with four times as many, until they suffice or
-    are all stations there are.
+    day later, or when the next station near or far opens. Who is nearest on
+    each day is settled for all stations at once (``_ranked_stretches``). What is walked
+    per station are its own stretches of days, at most one per day of its
+    life, whatever the number of stations around.
     """
-    validity = stage_table(station_validity(df), "validity")
-    points = stage_table(_points(stations, x, y), "station-points")
-    open_ = validity.join(points, "station_id", "left_semi").count()
-    schema = "station_id long, seg_start date, seg_end date, rank int, neighbour_id long, km double, short boolean"
+    ranked, queries, own = _ranked_stretches(df, stations, k, pool, x, y)
+    last = own.select(F.col("station_id").alias("neighbour_id"), F.col("last_day").alias("n_last"))
+    searched = _nearest_on_days(queries, own, k).withColumns({"seg_start": F.col("day"), "seg_end": F.col("day")}).drop("day")
+    near = stage_table(ranked.unionByName(searched).join(last, "neighbour_id"), "stretches")
+    life = own.select("station_id", "last_day")
+    ends = near.groupBy("station_id", "seg_start", "seg_end").agg(F.min("n_last").alias("until")).join(life, "station_id")
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        near = group.sort_values("rank")
-        opens, closes = near["n_first"].to_numpy(), near["n_last"].to_numpy()
-        day, until = near["first_day"].iat[0], near["last_day"].iat[0]
-        found, short = [], False
-        while day < until:
-            here = np.flatnonzero((opens <= day) & (closes > day))[:k]
-            short |= len(here) < k
-            if len(here):
-                end = closes[here].min()
-                found += [(day, end, i + 1, near["neighbour_id"].iat[j], near["km"].iat[j]) for i, j in enumerate(here)]
-                day = end + timedelta(days=1)
-            elif (opens > day).any():
-                day = opens[opens > day].min()
-            else:
+        g = group.sort_values("seg_start")
+        starts, stops, until, over = g["seg_start"].to_numpy(), g["seg_end"].to_numpy(), g["until"].to_numpy(), g["last_day"].iat[0]
+        out, day = [], starts[0]
+        while True:
+            i = int(np.searchsorted(stops, day))  # the first stretch that ends on the day or later
+            if i == len(starts) or max(day, starts[i]) >= over:
                 break
-        found = found or [(None, None, None, None, None)]
-        out = pd.DataFrame(found, columns=["seg_start", "seg_end", "rank", "neighbour_id", "km"])
-        return out.assign(station_id=near["station_id"].iat[0], short=short)[schema_names]
-
-    schema_names = [c.split()[0] for c in schema.split(", ")]
-    asked, done = points, []
-    while True:
-        near = nearest(asked, points, k * pool)
-        targets = _with_validity(near, validity).join(validity, "station_id")
-        walked = stage_table(targets.groupBy("station_id").applyInPandas(walk, schema), "walked")
-        enough = k * pool >= open_
-        done.append(walked if enough else walked.filter(~F.col("short")))
-        asked = asked.join(walked.filter("short").select("station_id").distinct(), "station_id", "left_semi")
-        if enough or asked.isEmpty():
-            break
-        asked, pool = stage_table(asked, "short-stations"), pool * 4
-    return reduce(DataFrame.unionByName, done).filter("rank IS NOT NULL").drop("short")
+            begin = max(day, starts[i])
+            out.append((starts[i], begin, until[i]))
+            day = until[i] + timedelta(days=1)
+        return pd.DataFrame(out, columns=["stretch", "begin", "until"]).assign(station_id=g["station_id"].iat[0])[
+            ["station_id", "stretch", "begin", "until"]]
+
+    walked = ends.groupBy("station_id").applyInPandas(walk, "station_id long, stretch date, begin date, until date")
+    met = walked.withColumnRenamed("stretch", "seg_start").join(near.drop("seg_end", "n_last"), ["station_id", "seg_start"])
+    return met.select("station_id", F.col("begin").alias("seg_start"), F.col("until").alias("seg_end"), "rank", "neighbour_id", "km")
 
 
 def _with_validity(neighbours: DataFrame, validity: DataFrame) -> DataFrame:
@@ -255,11 +240,28 @@ def active_neighbours_daily(df: DataFrame, stations: DataFrame, k: int = 3, pool
     is searched again day by day among all stations active that day, so the
     pool never limits the result.
     """
+    ranked, short, own = _ranked_stretches(df, stations, k, pool, x, y)
+    days = df.select(*KEYS).distinct()
+    # a segment as its days, so that measured days meet their own segment and no other
+    place = ranked.groupBy("station_id", "seg_start", "seg_end").agg(F.collect_list(F.struct("rank", "neighbour_id", "km")).alias("near"))
+    each_day = F.explode(F.sequence("seg_start", "seg_end")).alias("day")
+    settled = days.join(place.select("station_id", "near", each_day), KEYS).select(*KEYS, F.inline("near"))
+    queries = short.join(days, KEYS, "left_semi")
+    out = [*KEYS, "rank", "neighbour_id", "km"]
+    return settled.select(*out).unionByName(_nearest_on_days(queries, own, k).select(*out))
+
+
+def _ranked_stretches(df: DataFrame, stations: DataFrame, k: int, pool: int, x: str, y: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the ``k * pool`` nearest of each station settle: ranks per stretch of days, the days left open, and places with validity.
+
+    Among the candidates the active ones change only on their first and last
+    days. A stretch with fewer than ``k`` of them active is left open, day by day (station_id, x, y, day).
+    """
     validity = station_validity(df)
     points = stage_table(_points(stations, x, y), "station-points")
     # Every step below reads the candidates, so they are searched once and written.
     candidates = stage_table(_with_validity(nearest(points, points, k * pool), validity).drop("rank"), "candidates")
-    own = points.join(validity, "station_id")
+    own = stage_table(points.join(validity, "station_id"), "lives")
 
     inside = (F.col("day") >= F.col("first_day")) & (F.col("day") <= F.col("last_day"))
     turning = own.select("station_id", "first_day", "last_day", F.col("first_day").alias("day")).union(
@@ -274,22 +276,19 @@ def active_neighbours_daily(df: DataFrame, stations: DataFrame, k: int = 3, pool
     ranked = stage_table(
         rank_within_group(active, ["station_id", "seg_start", "seg_end"], ["km", "neighbour_id"], k).select(
             "station_id", "seg_start", "seg_end", "rank", "neighbour_id", "km"), "ranked")
-    filled = ranked.groupBy("station_id", "seg_start", "seg_end").agg(F.count("*").alias("c")).filter(F.col("c") == k)
+    key = ["station_id", "seg_start", "seg_end"]
+    filled = ranked.groupBy(*key).agg(F.count("*").alias("c")).filter(F.col("c") == k)
+    short = segments.join(filled, key, "left_anti")
+    open_days = short.select("station_id", F.explode(F.sequence("seg_start", "seg_end")).alias("day")).join(points, "station_id")
+    return ranked.join(filled.drop("c"), key, "left_semi"), open_days, own
 
-    days = df.select(*KEYS).distinct()
-    # a segment as its days, so that measured days meet their own segment and no other
-    each_day = F.explode(F.sequence("seg_start", "seg_end")).alias("day")
-    full = ranked.join(filled.drop("c"), ["station_id", "seg_start", "seg_end"], "left_semi")
-    place = full.groupBy("station_id", "seg_start", "seg_end").agg(F.collect_list(F.struct("rank", "neighbour_id", "km")).alias("near"))
-    settled = days.join(place.select("station_id", "near", each_day), KEYS).select(*KEYS, F.inline("near"))
 
-    short = segments.join(filled, ["station_id", "seg_start", "seg_end"], "left_anti")
-    queries = stage_table(days.join(short.select("station_id", each_day), KEYS, "left_semi").join(points, "station_id"), "short-days")
-    open_days = own.filter(F.col("first_day") < F.col("last_day")).withColumn(
+def _nearest_on_days(queries: DataFrame, own: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest among all stations active on the day of each query."""
+    queries = stage_table(queries, "open-days")
+    active = own.filter(F.col("first_day") < F.col("last_day")).withColumn(
         "day", F.explode(F.expr("sequence(first_day, date_sub(last_day, 1))")))
-    searched = nearest(queries, open_days.join(queries.select("day").distinct(), "day", "left_semi"), k, ["day"])
-    out = [*KEYS, "rank", "neighbour_id", "km"]
-    return settled.select(*out).unionByName(searched.select(*out))
+    return nearest(queries, active.join(queries.select("day").distinct(), "day", "left_semi"), k, ["day"])
 
 
 def attach_active_neighbours(df: DataFrame, active: DataFrame, params: list[str], k: int = 3) -> DataFrame:

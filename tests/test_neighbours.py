@@ -95,6 +95,26 @@ def test_active_neighbours_daily(spark, pool):
     assert rows(got, "station_id", "day", "rank", "neighbour_id") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("pool", [1, 10])
+def test_active_intervals_follow_the_walk(spark, pool):
+    """Day by day against a plain walk; at some times fewer than three stations are open, or none."""
+    pdf, st = lives(5, 18), stations(25, 5, "spread")
+    span = pdf.groupby("station_id")["day"].agg(["min", "max"])
+    near, want = brute(st, 24), []
+    for s in span.index:
+        day = span.loc[s, "min"]
+        while day < span.loc[s, "max"]:
+            active = [j for j, _ in near[s] if j in span.index and span.loc[j, "min"] <= day < span.loc[j, "max"]][:3]
+            if not active:
+                day += timedelta(days=1)
+                continue
+            end = min(span.loc[j, "max"] for j in active)
+            want += [(s, day, end, i + 1, j) for i, j in enumerate(active)]
+            day = end + timedelta(days=1)
+    got = neighbours.active_neighbour_intervals(spark.createDataFrame(pdf), spark.createDataFrame(st), 3, pool)
+    assert rows(got, "station_id", "seg_start", "seg_end", "rank", "neighbour_id") == sorted(want, key=repr)
+
+
 def test_active_intervals_cover_a_life_without_overlap(spark):
     pdf, st = lives(4), stations(25, 4, "spread")
     span = pdf.groupby("station_id")["day"].agg(["min", "max"])
