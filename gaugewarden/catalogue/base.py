@@ -51,3 +51,18 @@ L_WIDE = "station_id, day, " + r6(*L_COLS)
 E_FLAGS = ", ".join(f"{p}_anomaly" for p in fx.E_PARAMS)
 E_LABEL = E_WIDE + ", " + r6(*(f"{p}_difference" for p in fx.E_PARAMS)) + f", {E_FLAGS}, anomaly"
 LONG = "station_id, param, day, round(value, 6) AS value, round(raw_value, 6) AS raw_value, status, mode, row_id"
+
+
+def solve_sql(name: str, equations: str, unknowns: int) -> str:
+    """Common table expressions that solve systems of linear equations; ``{name}`` has one row per system: k and its solution ``w``.
+
+    ``equations`` is a relation (k, i, r): the coefficients of equation ``i`` of
+    system ``k`` and its right side as a list. Elimination without exchange of rows, as normal equations allow it.
+    """
+    steps = [f"{name}_0 AS MATERIALIZED ({equations})"]
+    for p in range(1, unknowns + 1):
+        steps.append(f"""{name}_{p} AS MATERIALIZED (SELECT t.k, t.i, CASE WHEN t.i = {p} THEN list_transform(t.r, lambda e: e / q.r[{p}])
+            ELSE list_transform(range(1, {unknowns + 2}), lambda j: t.r[j] - t.r[{p}] * q.r[j] / q.r[{p}]) END AS r
+            FROM {name}_{p - 1} t JOIN {name}_{p - 1} q ON q.k = t.k AND q.i = {p})""")
+    steps.append(f"{name} AS MATERIALIZED (SELECT k, list(r[{unknowns + 1}] ORDER BY i) AS w FROM {name}_{unknowns} GROUP BY k)")
+    return ", ".join(steps)

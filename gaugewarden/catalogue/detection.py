@@ -8,7 +8,7 @@ from ..operators import neighbours, profile, scale, series
 from ..plans import flows
 from ..schema import KEYS, raw
 from ..session import stage_table
-from .base import query, r6
+from .base import query, r6, solve_sql
 from .evaluation import COUNTS, METRICS
 
 _MEAN = lambda c, t: f"(({c} - (SELECT avg({c}) FROM {t})) / (SELECT stddev_pop({c}) FROM {t}))"
@@ -207,14 +207,44 @@ def _(spark, sf_dir):
     return cluster.pca_project(rows, fx.FEATURES).select(*KEYS, "anomaly", "pc1", "pc2")
 
 
-@query("reconstruction_residual")
+_META = ["Altitude", "Lambert93x", "Lambert93y", "day_sin", "day_cos"]
+
+
+def _reconstruction_sql() -> str:
+    """Each parameter from the others: normal equations as sums over the training rows, solved by elimination."""
+    params, cols = fx.E_FORECAST, [*fx.E_FORECAST, *_META]
+    m, n = len(cols) + 1, len(params)
+    unit = lambda c: f"((SELECT CASE WHEN hi_{c} = lo_{c} THEN 1 ELSE hi_{c} - lo_{c} END FROM mm))"
+    scaled = ", ".join(f"(CAST({c} AS DOUBLE) - (SELECT lo_{c} FROM mm)) / {unit(c)}" for c in cols)
+    observed = ", ".join(f"{raw(p)} AS {p}" for p in params)
+    known = ", ".join(f"coalesce({p}, 0) AS {p}" for p in params)
+    equations = f"""SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) AS i, list(g ORDER BY j = k, j) AS r
+        FROM (SELECT i, j, sum(v[i] * v[j]) AS g FROM ztrain, range(1, {m + 1}) a(i), range(1, {m + 1}) b(j) GROUP BY i, j), range(1, {n + 1}) s(k)
+        WHERE i <> k GROUP BY k, i"""
+    # the weights of a system in the places of its columns, 0 for the column it predicts
+    pred = f"list_sum(list_transform(range(1, {m + 1}), lambda j: CASE WHEN j = k THEN 0 ELSE v[j] * w[CASE WHEN j < k THEN j ELSE j - 1 END] END))"
+    limit = f"SELECT k, quantile_cont(abs({pred} - v[k]), 0.9) AS cut FROM ztrain, weights GROUP BY k"
+    each = f"SELECT station_id, day, anomaly, k, {pred} AS pred, v[k] AS own FROM ztest, weights"
+    back = ", ".join(f"round(max(CASE WHEN k = {i + 1} THEN pred END) * {unit(p)} + (SELECT lo_{p} FROM mm), 6) AS {p}_pred" for i, p in enumerate(params))
+    flags = ", ".join(f"max(CASE WHEN k = {i + 1} AND abs(pred - own) > cut THEN 1 ELSE 0 END) AS {p}_anomaly_pred" for i, p in enumerate(params))
+    return f"""WITH f AS (SELECT * REPLACE ({known}) FROM e_features),
+        train AS (SELECT * FROM f WHERE day <= DATE '2024-01-20'),
+        test AS (SELECT * EXCLUDE ({', '.join(params)}), {observed} FROM f WHERE day > DATE '2024-01-20'),
+        mm AS MATERIALIZED (SELECT {', '.join(f'CAST(min({c}) AS DOUBLE) AS lo_{c}, CAST(max({c}) AS DOUBLE) AS hi_{c}' for c in cols)} FROM train),
+        ztrain AS MATERIALIZED (SELECT [{scaled}, 1] AS v FROM train), ztest AS MATERIALIZED (SELECT station_id, day, anomaly, [{scaled}, 1] AS v FROM test),
+        {solve_sql('weights', equations, m - 1)}, limits AS ({limit}), each AS ({each})
+        SELECT station_id, day, any_value(anomaly) AS anomaly, {back}, {flags}, max(CASE WHEN abs(pred - own) > cut THEN 1 ELSE 0 END) AS anomaly_pred
+        FROM each JOIN limits USING (k) GROUP BY station_id, day"""
+
+
+@query("reconstruction_residual", _reconstruction_sql(), "e_features")
 def _(spark, sf_dir):
     rows = stage_table(fx.e_features(spark, sf_dir).fillna(0.0, fx.E_FORECAST), "features")
     early = F.col("day") <= "2024-01-20"
     params = fx.E_FORECAST
     observed = rows.withColumns({p: F.col(raw(p)) for p in params})
     scored = residual.reconstruction_residual(rows.filter(early), observed.filter(~early), params,
-                                              ["Altitude", "Lambert93x", "Lambert93y", "day_sin", "day_cos"])
+                                              _META)
     return scored.select(*KEYS, "anomaly", *[f"{p}_pred" for p in params], *[f"{p}_anomaly_pred" for p in params],
                          "anomaly_pred")
 
@@ -236,21 +266,61 @@ def _(spark, sf_dir):
     return residual.linear_forecast(windows, _DENSE, "A")[1].drop("features")
 
 
-def _spatial(spark, sf_dir):
-    wide = stage_table(fx.e_features(spark, sf_dir).select(*KEYS, "day_sin", "day_cos", *fx.E_PARAMS), "own")
-    active = neighbours.active_neighbours_daily(wide, fx.stations(spark, sf_dir))
-    rows = stage_table(neighbours.attach_active_neighbours(wide, active, fx.E_FORECAST), "with-neighbours")
-    cols = [c for c in rows.columns if c not in KEYS]
-    # a month holds no two stretches of ten days, so other stations and not later days are forecast
-    seen = F.col("station_id") % 3 != 0
-    return residual.spatial_forecast_residual(rows.filter(seen), rows.filter(~seen), cols, "view")
+# Quarterly series: the first three tenths of the quarters train, the later half is forecast from values as they were measured.
+_WIDTH, _NEAR = 2, 3
+_OWN = fx.L_PARAMS
+_SPATIAL = [*_OWN, *(f"{p}_{i}" for i in range(_NEAR) for p in _OWN)]
 
 
-@query("spatial_forecast_residual")
+def _spatial(spark, sf_dir):
+    dense = stage_table(fx.l_dense(spark, sf_dir), "dense")
+    quarters = F.sort_array(F.collect_set("day"))
+    part = lambda share: F.floor(F.size("q") * share).cast("int")
+    first, later = dense.agg(quarters.alias("q")).select(F.col("q")[part(0.3)], F.col("q")[part(0.5)]).first()
+    active = stage_table(neighbours.active_neighbours_daily(dense.select(*KEYS), fx.stations(spark, sf_dir)), "active")
+    known = dense.select(*KEYS, *_OWN)
+    measured = dense.select(*KEYS, *[F.col(raw(p)).alias(p) for p in _OWN])
+    around = lambda df: stage_table(neighbours.attach_active_neighbours(df, active, _OWN, _NEAR), "with-neighbours")
+    train, test = around(known).filter(F.col("day") < first), around(measured).filter(F.col("day") >= later)
+    return residual.spatial_forecast_residual(train, test, _SPATIAL, _OWN[0], _WIDTH)
+
+
+def _spatial_sql(flag: str) -> str:
+    near = f"""near_l AS MATERIALIZED (SELECT d.station_id, d.day, p.other_id, row_number() OVER (PARTITION BY d.station_id, d.day ORDER BY p.km, p.other_id) AS rn
+        FROM l_dense d JOIN pairs p USING (station_id) JOIN (SELECT station_id, min(day) AS first_day, max(day) AS last_day FROM l_dense GROUP BY station_id) v
+        ON v.station_id = p.other_id AND v.first_day <= d.day AND v.last_day > d.day QUALIFY rn <= {_NEAR})"""
+
+    def around(name, suffix):
+        near = ", ".join(f"max(CASE WHEN rn = {i + 1} THEN n.{p}{suffix} END) AS {p}_{i}" for i in range(_NEAR) for p in _OWN)
+        own = ", ".join(f"any_value(d.{p}{suffix}) AS {p}" for p in _OWN)
+        return (f"{name} AS MATERIALIZED (SELECT d.station_id, d.day, {own}, {near} FROM l_dense d LEFT JOIN near_l a USING (station_id, day) "
+                f"LEFT JOIN l_dense n ON n.station_id = a.other_id AND n.day = d.day GROUP BY d.station_id, d.day)")
+
+    width, m = len(_SPATIAL), _WIDTH * len(_SPATIAL) + 1
+    unit = lambda c: f"(SELECT CASE WHEN stddev_samp({c}) = 0 THEN 1 ELSE stddev_samp({c}) END FROM train)"
+    scaled = ", ".join(f"coalesce(({c} - (SELECT avg({c}) FROM train)) / {unit(c)}, 0)" for c in _SPATIAL)
+    lags = ", ".join(f"lag(z, {_WIDTH - i}) OVER s AS z{i}" for i in range(_WIDTH))
+    flat = "list_concat(" * _WIDTH + "z0" + "".join(f", z{i})" for i in range(1, _WIDTH)) + ", [1])"
+    windows = (f"SELECT station_id, day, part, {flat} AS v, z[1] AS label FROM (SELECT *, {lags} FROM z WINDOW s AS (PARTITION BY part, station_id ORDER BY day)) "
+               "WHERE z0 IS NOT NULL")
+    equations = f"""SELECT 1 AS k, i, list(g ORDER BY j) AS r FROM (SELECT i, j, sum(v[i] * CASE WHEN j = {m + 1} THEN label ELSE v[j] END) AS g
+        FROM w, range(1, {m + 1}) a(i), range(1, {m + 2}) b(j) WHERE part = 1 GROUP BY i, j) GROUP BY i"""
+    assert width * _WIDTH + 1 == m
+    return f"""WITH {near}, {around('known', '')}, {around('measured', '_origine')}, quarters AS (SELECT list(DISTINCT day ORDER BY day) AS q FROM l_dense),
+        train AS MATERIALIZED (SELECT known.* FROM known, quarters WHERE day < q[CAST(floor(len(q) * 0.3) AS INTEGER) + 1] AND {_OWN[0]} IS NOT NULL),
+        test AS (SELECT measured.* FROM measured, quarters WHERE day >= q[CAST(floor(len(q) * 0.5) AS INTEGER) + 1] AND {_OWN[0]} IS NOT NULL),
+        z AS MATERIALIZED (SELECT station_id, day, 1 AS part, [{scaled}] AS z FROM train UNION ALL SELECT station_id, day, 2, [{scaled}] FROM test),
+        w AS MATERIALIZED ({windows}), {solve_sql('weights', equations, m)},
+        scored AS MATERIALIZED (SELECT station_id, day, part, label, list_sum(list_transform(range(1, {m + 1}), lambda j: v[j] * w[j])) AS pred FROM w, weights),
+        residuals AS (SELECT *, abs(label - pred) AS residual FROM scored WHERE part = 2)
+        SELECT station_id, day, {r6('label', 'pred', 'residual')}, CASE WHEN residual > ({flag}) THEN 1 ELSE 0 END AS anomaly_pred FROM residuals"""
+
+
+@query("spatial_forecast_residual", _spatial_sql("SELECT quantile_cont(abs(label - pred), 0.5) FROM scored WHERE part = 1"), "l_dense", "pairs")
 def _(spark, sf_dir):
     return _spatial(spark, sf_dir)
 
 
-@query("rmse_threshold_flags")
+@query("rmse_threshold_flags", _spatial_sql("SELECT sqrt(avg(residual * residual)) FROM residuals"), "l_dense", "pairs")
 def _(spark, sf_dir):
     return residual.rmse_threshold_flags(stage_table(_spatial(spark, sf_dir), "spatial"))

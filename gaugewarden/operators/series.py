@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 BLOCK = 1024
 
 
-def series_positions(df: DataFrame, by: list[str] = ("station_id",), order: str = "day") -> DataFrame:
-    """Add ``pos`` (1-based place in the series) and ``n`` (length of the series).
+def series_positions(df: DataFrame, by: list[str] = ("station_id",), order: str = "day", length: str = "n") -> DataFrame:
+    """Add ``pos`` (1-based place in the series) and ``length``, the length of the series.
+
+    Operators below call the length ``_n``, as a parameter may be called N.
 
     The year counts are combined before their shuffle and have one row per
     series and year; the rows themselves move once, by series and year.
@@ -25,7 +27,7 @@ def series_positions(df: DataFrame, by: list[str] = ("station_id",), order: str
     series = W.partitionBy(*by)
     earlier = series.orderBy("_year").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*by, "_year", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"),
-                           F.sum("_c").over(series).alias("n"))
+                           F.sum("_c").over(series).alias(length))
     ranked = dated.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_year").orderBy(order)))
     return ranked.join(offsets, [*by, "_year"]).withColumn("pos", F.col("_before") + F.col("_r")).drop(
         "_year", "_r", "_before")
@@ -54,9 +56,9 @@ def own_rows(df: DataFrame) -> DataFrame:
 
 def lag_features(df: DataFrame, params: list[str], n: int = 5) -> DataFrame:
     """``{p}_1`` .. ``{p}_n``: the values of the previous rows of the same station."""
-    rows = with_halo(series_positions(df), n)
+    rows = with_halo(series_positions(df, length="_n"), n)
     lags = {f"{p}_{i}": F.lag(p, i).over(within_block()) for p in params for i in range(1, n + 1)}
-    return own_rows(rows.withColumns(lags)).drop("pos", "n")
+    return own_rows(rows.withColumns(lags)).drop("pos", "_n")
 
 
 def series_breaks(df: DataFrame, trim: int = 5) -> DataFrame:
@@ -64,12 +66,12 @@ def series_breaks(df: DataFrame, trim: int = 5) -> DataFrame:
 
     ``run_key`` (day minus position) is constant exactly within a run without gaps.
     """
-    rows = with_halo(series_positions(df), trim)
+    rows = with_halo(series_positions(df, length="_n"), trim)
     previous = F.lag("day").over(within_block())
     rows = rows.withColumn("_starts", (previous.isNull() | (previous != F.date_sub("day", 1))).cast("int"))
     recent = F.max("_starts").over(within_block().rowsBetween(-(trim - 1), 0))
     kept = own_rows(rows.withColumn("_recent", recent)).filter("_recent = 0")
-    return kept.withColumn("run_key", F.expr("date_sub(day, cast(pos as int))")).drop("_starts", "_recent", "pos", "n")
+    return kept.withColumn("run_key", F.expr("date_sub(day, cast(pos as int))")).drop("_starts", "_recent", "pos", "_n")
 
 
 def sequence_windows(df: DataFrame, cols: list[str], n: int, contiguous: bool = False) -> DataFrame:
@@ -78,7 +80,7 @@ def sequence_windows(df: DataFrame, cols: list[str], n: int, contiguous: bool =
     Rows are consecutive by position; ``contiguous`` also wants no day missing.
     The station and day are those of ``y``.
     """
-    rows = with_halo(series_positions(df), n)
+    rows = with_halo(series_positions(df, length="_n"), n)
     past = within_block().rowsBetween(-n, -1)
     built = rows.withColumns({"x": F.collect_list(F.struct(*cols)).over(past), "_first": F.min("day").over(past)})
     full = own_rows(built).filter(F.size("x") == n)
@@ -90,7 +92,7 @@ def sequence_windows(df: DataFrame, cols: list[str], n: int, contiguous: bool =
 def input_label_windows(df: DataFrame, cols: list[str], input_width: int, label_width: int, shift: int,
                         labels: list[str] | None = None) -> DataFrame:
     """Sliding windows of ``input_width + shift`` rows split into ``inputs`` and ``labels``."""
-    return _windows(series_positions(df), cols, input_width, label_width, shift, labels, ["station_id"])
+    return _windows(series_positions(df, length="_n"), cols, input_width, label_width, shift, labels, ["station_id"])
 
 
 def _windows(positioned: DataFrame, cols: list[str], input_width: int, label_width: int, shift: int,
