@@ -32,15 +32,25 @@ def share_package(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
 
-    Where that is unset, the warehouse folder is used, which driver and
-    executors share as well; nothing goes to a machine's own temporary folder.
+    Where that is unset, a folder below the warehouse is used if driver and
+    executors are one machine or the warehouse is in a shared store. On a cluster whose
+    warehouse is a plain local path this is an error: each machine would see its own rows only.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not is_shared(spark.sparkContext.master, warehouse):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{warehouse}/scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def is_shared(master: str, folder: str) -> bool:
+    """Whether all tasks of a session surely see one ``folder``."""
+    one_machine = master.startswith("local") and not master.startswith("local-cluster")
+    return one_machine or ("://" in folder and not folder.startswith("file:"))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a staged table that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
