@@ -1,5 +1,6 @@
 """Token counts by rank-synchronous merging of ragged symbol arrays."""
 
+import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -10,6 +11,8 @@ from .words import CACHE_ENTRIES, LONG_CHUNK, ChunkCache, Recent, load, pretoken
 
 #: Pre-tokens merged together in one set of arrays.
 BATCH = 50_000
+#: Symbols from which on a pre-token is merged with places in buckets by rank.
+MANY_SYMBOLS = 200
 
 
 class MergeTable:
@@ -30,6 +33,7 @@ class MergeTable:
         order = np.argsort(key, kind="stable")
         self.key, self.rank, self.made = key[order], order.astype(np.int64), made[order]
         self.none = len(merges)
+        self.left, self.right, self.becomes = left, right, made
         born = np.full(self.width, -1, np.int64)
         born[made] = np.arange(len(merges))
         if (born[left] >= np.arange(len(merges))).any() or (born[right] >= np.arange(len(merges))).any():
@@ -48,13 +52,68 @@ class MergeTable:
         return np.where(hit, self.rank[at], self.none), at
 
     def surviving(self, pretoken_list: list[str]) -> np.ndarray:
-        """Symbols left of each pre-token once no merge applies.
+        """Symbols left of each pre-token once no merge applies."""
+        lists = [self.symbols(p) for p in pretoken_list]
+        long = np.array([len(x) > MANY_SYMBOLS for x in lists], bool)
+        out = np.zeros(len(lists), np.int64)
+        out[~long] = self._merged_in_rounds([x for x, far in zip(lists, long) if not far])
+        if long.any():
+            out[long] = self._merged_in_buckets([x for x, far in zip(lists, long) if far])
+        return out
+
+    def _merged_in_buckets(self, lists: list[list[int]]) -> np.ndarray:
+        """The same for long sequences: pair places wait in buckets by rank, and a round touches the lowest bucket of all and its neighbours.
+
+        A merge makes no pair of its own or a lower rank (checked when the table
+        is built), so going up the ranks of all sequences together applies each sequence's lowest pair first.
+        """
+        counts = np.array([len(x) for x in lists], np.int64)
+        sym, owner = np.concatenate([np.array(x, np.int64) for x in lists]), np.repeat(np.arange(len(lists)), counts)
+        out, n = counts.copy(), len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.cumsum(counts)
+        after[ends - 1], before[ends - counts] = -1, -1
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def put(places: np.ndarray) -> None:
+            rank, _ = self.look_up(sym[places], sym[after[places]])
+            known = rank < self.none
+            places, rank = places[known], rank[known]
+            by = np.argsort(rank, kind="stable")
+            places, rank = places[by], rank[by]
+            cuts = np.flatnonzero(np.diff(rank)) + 1
+            for part, r in zip(np.split(places, cuts), rank[np.append(0, cuts)].tolist() if len(rank) else ()):
+                if r not in waiting:
+                    heapq.heappush(ranks, r)
+                waiting.setdefault(r, []).append(part)
+
+        put(np.flatnonzero(after >= 0))
+        while ranks:
+            r = heapq.heappop(ranks)
+            place = np.unique(np.concatenate(waiting.pop(r)))
+            second = after[place]
+            # a symbol that has gone is -1 and so is what follows the last one
+            there = (sym[place] == self.left[r]) & (second >= 0) & (sym[second] == self.right[r])
+            place, second = place[there], second[there]
+            if self.left[r] == self.right[r] and len(place) > 1:
+                run = np.flatnonzero(np.append(True, second[:-1] != place[1:]))  # in a row like "aaa" every second place counts
+                nth = np.arange(len(place)) - np.repeat(run, np.diff(np.append(run, len(place))))
+                place, second = place[nth % 2 == 0], second[nth % 2 == 0]
+            third = after[second]
+            sym[place], sym[second], after[place] = self.becomes[r], -1, third
+            before[third[third >= 0]] = place[third >= 0]
+            np.subtract.at(out, owner[place], 1)
+            put(np.unique(np.concatenate([place[third >= 0], before[place][before[place] >= 0]])))
+        return out
+
+    def _merged_in_rounds(self, lists: list[list[int]]) -> np.ndarray:
+        """Symbols left of each sequence.
 
         All sequences lie behind one another in one flat array. Each round
         finds the lowest rank of every sequence and applies that merge at all
         its places at once; a sequence without a merge leaves the arrays.
         """
-        lists = [self.symbols(p) for p in pretoken_list]
         counts = np.array([len(x) for x in lists], np.int64)
         out = counts.copy()
         sym = np.array([s for x in lists for s in x], np.int64)

@@ -1,6 +1,8 @@
 """Token counts, pieces and token files against the tokenizers library on whole texts."""
 
 import os
+import random
+import time
 import zlib
 
 import numpy as np
@@ -36,6 +38,24 @@ def test_simultaneous_merging_of_runs():
         assert table.surviving([word])[0] == len(library(word))
 
 
+def test_long_pretokens_by_buckets_of_ranks():
+    rng, count = random.Random(3), token_counts.counter(PATH).count
+    texts = ["".join(rng.choice(["the", "inter", "nation", "al", "of", "a", "zz", "q"]) for _ in range(rng.randrange(60, 900))) for _ in range(40)]
+    texts += ["a" * n for n in (199, 200, 201, 202, 777, 30_000)] + ["ab" * 500, "a" * 300 + " " + "thethe" * 80]
+    assert count(texts) == [len(library(t)) for t in texts]
+    table = token_counts.counter(PATH).table
+    lists = [table.symbols(t) for t in texts if " " not in t]
+    assert (table._merged_in_buckets(lists) == table._merged_in_rounds(lists)).all()
+
+
+def test_a_million_letters_take_seconds():
+    rng = random.Random(1)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    start = time.process_time()
+    n = token_counts.counter(PATH).count([text])[0]
+    assert time.process_time() - start < 10 and n == len(library(text))
+
+
 @pytest.fixture(scope="module")
 def odd_docs(spark):
     long = "The quick brown fox. " * 30_000
