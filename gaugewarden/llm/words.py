@@ -155,7 +155,8 @@ class LibraryEncoder:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
-        self.words, self.chunks = Recent(CACHE_ENTRIES // 2), _Chunks(self, CACHE_ENTRIES)
+        self.words, self.chunks = Recent(CACHE_ENTRIES // 2), _Chunks(self, CACHE_ENTRIES // 2)
+        self.plain = _Pretokens(self, CACHE_ENTRIES)
 
     def word(self, p: str) -> bytes:
         ids = array("I", [t.id for t in self.model.tokenize(p)]).tobytes()
@@ -170,10 +171,37 @@ class LibraryEncoder:
         return b"".join([known[p] or self.word(p) for p in pretokens(chunk, self.tokenizer)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.words.turn()
-        self.chunks.turn()
-        # one call looks up all chunks of a text and works out the unknown ones on the way
-        return [b"".join(itemgetter(*chunks(t), "")(self.chunks)) for t in texts]
+        for cache in (self.words, self.chunks, self.plain):
+            cache.turn()
+        return [self._text(t) for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        # one call looks up all parts of a text and works out the unknown ones on the way
+        if "<|" not in text and (text.isascii() or not BEYOND.search(text)) and text.replace("\n", " ").isprintable():
+            # nothing but plain letters, digits and signs: the pattern finds all pre-tokens of the text at once
+            return b"".join(itemgetter(*PRETOKEN.findall(text.lower()), "", "")(self.plain))
+        return b"".join(itemgetter(*chunks(text), "")(self.chunks))
+
+
+class _Pretokens(Recent):
+    """Ids of pre-tokens as the pattern finds them."""
+
+    def __init__(self, encoder: LibraryEncoder, entries: int):
+        super().__init__(entries)
+        self.encoder = encoder
+
+    def __missing__(self, pretoken: str) -> bytes:
+        ids = self.old.get(pretoken)
+        if ids is None:
+            if pretoken.isascii():
+                spelt = pretoken
+            else:
+                letters = byte_letters()
+                spelt = "".join([letters[b] for b in pretoken.encode()])
+            ids = array("I", [t.id for t in self.encoder.model.tokenize(spelt)]).tobytes() if spelt else b""
+        if len(pretoken) <= LONG_CHUNK:
+            self[pretoken] = ids
+        return ids
 
 
 class _Chunks(Recent):
