@@ -21,9 +21,9 @@ TOP = 2_000
 #: Bytes that end a piece: . , ; : ! ? and line breaks.
 SPLIT = b".,;:!?\n\x0b\x0c\r"
 #: Words of one automaton of a task.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 #: Text per range; cut points are read from a bounded sample, which decides on balance and not on results.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 MAX_RANGES = 1 << 20
 SAMPLE_DOCS = 4_000
 PATHS_PER_RANGE = 50
@@ -166,7 +166,10 @@ def best_phrases(weights: DataFrame, max_words: int = MAX_WORDS, min_count: int
             "lang", "a", F.explode(F.transform(F.sequence(F.lit(1), F.col("size") - F.col("m") + 1), lambda i: _joined(words, i, F.col("m")))).alias("phrase"))
         around = inner.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
         scored = scored.join(around, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < 50 * F.col("a"))).drop("longer")
-    best = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # the best of each of SALTS shares of a group hold the best of the group, so no task ranks more than SALTS * top rows of it
+    shares = W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order)
+    heads = scored.withColumn("rank", F.row_number().over(shares)).where(F.col("rank") <= top)
+    ranked = heads.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     totals = weights.where("size = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -19,6 +19,8 @@ from .ngrams import trigram_counts, trigrams
 DIMS = 1 << 14
 #: Bound of the rows per language that centroids and rejection distances are fitted on.
 SAMPLE_PER_LANGUAGE = 600
+#: Languages learned at most; each takes a few centroids in every task.
+MOST_LANGUAGES = 1_000
 #: Stated rate of false rejections: the share of cuts of a language's sample texts that its bound leaves out.
 FALSE_REJECTIONS = 1 / 2000
 #: Cuts per language and size that each bound is read from.
@@ -87,17 +89,19 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
 
 
 def fit_languages(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", centroids: int = 4,
-                  sample: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
+                  sample: int = SAMPLE_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
     """Learn from the rows of ``train`` with text and language.
 
     Document frequencies count every row. The sample of a language is drawn by
-    the hash of the key: about ``sample`` rows, all rows if there are fewer.
-    Rejection bounds come from a second sample, drawn by another hash.
+    the hash of the key: about ``sample`` rows, all rows if there are fewer, and
+    one text of rows that share a key (or have none). Of more than ``most_languages`` values the most
+    frequent are learned. Rejection bounds come from a second sample, drawn by another hash.
     The driver gets one row per language and trigram bucket, never texts.
     """
     rows = train.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         "text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    sizes = {r.lang: r.n for r in counts.collect()}
     if not sizes:
         return LanguageModel(np.ones(DIMS, np.float32), [], np.zeros((0, DIMS), np.float32), np.zeros((0, len(CUT_SIZES))))
 
@@ -119,10 +123,11 @@ def fit_languages(train: DataFrame, key: str = "doc_id", text: str = "text", lan
 
     def drawn(seed: int) -> DataFrame:
         place = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit(seed)), F.lit(1 << 30))
-        return rows.where(place < share[F.col("lang")] * (1 << 30)).groupBy("lang")
+        texts = rows.where(place < share[F.col("lang")] * (1 << 30)).groupBy("lang", "key").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        return texts.groupBy("lang")
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        counts = [trigram_counts(t, DIMS, True) for t in part["text"]]
+        counts = [trigram_counts(t, DIMS, True) for t in part.sort_values(["key", "text"])["text"]]
         x = np.stack([model.vector(c) for c in counts if c.any()] or [np.zeros(DIMS)])
         if not x.any():
             return pd.DataFrame({"lang": [], "centroid": []})

@@ -100,17 +100,19 @@ def softmax_regression(x: np.ndarray, y: np.ndarray, n: int, penalty: float = 1e
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain",
                 sample: int = SAMPLE_ROWS) -> DomainModel | None:
-    """Fit on at most about ``sample`` labelled rows, drawn by the hash of the key; ``labelled`` has ``key`` and ``domain``.
+    """Fit on at most ``sample`` labelled texts, drawn by the hash of the key; ``labelled`` has ``key`` and ``domain``.
 
     Null keys, texts and domains are left out; of a key's several labels the
-    smallest counts. None without labelled texts.
+    smallest counts, of its several texts the one with the smallest hash, so a
+    key that many rows share adds one text. None without labelled texts.
     """
     labels = labelled.select(F.col(key).alias("key"), F.col(domain).alias("domain")).where("key IS NOT NULL AND domain IS NOT NULL")
     labels = labels.groupBy("key").agg(F.min("domain").alias("domain"))
     chosen = labels.orderBy(F.xxhash64(F.col("key").cast("string"), F.lit(11)), "key").limit(sample)
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
     rows = F.broadcast(chosen)  # at most `sample` keys and names
-    joined = texts.join(rows, "key").select(F.col("key").cast("string"), "domain", "text")
+    joined = texts.join(rows, "key").groupBy(F.col("key").cast("string").alias("key"), "domain").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def described(batches):
         for batch in batches:

@@ -179,20 +179,28 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, width: int = 3, text: s
         F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_groups(docs: DataFrame, threshold: int = 2, width: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+def first_of_groups(docs: DataFrame, threshold: int = 2, width: int = 3, text: str = "text", key: str = "doc_id",
+                    written: bool = False) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group of linked texts the smallest ``key`` stays.
 
     Null keys come last; of rows that repeat a key the first written one stays.
+    ``written`` says that ``docs`` is one folder of Parquet files as it was read: then file and
+    position name the rows. Otherwise they are written first, as rows need names that a second look finds again.
     """
-    place = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"))
-    rows = stage_table(docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text"), place.alias("__place")),
-                       "near-duplicate-input")
+    if written:
+        row = F.struct(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("file"), F.col("_metadata.row_index").alias("at"))
+    else:
+        row = F.struct(F.monotonically_increasing_id().alias("at"))
+    place = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), row.alias("row"))
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"), F.col(text).alias("__text"), place.alias("__place"))
+    rows = rows if written else stage_table(rows, "near-duplicate-input")
     gone = near_duplicates(rows, threshold, width, "__text", "__place").where("__place != component_id").select("__place.row")
-    gone = stage_table(gone.withColumn("bucket", F.pmod("row", F.lit(BUCKETS))), "near-duplicate-rows")
+    bucket = F.pmod(F.xxhash64("row"), F.lit(BUCKETS))
+    gone = stage_table(gone.withColumn("bucket", bucket), "near-duplicate-rows")
     # only rows in a bucket with a dropped one are shuffled; there are BUCKETS numbers at most to send to all tasks
     buckets = F.broadcast(gone.select("bucket").distinct())
-    marked = rows.withColumn("__bucket", F.pmod("__place.row", F.lit(BUCKETS)))
+    marked = rows.select("__row", F.col("__place.row").alias("row")).withColumn("__bucket", bucket)
     met = F.col("__bucket") == F.col("bucket")
     alone = marked.join(buckets, met, "left_anti")
-    kept = marked.join(buckets, met, "left_semi").join(gone.select("row"), F.col("__place.row") == F.col("row"), "left_anti")
-    return alone.unionByName(kept).select("__row.*")
+    kept = marked.join(buckets, met, "left_semi").join(gone.select("row"), "row", "left_anti")
+    return alone.select("__row").unionByName(kept.select("__row")).select("__row.*")

@@ -37,7 +37,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, key: str, tex
     """
     keys = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k")).distinct().orderBy(
         F.xxhash64(F.col("k").cast("string")), "k").limit(sample_docs)
-    chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(keys), "k", "left_semi").select("text")
+    chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(keys), "k", "left_semi").groupBy("k").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text")).select("text")  # one text of a key that many rows share
 
     def serialised(batches):
         for batch in batches:

@@ -151,3 +151,13 @@ def test_near_duplicates_with_crowded_groups(spark):
     stay = simhash.first_of_groups(df)
     assert stay.schema == df.schema and sorted(r.doc_id for r in stay.collect()) == sorted(smallest.values())
     assert simhash.near_duplicates(df.limit(0)).count() == simhash.first_of_groups(df.limit(0)).count() == 0
+
+
+def test_rows_of_a_written_table_are_named_by_file_and_position(spark, tmp_path):
+    rows = [(i % 50 if i % 3 else None, f"some words {i % 17} here and there {i % 17} and more of {i % 17}") for i in range(300)]
+    path = str(tmp_path / "docs")
+    docs(spark, rows).repartition(5).write.parquet(path)
+    table = spark.read.parquet(path)
+    stay = simhash.first_of_groups(table, written=True)
+    assert stay.schema == table.schema
+    assert sorted(map(str, stay.collect())) == sorted(map(str, simhash.first_of_groups(table).collect()))

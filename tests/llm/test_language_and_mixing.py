@@ -130,3 +130,31 @@ def test_mixing_odd_rows(spark):
     for none in (mixing.mixture(df.limit(0), labels), mixing.sampled(df.limit(0), labels)):
         assert none.count() == 0
     assert mixing.mixture(df, labels.limit(0)).count() == len(ODD)
+
+
+@pytest.mark.parametrize("hot", [0, None])
+def test_samples_take_one_text_of_a_key_with_a_third_of_the_rows(spark, hot, monkeypatch):
+    """What reaches the fit is bounded by the sample and not by the rows of a key, null included."""
+    words = ["le", "la", "maison", "the", "house", "und", "das", "haus"]
+    rows = [(hot if i % 3 == 0 else i, " ".join(words[(i + j * j) % 8] for j in range(12)), "fr" if i % 2 else "de") for i in range(30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8).cache()
+    seen = spark.sparkContext.accumulator(0)
+    fit = language_id.spherical_kmeans
+
+    def counted(x, k, rounds=15):
+        seen.add(len(x))
+        return fit(x, k, rounds)
+
+    monkeypatch.setattr(language_id, "spherical_kmeans", counted)
+    model = language_id.fit_languages(df, sample=200)
+    assert sorted(set(model.languages)) == ["de", "fr"] and 150 < seen.value < 600
+    assert set(language_id.fit_languages(df, sample=200, most_languages=1).languages) == {"de"}
+    tell, seen = mixing.telling_words, spark.sparkContext.accumulator(0)
+
+    def told(texts, *rest):
+        seen.add(len(texts))
+        return tell(texts, *rest)
+
+    monkeypatch.setattr(mixing, "telling_words", told)
+    model = mixing.fit_domains(df, df.select("doc_id", F.when(F.col("doc_id") % 4 < 2, "high").otherwise("low").alias("domain")), sample=300)
+    assert set(model.domains) == {"high", "low"} and 200 < seen.value <= 300
