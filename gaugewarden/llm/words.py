@@ -19,6 +19,9 @@ DIGIT = "0-9²³¹¼-¾"
 SPACE = "\\t-\\r \\x85\\xa0"
 PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+")
 
+#: A comma or full stop next to another sign, with which it would be one pre-token.
+BESIDE_SIGN = re.compile(f"[.,](?:[^{SPACE}{LETTER}{DIGIT}]|(?<=[^{SPACE}{LETTER}{DIGIT}][.,]))")
+
 SPECIAL = re.compile("|".join(map(re.escape, SPECIALS)))
 #: Above these characters lower-casing and composing depend on more than the single character.
 BEYOND = re.compile("[^\x00-į]")
@@ -178,31 +181,37 @@ class LibraryEncoder:
     def _text(self, text: str) -> bytes:
         # one call looks up all parts of a text and works out the unknown ones on the way
         if "<|" not in text and (text.isascii() or not BEYOND.search(text)) and text.replace("\n", " ").isprintable():
-            # nothing but plain letters, digits and signs: the pattern finds all pre-tokens of the text at once
-            return b"".join(itemgetter(*PRETOKEN.findall(text.lower()), "", "")(self.plain))
+            # nothing but plain letters, digits and signs
+            low = text.lower()
+            if BESIDE_SIGN.search(low):
+                parts = PRETOKEN.findall(low)
+            else:  # most chunks are then a word or a sign; few go through the pattern
+                parts = low.replace(",", " , ").replace(".", " . ").split()
+            return b"".join(itemgetter(*parts, "", "")(self.plain))
         return b"".join(itemgetter(*chunks(text), "")(self.chunks))
 
 
 class _Pretokens(Recent):
-    """Ids of pre-tokens as the pattern finds them."""
+    """Ids of plain chunks in lower case, of one pre-token or several."""
 
     def __init__(self, encoder: LibraryEncoder, entries: int):
         super().__init__(entries)
         self.encoder = encoder
 
-    def __missing__(self, pretoken: str) -> bytes:
-        ids = self.old.get(pretoken)
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
         if ids is None:
-            if pretoken.isascii():
-                spelt = pretoken
-            else:
-                letters = byte_letters()
-                spelt = "".join([letters[b] for b in pretoken.encode()])
-            ids = array("I", [t.id for t in self.encoder.model.tokenize(spelt)]).tobytes() if spelt else b""
-        if len(pretoken) <= LONG_CHUNK:
-            self[pretoken] = ids
+            ids = b"".join([self.work_out(p) for p in ([chunk] if chunk.isalpha() else PRETOKEN.findall(chunk))])
+        if len(chunk) <= LONG_CHUNK:
+            self[chunk] = ids
         return ids
 
+    def work_out(self, pretoken: str) -> bytes:
+        if not pretoken.isascii():
+            letters = byte_letters()
+            pretoken = "".join([letters[b] for b in pretoken.encode()])
+        return array("I", [t.id for t in self.encoder.model.tokenize(pretoken)]).tobytes()
+
 
 class _Chunks(Recent):
     def __init__(self, encoder: LibraryEncoder, entries: int):
