@@ -6,6 +6,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a batch of rows on its way to a Python worker, which holds it several times over.
+BATCH_BYTES = 8 << 20
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own. ``shared``: folder for scratch tables."""
     builder = (
@@ -29,6 +33,14 @@ def share_package(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in batches of at most ``BATCH_BYTES``, however long they are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "")
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
 
