@@ -6,7 +6,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import scratch_path, share_package
+from ..session import bound_batches, scratch_path, share_package
 from . import centroids, collocations, decontamination, encode, exact_dedup, language_id, mixing, packing, secret_scan, simhash, token_counts, token_files, vector_dedup, warc
 
 #: Vocabulary the queries use; the operators take any path.
@@ -21,6 +21,7 @@ ORACLES: dict[str, str] = {}
 def query(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         share_package(spark)
+        bound_batches(spark)
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = run
