@@ -36,8 +36,8 @@ def share_package(spark: SparkSession) -> None:
 def bound_batches(spark: SparkSession) -> None:
     """Hand texts to Python workers in batches of at most ``BATCH_BYTES``, however long they are."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "")
-    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+    now = spark.conf.get(name).rstrip("b")
+    if now.lstrip("-").isdigit() and not 0 < int(now) <= BATCH_BYTES:  # what a user has set in other units stays
         spark.conf.set(name, str(BATCH_BYTES))
 
 
