@@ -14,13 +14,13 @@ from gaugewarden.llm import mixing, queries, words
 from .test_duplicates import normalised, plain_fingerprint, roots
 
 PATH = public_tokenizers.path(queries.VOCABULARY)
-TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_agrees_with_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf_dir)
     wanted = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLES[name]})")
