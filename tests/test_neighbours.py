@@ -138,3 +138,22 @@ def test_attached_values_come_from_the_day(spark):
     active = spark.createDataFrame([(1, D, 1, 3), (1, D, 2, 2)], "station_id int, day date, rank int, neighbour_id int")
     out = neighbours.attach_active_neighbours(df, active, ["TN"], 2).filter("station_id = 1").first()
     assert (out["TN_0"], out["TN_1"]) == (3.0, 2.0)
+
+
+def test_long_stretches_meet_few_measured_days(spark):
+    """A row per span of days, not per day, and never sent to all tasks: the driver holds nothing that grows with a station's life."""
+    end = D + timedelta(days=30_000)
+    stretches = spark.createDataFrame([(1, D, D + timedelta(days=9_999), "a"), (1, D + timedelta(days=10_000), end, "b"), (2, D, D, "c")],
+                                      "station_id long, seg_start date, seg_end date, near string")
+    days = [(1, D), (1, D + timedelta(days=9_999)), (1, D + timedelta(days=10_000)), (1, end), (1, end + timedelta(days=1)), (2, D), (3, D)]
+    met = neighbours._days_within(spark.createDataFrame(days, "station_id long, day date"), stretches)
+    assert rows(met, "station_id", "day", "near") == sorted(((s, d, n) for (s, d), n in zip(days, "aabb-c-") if n != "-"), key=repr)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    df = spark.createDataFrame([(s, d) for s in range(6) for d in (D, D + timedelta(days=9_000), end)], "station_id long, day date")
+    places = spark.createDataFrame([(s, float(s * s), 0.0) for s in range(6)], "station_id long, Lambert93x double, Lambert93y double")
+    active = neighbours.active_neighbours_daily(df, places, 2, 1)
+    assert "sequence(seg_start#" not in active._jdf.queryExecution().executedPlan().toString()
+    near = {0: [1, 2], 1: [0, 2], 2: [1, 0], 3: [2, 4], 4: [3, 5], 5: [4, 3]}
+    assert rows(active, "station_id", "day", "rank", "neighbour_id") == sorted(
+        ((s, d, r + 1, n) for s in range(6) for d in (D, D + timedelta(days=9_000)) for r, n in enumerate(near[s])), key=repr)
