@@ -280,3 +280,20 @@ def test_unprepared_tables_are_refused(spark):
     with pytest.raises(ValueError):
         DETECTORS["isolationForest"].train(df, ["ETP"], True, 1)
     assert raw("ETP") == "ETP_origine"
+
+
+def test_samples_are_sent_packed_and_scores_take_whole_trees_in_turn(spark):
+    """Large nodes cost no copies of the samples; groups of trees give the scores of one pass without a row per row and tree."""
+    df, key = spark.createDataFrame(measured()), ["station_id", "day"]
+    forests = [isoforest.Forest(("ETP_origine", "GLOT_origine", "day_sin"), 6, 0.5), isoforest.Forest(("day_cos", "ETP_origine"), 5, 64, 1)]
+    rows, places = isoforest._features(df, forests, key, 42, {})
+    trees = {t: [0] for _, t in isoforest._owners(forests)}
+    packed = isoforest._packed_samples(rows.coalesce(1), forests, places, [300, 64], 600, trees, {}).toPandas()
+    assert len(packed) == 11 and (packed["rows"].map(len) == packed["n"] * 8).all()
+    nodes = isoforest.grow_forests(df, forests, key, task_rows=50)
+    cases = [("a", forests[0], 0, 6), ("b", forests[0], 0, 2), ("c", forests[1], 1, 5)]
+    most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0]
+    whole = isoforest.add_scores(df, nodes, cases, 600).toPandas().sort_values(key)
+    groups = isoforest.add_scores(df, nodes, cases, 600, sent_nodes=most)
+    assert not any("rows-past-tops" in f for f in groups.inputFiles()) and any("forest-passes" in f for f in groups.inputFiles())
+    np.testing.assert_allclose(whole[["a", "b", "c"]].to_numpy(), groups.toPandas().sort_values(key)[["a", "b", "c"]].to_numpy(), rtol=1e-12)
