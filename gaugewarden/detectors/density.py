@@ -142,14 +142,21 @@ def _walk(levels: list[DataFrame], eps: list[float], enough: int, largest: bool,
 
 
 def _visits(rows: DataFrame, base: DataFrame, doubt: DataFrame, extra: list[str]) -> DataFrame:
-    """Every leaf's own points with its base, then the points of the leaves it must see."""
-    names = ["id", "w", "x", *extra]
+    """Every leaf's own points with its base."""
     itself = doubt.filter("a = cell").select("a", F.lit(False).alias("settled"))
     own = rows.withColumnRenamed("cell", "a").join(base, "a", "left").join(itself, "a", "left").select(
-        "a", F.lit(False).alias("visitor"), *names, "base", F.coalesce("settled", F.lit(True)).alias("settled"))
-    guests = rows.join(doubt.filter("a <> cell"), "cell").select(
-        "a", F.lit(True).alias("visitor"), *names, F.lit(None).cast("array<long>").alias("base"), F.lit(False).alias("settled"))
-    return own.unionByName(guests).withColumnRenamed("a", "leaf").repartition("leaf").sortWithinPartitions("leaf", "visitor")
+        F.col("a").alias("leaf"), "id", "w", "x", *extra, "base", F.coalesce("settled", F.lit(True)).alias("settled"))
+    return own.repartition("leaf").sortWithinPartitions("leaf")
+
+
+def _guests(rows: DataFrame, found: DataFrame, doubt: DataFrame, enough: int, value: str, name: str) -> DataFrame:
+    """The points of every leaf, then those of other leaves that are short of ``enough`` after their own and must see it."""
+    short = rows.join(found.filter(F.exists(name, lambda v: v < enough)), "id").withColumnRenamed("cell", "a")
+    hosts = rows.select(F.col("cell").alias("leaf"), F.lit(False).alias("visitor"), "id", "x", value, F.lit(None).cast("array<long>").alias("start"))
+    guests = short.join(doubt.filter("a <> cell"), "a").select(
+        F.col("cell").alias("leaf"), F.lit(True).alias("visitor"), "id", "x", F.lit(None).cast(rows.schema[value].dataType).alias(value),
+        F.col(name).alias("start"))
+    return hosts.unionByName(guests).repartition("leaf").sortWithinPartitions("leaf", "visitor")
 
 
 class _Leaf:
@@ -168,7 +175,8 @@ class _Leaf:
             self.ids.append(ids[o])
             self.x.append(x[o])
             start = value[o] if self.largest else np.zeros((len(o), len(self.eps2)), np.int64)
-            self.found.append(np.maximum(start, base) if self.largest else start + base)
+            given = base[o] if base.ndim == 2 else base
+            self.found.append(np.maximum(start, given) if self.largest else start + given)
 
     def look(self, x, value):
         """Compare own blocks with a batch, nearest blocks of it first; a block within reach as a whole only gives its sum or largest value."""
@@ -213,35 +221,56 @@ class _Leaf:
 
 
 def _search(visits: DataFrame, eps: list[float], enough: int, given: str | None, name: str) -> DataFrame:
+    """What points find among those of their own leaf."""
+
+    def start(own):
+        leaf = _Leaf(eps, enough, given is not None)
+        x = np.stack(own["x"].to_numpy())
+        value = np.stack(own[given].to_numpy()) if given else own[["w"]].to_numpy()
+        base = own["base"].iat[0]
+        leaf.own(own["id"].to_numpy(), x, value, np.zeros(len(eps), np.int64) if base is None else np.asarray(base))
+        if not own["settled"].iat[0]:  # else its own box has given all that is to give
+            leaf.look(x, value)
+        return leaf.close(name)
+
     def run(batches):
-        at, leaf, waiting = None, None, []
+        at, waiting = None, []
+        for batch in batches:
+            for key, rows in batch.groupby("leaf", sort=True):
+                if key != at and waiting:  # all own points are there
+                    yield start(pd.concat(waiting))
+                    waiting = []
+                at = key
+                waiting.append(rows)
+        if waiting:
+            yield start(pd.concat(waiting))
 
-        def start(own):
-            x = np.stack(own["x"].to_numpy())
-            value = np.stack(own[given].to_numpy()) if given else own[["w"]].to_numpy()
-            base = own["base"].iat[0]
-            leaf.own(own["id"].to_numpy(), x, value, np.zeros(len(eps), np.int64) if base is None else np.asarray(base))
-            if not own["settled"].iat[0]:  # else its own box has given all that is to give
-                leaf.look(x, value)
+    return visits.mapInPandas(run, f"id long, {name} array<long>")
+
+
+def _search_abroad(visits: DataFrame, eps: list[float], enough: int, value: str, largest: bool, name: str) -> DataFrame:
+    """What guests find in the leaves they see, besides what they came with."""
 
+    def run(batches):
+        at, x, given, waiting = None, None, None, []
         for batch in batches:
             for (key, visitor), rows in batch.groupby(["leaf", "visitor"], sort=True):
-                if key != at or (visitor and waiting):
-                    if waiting:  # all own points are there
-                        start(pd.concat(waiting))
-                        waiting = []
                 if key != at:
-                    if leaf is not None and leaf.ids:
-                        yield leaf.close(name)
-                    at, leaf = key, _Leaf(eps, enough, given is not None)
+                    at, x, waiting = key, None, []
                 if not visitor:
                     waiting.append(rows)
-                elif leaf.ids:
-                    leaf.look(np.stack(rows["x"].to_numpy()), np.stack(rows[given].to_numpy()) if given else rows[["w"]].to_numpy())
-        if waiting:
-            start(pd.concat(waiting))
-        if leaf is not None and leaf.ids:
-            yield leaf.close(name)
+                    continue
+                if x is None:
+                    hosts = pd.concat(waiting)
+                    x, waiting = np.stack(hosts["x"].to_numpy()), []
+                    given = np.stack(hosts[value].to_numpy()) if largest else hosts[[value]].to_numpy().astype(np.int64)
+                leaf, start = _Leaf(eps, enough, largest), np.stack(rows["start"].to_numpy())
+                leaf.own(np.arange(len(rows)), np.stack(rows["x"].to_numpy()), start, start)
+                leaf.look(x, given)
+                found = leaf.close(name)
+                at_rows = found["id"].to_numpy()
+                more = np.stack(found[name].to_numpy()) - (0 if largest else np.minimum(start[at_rows], enough))
+                yield pd.DataFrame({"id": rows["id"].to_numpy()[at_rows], name: list(more)})
 
     return visits.mapInPandas(run, f"id long, {name} array<long>")
 
@@ -263,8 +292,14 @@ def density_reach(df: DataFrame, cols: list[str], eps: list[float] | float, enou
 
     def searched(rows: DataFrame, value: list, given: str | None, name: str) -> DataFrame:
         levels = _boxes(rows, len(cols), depth, value, given is not None)
-        visits = _visits(rows, *_walk(levels, eps, enough, given is not None, sent_cells), [given] if given else [])
-        return _search(visits, eps, enough, given, name)
+        base, doubt = _walk(levels, eps, enough, given is not None, sent_cells)
+        home = stage_table(_search(_visits(rows, base, doubt, [given] if given else []), eps, enough, given, name), "density-home")
+        if not depth:
+            return home
+        abroad = _search_abroad(_guests(rows, home, doubt, enough, given or "w", name), eps, enough, given or "w", given is not None, name)
+        gather = F.max if given else F.sum
+        each = [F.least(gather(F.element_at(name, i + 1)), F.lit(enough).cast("long")) for i in range(len(eps))]
+        return home.unionByName(abroad).groupBy("id").agg(F.array(*each).alias(name))
 
     counts = searched(rows, [F.sum("w")] * len(eps), None, "counts")
     counted = stage_table(rows.join(counts, "id"), "density-counts")

@@ -297,3 +297,22 @@ def test_samples_are_sent_packed_and_scores_take_whole_trees_in_turn(spark):
     groups = isoforest.add_scores(df, nodes, cases, 600, sent_nodes=most)
     assert not any("rows-past-tops" in f for f in groups.inputFiles()) and any("forest-passes" in f for f in groups.inputFiles())
     np.testing.assert_allclose(whole[["a", "b", "c"]].to_numpy(), groups.toPandas().sort_values(key)[["a", "b", "c"]].to_numpy(), rtol=1e-12)
+
+
+def test_only_points_short_of_neighbours_see_other_leaves(spark):
+    pdf = points("crowd", 3, 400)
+    p, cols = pdf.to_numpy(), list(pdf.columns)
+    eps = [1.2, 0.8]
+    for enough in (6, 10 ** 6):
+        got = np.stack(reach_of(spark, pdf, eps, enough, leaf_points=40))
+        for i, e in enumerate(eps):
+            assert (got[:, i] == np.minimum(brute_reach(p, e)[1], enough)).all()
+    raw_rows = spark.createDataFrame(pdf).select(F.array(*cols).alias("x"), F.lit(1).cast("long").alias("w"), F.monotonically_increasing_id().alias("id"))
+    cells, depth = density._with_cells(raw_rows, density._axes(raw_rows, 3), 40, 2_000)
+    levels = density._boxes(cells, 3, depth, [F.sum("w")], False)
+    base, doubt = density._walk(levels, [1.2], 6, False, 2_000)
+    home = density._search(density._visits(cells, base, doubt, []), [1.2], 6, None, "counts").cache()
+    short = home.filter(F.col("counts")[0] < 6).count()
+    seen = density._guests(cells, home, doubt, 6, "w", "counts")
+    assert 0 < short < 200 and seen.filter("visitor").select("id").distinct().count() <= short
+    assert seen.filter("not visitor").count() == 400
