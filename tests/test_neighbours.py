@@ -3,7 +3,9 @@ from datetime import date, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from gaugewarden.functions import quick_round
 from gaugewarden.operators import neighbours
 
 from .conftest import rows
@@ -63,6 +65,46 @@ def test_pairs_within_a_radius(spark):
     assert rows(got, "station_id", "other_id") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("kind", ["spread", "copies", "town", "line"])
+def test_pairs_of_blocks_are_exact(spark, monkeypatch, kind):
+    """Blocks of a few stations, ids that repeat or are unknown and places that are unknown or no number."""
+    monkeypatch.setattr(neighbours, "BLOCK", 7, raising=False)
+    pdf = stations(150, 6, kind)
+    pdf["station_id"] = pdf["station_id"] % 140
+    pdf["h"] = np.arange(150.0)
+    data = [tuple(v.item() for v in r) for r in pdf.to_records(index=False)] + [
+        (None, 0.0, 0.0, 1.0), (900, None, 0.0, 1.0), (901, 0.0, float("nan"), 1.0)]
+    got = neighbours.pairwise_distance(
+        spark.createDataFrame(data, "station_id long, Lambert93x double, Lambert93y double, h double"), 50.0, attrs=["h"])
+    assert got.columns == ["station_id", "other_id", "km", "h", "other_h"]
+    want = []
+    for i, x, y, h in data[:150]:
+        for j, u, v, g in data[:150]:
+            if i != j and (km := float(np.sqrt((x - u) * (x - u) + (y - v) * (y - v)) / 1000)) <= 50.0:
+                want.append((i, j, km, h, g))
+    assert rows(got, *got.columns) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("kind", ["copies", "town"])
+def test_pairs_spread_over_tasks(spark, monkeypatch, kind):
+    """The pairs of a crowded place are made by many tasks, as many as the pairs ask for."""
+    monkeypatch.setattr(neighbours, "BLOCK", 32, raising=False)
+    monkeypatch.setattr(neighbours, "TASK_PAIRS", 10_000, raising=False)
+    got = neighbours.pairwise_distance(spark.createDataFrame(stations(1200, 7, kind)), 50.0)
+    by_task = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(by_task) >= 8 and max(by_task) < sum(by_task) / 4
+
+
+def test_quick_round_is_round(spark):
+    rng = np.random.default_rng(1)
+    values = np.concatenate([rng.uniform(-100, 100, 20_000), rng.uniform(-1e13, 1e13, 500), rng.uniform(-1e-5, 1e-5, 500),
+                             (rng.integers(-10**9, 10**9, 5_000) * 2 + 1) / 2e6, rng.integers(-10**6, 10**6, 500) / 1e6])
+    odd = [None, float("nan"), float("inf"), float("-inf"), -0.0, 0.0, 5e-7, -5e-7, 1e300, 999999.9999995]
+    df = spark.createDataFrame([(v,) for v in [*values.tolist(), *odd]], "v double")
+    both = df.select("v", quick_round("v", 6).alias("a"), F.round("v", 6).alias("b"))
+    assert both.filter(~F.col("a").eqNullSafe(F.col("b"))).collect() == []
+
+
 def test_neighbour_lags_need_exactly_one_match(spark):
     df = spark.createDataFrame([(1, D, 1.0), (1, D + timedelta(days=3), 2.0), (2, D, 5.0), (2, D + timedelta(days=2), 6.0),
                                 (2, D + timedelta(days=2), 7.0)], "station_id int, day date, TN double")
