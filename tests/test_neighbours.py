@@ -95,6 +95,28 @@ def test_pairs_spread_over_tasks(spark, monkeypatch, kind):
     assert len(by_task) >= 8 and max(by_task) < sum(by_task) / 4
 
 
+@pytest.mark.parametrize("kind", ["spread", "copies", "line"])
+def test_strips_of_blocks_are_exact(spark, monkeypatch, kind):
+    """Both orders of every pair once, whether a strip is full, the rest of a block or one station."""
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    monkeypatch.setattr(neighbours, "STRIP", 3, raising=False)
+    pdf = stations(130, 8, kind)
+    got = neighbours.pairwise_distance(spark.createDataFrame(pdf), 70.0)
+    want = sorted(((i, j, km) for i, near in brute(pdf, 129).items() for j, km in near if km <= 70.0), key=repr)
+    got = rows(got, "station_id", "other_id", "km")
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    np.testing.assert_allclose([r[2] for r in got], [r[2] for r in want])
+
+
+def test_written_pairs_are_small(spark, tmp_path):
+    """Ids in runs and repeated distances: 5.5 bytes a row here, and 8.2 with the orders in turn."""
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"station_id": np.arange(4000), "Lambert93x": rng.uniform(0, 150e3, 4000), "Lambert93y": rng.uniform(0, 150e3, 4000)})
+    neighbours.pairwise_distance(spark.createDataFrame(pdf), 50.0).write.parquet(str(tmp_path / "pairs"))
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert size / spark.read.parquet(str(tmp_path / "pairs")).count() < 6.5
+
+
 def test_quick_round_is_round(spark):
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.uniform(-100, 100, 20_000), rng.uniform(-1e13, 1e13, 500), rng.uniform(-1e-5, 1e-5, 500),
