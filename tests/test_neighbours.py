@@ -221,3 +221,29 @@ def test_long_stretches_meet_few_measured_days(spark):
     near = {0: [1, 2], 1: [0, 2], 2: [1, 0], 3: [2, 4], 4: [3, 5], 5: [4, 3]}
     assert rows(active, "station_id", "day", "rank", "neighbour_id") == sorted(
         ((s, d, r + 1, n) for s in range(6) for d in (D, D + timedelta(days=9_000)) for r, n in enumerate(near[s])), key=repr)
+
+
+def test_pairs_without_a_radius_are_all_pairs(spark, monkeypatch):
+    """Every two stations in both orders, however far; ids that repeat or are unknown and places that are unknown."""
+    monkeypatch.setattr(neighbours, "BLOCK", 10)
+    monkeypatch.setattr(neighbours, "STRIP", 3)
+    monkeypatch.setattr(neighbours, "TASK_PAIRS", 1000)
+    pdf = stations(110, 10, "town")
+    pdf["station_id"] = pdf["station_id"] % 100
+    data = [tuple(v.item() for v in r) for r in pdf.to_records(index=False)] + [(None, 0.0, 0.0), (900, None, 0.0), (901, 1.0, None)]
+    df = spark.createDataFrame(data, "station_id long, Lambert93x double, Lambert93y double")
+    got = neighbours.pairwise_distance(df)
+    want = [(i, j, None if None in (x, y, u, v) else float(np.sqrt((x - u) * (x - u) + (y - v) * (y - v)) / 1000))
+            for i, x, y in data for j, u, v in data if None not in (i, j) and i != j]
+    assert rows(got, "station_id", "other_id", "km") == sorted(want, key=repr)
+    by_task = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(by_task) >= 4 and max(by_task) < len(want) / 2
+    assert neighbours.pairwise_distance(df.limit(0)).count() == 0
+
+
+def test_the_registered_distances_have_no_radius(spark, sf_dir):
+    from gaugewarden import fixtures
+    from gaugewarden.catalogue import QUERIES
+
+    n = fixtures.stations(spark, sf_dir).count()
+    assert QUERIES["pairwise_distance"](spark, sf_dir).count() == n * (n - 1)
