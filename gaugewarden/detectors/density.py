@@ -1,19 +1,21 @@
 """Density noise: points with too few neighbours that are also near no dense point.
 
-Equal points are folded into one weighted point. The points are turned to
-their principal axes, which leaves distances as they are, and the space is cut
-along the leading axes into a tree of cells whose leaves hold about equal numbers
-of points. Cells are kept as tables: their cuts, bounding boxes in all
-dimensions and the weight inside. Every leaf walks down the tree of cells: one
+Equal points are folded into one weighted point. The space is cut into a tree
+of cells whose leaves hold about equal numbers of points: each cell in two
+across the dimension in which it is widest, as a sample shows, and where leaves
+are too many for that, on along the leading principal axes. Cells are kept as tables: their
+bounding boxes in all dimensions and the weight inside. Every leaf walks down the tree of cells: one
 that is within reach as a whole adds its weight without a look at its points,
-one out of reach is left, and only the points of leaves that remain in doubt are sent to
-it. There points compare in small blocks by the same rule, and a point stops
-looking once it has enough neighbours at every distance.
+one out of reach is left, and a point still short of neighbours is sent to the leaves
+in doubt whose boxes it reaches itself. There it meets small blocks by the same rule, and stops
+looking once it has enough neighbours at every distance. Distances come from products of
+matrices, and those too close to a limit for that again by the plain formula.
 """
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.evaluate import confusion_counts, metrics_from_counts, select_best_candidate
 from ..operators.scale import standardise
@@ -21,9 +23,17 @@ from ..session import stage_table
 from ..sources.writers import append_run_log
 
 LEAF_POINTS = 8_192
-BLOCK = 256
+BLOCK = 128
 AXES = 3
 SLACK = 1e-9
+#: Distances from products closer than this to a limit, as a share of the squares that went in, are taken again.
+CLOSE = 1e-12
+#: Visiting points are compared so many at a time; each looks into so many blocks of its own choice, nearest first.
+VISITORS = 4_096
+NEAREST = 2
+#: Sampled points per leaf that show where to cut, and the levels into which the cuts are gathered.
+SAMPLE_PER_LEAF = 64
+SAMPLED_LEVELS = 3
 #: Cells of a level whose cuts or boxes are sent to all tasks; more of them meet the rows by a salted join.
 SENT_CELLS = 2_000
 SALTS = 32
@@ -49,33 +59,87 @@ def _axes(points: DataFrame, width: int) -> np.ndarray:
     return np.linalg.eigh(cov)[1][:, ::-1][:, :min(AXES, width)]
 
 
+def _cuts(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Dimension (-1 at a leaf), cut and first child of the nodes of a tree whose leaves hold at most ``most`` of the points; and their paths."""
+    dim, cut, child, path, held = [-1], [0.0], [0], [""], [np.arange(len(x))]
+    for node, rows in enumerate(held):  # grows while it is read
+        if len(rows) <= most:
+            continue
+        own = x[rows]
+        k = int(np.argmax(own.var(axis=0)))
+        values = own[:, k]
+        middle = np.median(values)
+        if not middle < values.max():  # the larger half is one value
+            middle = values[values < middle].max(initial=-np.inf)
+        left = values <= middle
+        if not left.any() or left.all():
+            continue
+        dim[node], cut[node], child[node] = k, float(middle), len(held)
+        for side, part in (("0", left), ("1", ~left)):
+            dim.append(-1), cut.append(0.0), child.append(0), path.append(path[node] + side), held.append(rows[part])
+    return np.array(dim), np.array(cut), np.array(child), path
+
+
+def _sampled_cells(points: DataFrame, n: int, leaf_points: int, sent_cells: int) -> tuple[DataFrame, int, int]:
+    """Points with the ``cell`` of a tree cut as a sample shows, the depth of its paths and the number of its leaves."""
+    leaves = min(-(-n // leaf_points), sent_cells)
+    if leaves < 2:
+        return points.withColumn("cell", F.lit("")), 0, 1
+    share = min(1.0, SAMPLE_PER_LEAF * leaves / n)
+    picked = points.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= int(share * (1 << 20)))
+    x = _matrix(picked.select("x").toArrow().column("x").combine_chunks())
+    dim, cut, child, path = _cuts(x, max(1, len(x) // leaves))
+    if len(dim) == 1:
+        return points.withColumn("cell", F.lit("")), 0, 1
+    # paths of one depth: as many steps to a level as it takes
+    each = -(-max(map(len, path)) // SAMPLED_LEVELS)
+    names = pa.array(["/".join(p[i * each:(i + 1) * each] or "-" for i in range(SAMPLED_LEVELS)) for p in path])
+
+    def place(batches):
+        for batch in batches:
+            x, at = _matrix(batch.column("x")), np.zeros(len(batch), np.int64)
+            active = np.arange(len(batch))
+            while len(active):
+                here = at[active]
+                inner = dim[here] >= 0
+                active, here = active[inner], here[inner]
+                at[active] = child[here] + ~(x[active, dim[here]] <= cut[here])
+            yield batch.append_column("cell", names.take(pa.array(at)))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
+    rows = stage_table(points.mapInArrow(place, f"{kinds}, cell string"), "density-cells")
+    return rows, SAMPLED_LEVELS, int((dim < 0).sum())
+
+
 def _with_cells(points: DataFrame, axes: np.ndarray, leaf_points: int, sent_cells: int) -> tuple[DataFrame, int]:
     """Points with ``cell``, the path of their leaf in the tree of cells, and the tree's depth.
 
-    Each level cuts its cells at quantiles of the next axis, so leaves hold about
-    equally many points; how exact the quantiles are is no matter to the result.
-    The cuts are a table, which the points meet by the path of their cell.
+    Up to ``sent_cells`` leaves come from a sample. Where more are needed, each level
+    cuts its cells at quantiles of the next axis, so leaves hold about
+    equally many points; how exact the cuts are is no matter to the result.
+    These cuts are a table, which the points meet by the path of their cell.
     """
-    parts = max(1, -(-points.count() // leaf_points))
+    n = points.count()
+    rows, depth, cells = _sampled_cells(points, n, leaf_points, sent_cells)
+    parts = max(1, -(-n // leaf_points) // cells if cells > 1 else -(-n // leaf_points))
     per_axis = max(1, round(parts ** (1 / axes.shape[1])))
     fractions = [(i + 1) / per_axis for i in range(per_axis - 1)]
-    rows = points.withColumn("cell", F.lit(""))
     if not fractions:
-        return rows, 0
+        return rows, depth
     salt = F.pmod("id", F.lit(SALTS)).cast("int").alias("salt")
     for level, axis in enumerate(axes.T):
         at = sum((F.element_at("x", i + 1) * float(v) for i, v in enumerate(axis)), F.lit(0.0))
         cuts = rows.groupBy("cell").agg(F.array_sort(F.array_distinct(F.percentile_approx(at, fractions, 1_000))).alias("cuts"))
         cuts = stage_table(cuts, "density-cuts")
-        if per_axis ** level <= sent_cells:
+        if cells * per_axis ** level <= sent_cells:
             met = rows.join(F.broadcast(cuts), "cell")
         else:
             copies = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
             met = rows.withColumn("salt", salt).join(copies, ["cell", "salt"])
-        child = F.size(F.filter("cuts", lambda c: c < at))  # noqa: B023
-        rows = stage_table(met.select(F.concat_ws("/", F.nullif("cell", F.lit("")), child.cast("string")).alias("cell"), *points.columns),
+        below = F.size(F.filter("cuts", lambda c: c < at))  # noqa: B023
+        rows = stage_table(met.select(F.concat_ws("/", F.nullif("cell", F.lit("")), below.cast("string")).alias("cell"), *points.columns),
                            "density-cells")
-    return rows, axes.shape[1]
+    return rows, depth + axes.shape[1]
 
 
 def _boxes(rows: DataFrame, width: int, depth: int, value: list, largest: bool) -> list[DataFrame]:
@@ -104,7 +168,7 @@ def _within_and_beyond(low_a, high_a, low_b, high_b, eps2):
 
 
 def _walk(levels: list[DataFrame], eps: list[float], enough: int, largest: bool, sent_cells: int) -> tuple[DataFrame, DataFrame]:
-    """(a, base): what whole cells give the points of leaf ``a`` at each distance; and (a, cell): leaves in doubt whose points ``a`` must see.
+    """(a, base): what whole cells give the points of leaf ``a`` at each distance; and (a, cell, low, high): leaves in doubt that ``a`` must see, with their boxes.
 
     Leaves that have enough from whole cells at every distance see nothing more.
     """
@@ -138,7 +202,7 @@ def _walk(levels: list[DataFrame], eps: list[float], enough: int, largest: bool,
         base = stage_table(base, "density-base")
         full = base.filter(F.forall("base", lambda v: v >= enough)).select("a")
         doubt = decided.filter(~F.col("settled")).select("a", "cell").join(full, "a", "left_anti")
-    return base, doubt
+    return base, doubt.join(leaves.select("cell", "low", "high"), "cell")
 
 
 def _visits(rows: DataFrame, base: DataFrame, doubt: DataFrame, extra: list[str]) -> DataFrame:
@@ -149,130 +213,231 @@ def _visits(rows: DataFrame, base: DataFrame, doubt: DataFrame, extra: list[str]
     return own.repartition("leaf").sortWithinPartitions("leaf")
 
 
-def _guests(rows: DataFrame, found: DataFrame, doubt: DataFrame, enough: int, value: str, name: str) -> DataFrame:
-    """The points of every leaf, then those of other leaves that are short of ``enough`` after their own and must see it."""
+def _guests(rows: DataFrame, found: DataFrame, doubt: DataFrame, enough: int, value: str, name: str,
+            eps: list[float] = (), width: int = 0) -> DataFrame:
+    """The points of every leaf, then those of other leaves that are short of ``enough`` after their own and must see it.
+
+    With ``eps`` a point of ``width`` dimensions sees only the leaves whose boxes are within a distance at which it is short.
+    """
     short = rows.join(found.filter(F.exists(name, lambda v: v < enough)), "id").withColumnRenamed("cell", "a")
     hosts = rows.select(F.col("cell").alias("leaf"), F.lit(False).alias("visitor"), "id", "x", value, F.lit(None).cast("array<long>").alias("start"))
-    guests = short.join(doubt.filter("a <> cell"), "a").select(
+    met = short.join(doubt.filter("a <> cell"), "a")
+    if eps:
+        limits = [F.when(F.element_at(name, i + 1) < enough, e * e * (1 + SLACK)).otherwise(-1.0) for i, e in enumerate(eps)]
+        met = met.filter(_gap("x", "low", "high", width) <= F.array_max(F.array(*limits)))
+    guests = met.select(
         F.col("cell").alias("leaf"), F.lit(True).alias("visitor"), "id", "x", F.lit(None).cast(rows.schema[value].dataType).alias(value),
         F.col(name).alias("start"))
     return hosts.unionByName(guests).repartition("leaf").sortWithinPartitions("leaf", "visitor")
 
 
-class _Leaf:
-    """Own points of a leaf and, per distance, what they have found: summed weights, or the largest count of a neighbour."""
-
-    def __init__(self, eps: list[float], enough: int, largest: bool):
-        self.eps2 = np.array(eps) ** 2
-        self.enough, self.largest = enough, largest
-        self.ids, self.x, self.found = [], [], []
-
-    def own(self, ids, x, value, base):
-        # blocks of points that lie together: sorted along the widest dimension
-        order = np.argsort(x[:, np.argmax(x.max(axis=0) - x.min(axis=0))], kind="stable")
-        for i in range(0, len(order), BLOCK):
-            o = order[i:i + BLOCK]
-            self.ids.append(ids[o])
-            self.x.append(x[o])
-            start = value[o] if self.largest else np.zeros((len(o), len(self.eps2)), np.int64)
-            given = base[o] if base.ndim == 2 else base
-            self.found.append(np.maximum(start, given) if self.largest else start + given)
-
-    def look(self, x, value):
-        """Compare own blocks with a batch, nearest blocks of it first; a block within reach as a whole only gives its sum or largest value."""
-        order = np.argsort(x[:, np.argmax(x.max(axis=0) - x.min(axis=0))], kind="stable")
-        blocks = [order[i:i + BLOCK] for i in range(0, len(order), BLOCK)]
-        low, high = (np.array([f(x[b], axis=0) for b in blocks]) for f in (np.min, np.max))
-        whole = np.array([value[b].max(axis=0) if self.largest else np.full(len(self.eps2), value[b].sum()) for b in blocks])
-        for k, a in enumerate(self.x):
-            short = np.flatnonzero((self.found[k] < self.enough).any(axis=1))
-            if not len(short):
+def _gap(x: str, low: str, high: str, width: int) -> Column:
+    """Squared distance of points from boxes."""
+    at = lambda i: [F.element_at(c, i + 1) for c in (x, low, high)]
+    gaps = [F.greatest(F.lit(0.0), lo - v, v - hi) for v, lo, hi in map(at, range(width))]
+    return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
+
+
+def _matrix(lists) -> np.ndarray:
+    """Lists of equal length as the rows of a matrix."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _lists(matrix: np.ndarray) -> pa.Array:
+    """Rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1], np.ascontiguousarray(matrix).ravel())
+
+
+def _runs(batches, *keys: str):
+    """(values of ``keys``, rows) of neighbouring rows that agree in them."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        ends = np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values])) + 1
+        for i, j in zip([0, *ends], [*ends, len(batch)]):
+            yield tuple(v[i] for v in values), batch.slice(i, j - i)
+
+
+class _Hosts:
+    """Points of a leaf in blocks that lie together; others look among them for neighbours."""
+
+    def __init__(self, x: np.ndarray, value: np.ndarray, eps: list[float], enough: int, largest: bool):
+        self.eps2, self.enough, self.largest = np.array(eps) ** 2, enough, largest
+        self.order, self.ends = self._together(x)
+        self.x, self.value = x[self.order], value[self.order]
+        with np.errstate(invalid="ignore"):
+            centre = self.x.mean(axis=0)
+        self.centre = np.where(np.isfinite(centre), centre, 0.0)
+        self.moved, self.squares = self._moved(self.x)
+        starts = np.r_[0, self.ends[:-1]]
+        self.blocks = list(zip(starts, self.ends))
+        self.low, self.high = np.minimum.reduceat(self.x, starts), np.maximum.reduceat(self.x, starts)
+        self.whole = (np.maximum if largest else np.add).reduceat(self.value, starts)
+        self.ones = not largest and bool((self.value == 1).all())
+
+    @staticmethod
+    def _together(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order of points and the ends of its blocks: halves across the widest dimension, again and again."""
+        todo, order, ends, n = [np.arange(len(x))], [], [], 0
+        while todo:
+            rows = todo.pop()
+            if len(rows) > BLOCK:
+                own = x[rows]
+                across = own[:, np.argmax(own.max(axis=0) - own.min(axis=0))]
+                half = len(rows) // 2
+                parted = rows[np.argpartition(across, half)]
+                todo += [parted[half:], parted[:half]]
                 continue
-            low_a, high_a = a[short].min(axis=0), a[short].max(axis=0)
-            within, beyond = _within_and_beyond(low_a, high_a, low, high, self.eps2)
-            settled = (within | beyond).all(axis=1)
-            for j in np.flatnonzero(settled & within.any(axis=1)):
-                given = np.where(within[j], whole[j], 0)
-                self.found[k][short] = np.maximum(self.found[k][short], given) if self.largest else self.found[k][short] + given
-            open_ = np.flatnonzero(~settled)
-            gap = np.maximum(0, np.maximum(low[open_] - high_a, low_a - high[open_]))
-            for j in open_[np.argsort((gap * gap).sum(axis=1), kind="stable")]:
-                short = short[(self.found[k][short] < self.enough).any(axis=1)]
-                if not len(short):
-                    break
-                self._compare(k, short, x[blocks[j]], value[blocks[j]])
-
-    def _compare(self, k, rows, y, value):
-        d = self.x[k][rows][:, None, :] - y[None, :, :]
-        d2 = d[..., 0] * d[..., 0]
-        for i in range(1, d.shape[2]):  # in this order the sums are those of the plain formula
-            d2 = d2 + d[..., i] * d[..., i]
+            order.append(rows)
+            n += len(rows)
+            ends.append(n)
+        return np.concatenate(order), np.array(ends)
+
+    def _moved(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        moved = x - self.centre
+        return moved, np.einsum("ij,ij->i", moved, moved)
+
+    def at_home(self, found: np.ndarray) -> np.ndarray:
+        """What the hosts have found, in their own order given and returned, after a look among themselves."""
+        own = found[self.order]
+        for k, (i, j) in enumerate(self.blocks):
+            rows = i + np.flatnonzero((own[i:j] < self.enough).any(axis=1))
+            if len(rows):
+                self._compare(self.x, self.moved, self.squares, own, rows, k)
+        short = np.flatnonzero((own < self.enough).any(axis=1))
+        if len(short):
+            rest = own[short]
+            self.look(self.x[short], rest, np.searchsorted(self.ends, short, side="right"))
+            own[short] = rest
+        out = np.empty_like(own)
+        out[self.order] = own
+        return out
+
+    def look(self, x: np.ndarray, found: np.ndarray, seen: np.ndarray | None = None) -> None:
+        """Adds to ``found`` what points find here, but for the block each has seen already."""
+        for i in range(0, len(x), VISITORS):
+            part = slice(i, i + VISITORS)
+            self._look(x[part], found[part], None if seen is None else seen[part])
+
+    def _look(self, x, found, seen):
+        near, far = np.zeros((2, len(x), len(self.blocks)))
+        for d in range(x.shape[1]):
+            above, below = self.low[:, d] - x[:, d, None], x[:, d, None] - self.high[:, d]
+            gap = np.maximum(0, np.maximum(above, below))
+            near += gap * gap
+            # what lies behind a block's far side is its extent beyond the near one
+            span = np.maximum(np.abs(above), np.abs(below))
+            far += span * span
+        within = [far <= limit * (1 - SLACK) for limit in self.eps2]
+        beyond = [near > limit * (1 + SLACK) for limit in self.eps2]
+        open_ = ~np.logical_and.reduce([w | b for w, b in zip(within, beyond)])
+        if seen is not None:
+            open_[np.arange(len(x)), seen] = False
+        for e, w in enumerate(within):
+            given = w & ~open_
+            if seen is not None:
+                given[np.arange(len(x)), seen] = False
+            if self.largest:
+                found[:, e] = np.maximum(found[:, e], np.where(given, self.whole[:, e], 0).max(axis=1))
+            elif given.any():
+                found[:, e] += given @ self.whole[:, min(e, self.whole.shape[1] - 1)]
+        moved, squares = self._moved(x)
+        reach = [near <= limit * (1 + SLACK) for limit in self.eps2]
+        wanted = lambda rows: np.logical_or.reduce([
+            reach[e][rows] & (found[rows, e] < self.enough)[:, None] for e in range(len(self.eps2))])
+        for _ in range(min(NEAREST, len(self.blocks))):
+            rows = np.flatnonzero((found < self.enough).any(axis=1))
+            if not len(rows):
+                return
+            able = open_[rows] & wanted(rows)
+            first = np.where(able, near[rows], np.inf).argmin(axis=1)
+            rows, first = rows[able[np.arange(len(rows)), first]], first[able[np.arange(len(rows)), first]]
+            order = np.argsort(first, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(first[order])) + 1):
+                if len(part):
+                    self._compare(x, moved, squares, found, rows[part], first[part[0]])
+            open_[rows, first] = False
+        for k in range(len(self.blocks)):
+            short = found < self.enough
+            rows = np.flatnonzero(open_[:, k] & np.logical_or.reduce([reach[e][:, k] & short[:, e] for e in range(len(self.eps2))]))
+            if len(rows):
+                self._compare(x, moved, squares, found, rows, k)
+
+    def _compare(self, x, moved, squares, found, rows, k):
+        i, j = self.blocks[k]
+        d2 = squares[rows, None] + self.squares[i:j] - 2 * (moved[rows] @ self.moved[i:j].T)
+        size = squares[rows].max() + self.squares[i:j].max()
         for e, limit in enumerate(self.eps2):
             near = d2 <= limit
+            close = np.abs(d2 - limit) <= CLOSE * (size + limit)
+            if close.any():
+                a, b = np.nonzero(close)
+                d = x[rows[a]] - self.x[i + b]
+                exact = d[:, 0] * d[:, 0]
+                for c in range(1, d.shape[1]):  # in this order the sums are those of the plain formula
+                    exact = exact + d[:, c] * d[:, c]
+                near[a, b] = exact <= limit
             if self.largest:
-                best = np.where(near, value[None, :, e], 0).max(axis=1)
-                self.found[k][rows, e] = np.maximum(self.found[k][rows, e], best)
+                best = np.where(near, self.value[None, i:j, e], 0).max(axis=1)
+                found[rows, e] = np.maximum(found[rows, e], best)
             else:
-                self.found[k][rows, e] += near @ value[:, 0]
+                found[rows, e] += np.count_nonzero(near, axis=1) if self.ones else near @ self.value[i:j, 0]
 
-    def close(self, name: str) -> pd.DataFrame:
-        ids, found = np.concatenate(self.ids), np.minimum(np.concatenate(self.found), self.enough)
-        return pd.DataFrame({"id": ids, name: list(found)})
+
+def _values(rows: pa.Table, column: str, largest: bool) -> np.ndarray:
+    held = rows.column(column).combine_chunks()
+    return _matrix(held) if largest else held.to_numpy(zero_copy_only=False).reshape(-1, 1).astype(np.int64)
 
 
 def _search(visits: DataFrame, eps: list[float], enough: int, given: str | None, name: str) -> DataFrame:
     """What points find among those of their own leaf."""
 
     def start(own):
-        leaf = _Leaf(eps, enough, given is not None)
-        x = np.stack(own["x"].to_numpy())
-        value = np.stack(own[given].to_numpy()) if given else own[["w"]].to_numpy()
-        base = own["base"].iat[0]
-        leaf.own(own["id"].to_numpy(), x, value, np.zeros(len(eps), np.int64) if base is None else np.asarray(base))
-        if not own["settled"].iat[0]:  # else its own box has given all that is to give
-            leaf.look(x, value)
-        return leaf.close(name)
+        own = pa.Table.from_batches(own)
+        x, value = _matrix(own.column("x").combine_chunks()), _values(own, given or "w", given is not None)
+        base = own.column("base")[0].as_py()
+        base = np.zeros(len(eps), np.int64) if base is None else np.asarray(base)
+        found = np.maximum(value, base) if given else np.zeros((len(own), len(eps)), np.int64) + base
+        if not own.column("settled")[0].as_py():  # else its own box has given all that is to give
+            found = _Hosts(x, value, eps, enough, given is not None).at_home(found)
+        return pa.record_batch([own.column("id").combine_chunks(), _lists(np.minimum(found, enough))], names=["id", name])
 
     def run(batches):
         at, waiting = None, []
-        for batch in batches:
-            for key, rows in batch.groupby("leaf", sort=True):
-                if key != at and waiting:  # all own points are there
-                    yield start(pd.concat(waiting))
-                    waiting = []
-                at = key
-                waiting.append(rows)
+        for key, rows in _runs(batches, "leaf"):
+            if key != at and waiting:  # all own points are there
+                yield start(waiting)
+                waiting = []
+            at = key
+            waiting.append(rows)
         if waiting:
-            yield start(pd.concat(waiting))
+            yield start(waiting)
 
-    return visits.mapInPandas(run, f"id long, {name} array<long>")
+    return visits.mapInArrow(run, f"id long, {name} array<long>")
 
 
 def _search_abroad(visits: DataFrame, eps: list[float], enough: int, value: str, largest: bool, name: str) -> DataFrame:
     """What guests find in the leaves they see, besides what they came with."""
 
     def run(batches):
-        at, x, given, waiting = None, None, None, []
-        for batch in batches:
-            for (key, visitor), rows in batch.groupby(["leaf", "visitor"], sort=True):
-                if key != at:
-                    at, x, waiting = key, None, []
-                if not visitor:
-                    waiting.append(rows)
-                    continue
-                if x is None:
-                    hosts = pd.concat(waiting)
-                    x, waiting = np.stack(hosts["x"].to_numpy()), []
-                    given = np.stack(hosts[value].to_numpy()) if largest else hosts[[value]].to_numpy().astype(np.int64)
-                leaf, start = _Leaf(eps, enough, largest), np.stack(rows["start"].to_numpy())
-                leaf.own(np.arange(len(rows)), np.stack(rows["x"].to_numpy()), start, start)
-                leaf.look(x, given)
-                found = leaf.close(name)
-                at_rows = found["id"].to_numpy()
-                more = np.stack(found[name].to_numpy()) - (0 if largest else np.minimum(start[at_rows], enough))
-                yield pd.DataFrame({"id": rows["id"].to_numpy()[at_rows], name: list(more)})
-
-    return visits.mapInPandas(run, f"id long, {name} array<long>")
+        at, hosts, waiting = None, None, []
+        for (key, visitor), rows in _runs(batches, "leaf", "visitor"):
+            if key != at:
+                at, hosts, waiting = key, None, []
+            if not visitor:
+                waiting.append(rows)
+                continue
+            if hosts is None:
+                own = pa.Table.from_batches(waiting)
+                hosts, waiting = _Hosts(_matrix(own.column("x").combine_chunks()), _values(own, value, largest), eps, enough, largest), []
+            start = _matrix(rows.column("start"))
+            found = start.copy()
+            hosts.look(_matrix(rows.column("x")), found)
+            more = np.minimum(found, enough) - (0 if largest else np.minimum(start, enough))
+            yield pa.record_batch([rows.column("id"), _lists(more)], names=["id", name])
+
+    return visits.mapInArrow(run, f"id long, {name} array<long>")
 
 
 def density_reach(df: DataFrame, cols: list[str], eps: list[float] | float, enough: int, leaf_points: int = LEAF_POINTS,
@@ -296,7 +461,7 @@ def density_reach(df: DataFrame, cols: list[str], eps: list[float] | float, enou
         home = stage_table(_search(_visits(rows, base, doubt, [given] if given else []), eps, enough, given, name), "density-home")
         if not depth:
             return home
-        abroad = _search_abroad(_guests(rows, home, doubt, enough, given or "w", name), eps, enough, given or "w", given is not None, name)
+        abroad = _search_abroad(_guests(rows, home, doubt, enough, given or "w", name, eps, len(cols)), eps, enough, given or "w", given is not None, name)
         gather = F.max if given else F.sum
         each = [F.least(gather(F.element_at(name, i + 1)), F.lit(enough).cast("long")) for i in range(len(eps))]
         return home.unionByName(abroad).groupBy("id").agg(F.array(*each).alias(name))
