@@ -15,7 +15,7 @@ matrices, and those too close to a limit for that again by the plain formula.
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.evaluate import confusion_counts, metrics_from_counts, select_best_candidate
 from ..operators.scale import standardise
@@ -214,28 +214,53 @@ def _visits(rows: DataFrame, base: DataFrame, doubt: DataFrame, extra: list[str]
 
 
 def _guests(rows: DataFrame, found: DataFrame, doubt: DataFrame, enough: int, value: str, name: str,
-            eps: list[float] = (), width: int = 0) -> DataFrame:
+            eps: list[float] = ()) -> DataFrame:
     """The points of every leaf, then those of other leaves that are short of ``enough`` after their own and must see it.
 
-    With ``eps`` a point of ``width`` dimensions sees only the leaves whose boxes are within a distance at which it is short.
+    With ``eps`` a point sees only the leaves whose boxes are within a distance at which it is short.
     """
     short = rows.join(found.filter(F.exists(name, lambda v: v < enough)), "id").withColumnRenamed("cell", "a")
     hosts = rows.select(F.col("cell").alias("leaf"), F.lit(False).alias("visitor"), "id", "x", value, F.lit(None).cast("array<long>").alias("start"))
-    met = short.join(doubt.filter("a <> cell"), "a")
-    if eps:
-        limits = [F.when(F.element_at(name, i + 1) < enough, e * e * (1 + SLACK)).otherwise(-1.0) for i, e in enumerate(eps)]
-        met = met.filter(_gap("x", "low", "high", width) <= F.array_max(F.array(*limits)))
-    guests = met.select(
-        F.col("cell").alias("leaf"), F.lit(True).alias("visitor"), "id", "x", F.lit(None).cast(rows.schema[value].dataType).alias(value),
-        F.col(name).alias("start"))
+    seen = doubt.filter("a <> cell")
+    met = _reached(short, seen, eps, enough, name) if eps else short.join(seen, "a").select(
+        F.col("cell").alias("leaf"), "id", "x", F.col(name).alias("start"))
+    guests = met.select("leaf", F.lit(True).alias("visitor"), "id", "x", F.lit(None).cast(rows.schema[value].dataType).alias(value), "start")
     return hosts.unionByName(guests).repartition("leaf").sortWithinPartitions("leaf", "visitor")
 
 
-def _gap(x: str, low: str, high: str, width: int) -> Column:
-    """Squared distance of points from boxes."""
-    at = lambda i: [F.element_at(c, i + 1) for c in (x, low, high)]
-    gaps = [F.greatest(F.lit(0.0), lo - v, v - hi) for v, lo, hi in map(at, range(width))]
-    return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
+def _reached(short: DataFrame, doubt: DataFrame, eps: list[float], enough: int, name: str) -> DataFrame:
+    """The points of each leaf ``a`` once per leaf whose box they reach: the boxes come first, points pass in batches."""
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    boxes = doubt.select("a", F.lit(False).alias("point"), "cell", "low", "high", *[none(short, c) for c in ("id", "x", name)])
+    points = short.select("a", F.lit(True).alias("point"), *[none(doubt, c) for c in ("cell", "low", "high")], "id", "x", name)
+    limits = np.array(eps) ** 2 * (1 + SLACK)
+
+    def run(batches):
+        at, cells, waiting = None, None, []
+        for (key, point), rows in _runs(batches, "a", "point"):
+            if key != at:
+                at, cells, waiting = key, None, []
+            if not point:
+                waiting.append(rows)
+                continue
+            if cells is None and waiting:
+                own = pa.Table.from_batches(waiting)
+                cells, low, high = (own.column(c).combine_chunks() for c in ("cell", "low", "high"))
+                low, high, waiting = _matrix(low), _matrix(high), []
+            if cells is None:  # no leaf in doubt
+                continue
+            step = max(1, VISITORS * BLOCK // len(cells))
+            for part in (rows.slice(i, step) for i in range(0, len(rows), step)):
+                x, start = _matrix(part.column("x")), _matrix(part.column(name))
+                near = np.zeros((len(x), len(low)))
+                for d in range(x.shape[1]):
+                    gap = np.maximum(0, np.maximum(low[:, d] - x[:, d, None], x[:, d, None] - high[:, d]))
+                    near += gap * gap
+                i, j = map(pa.array, np.nonzero(near <= np.where(start < enough, limits, -1.0).max(axis=1)[:, None]))
+                yield pa.record_batch([cells.take(j), *(part.column(c).take(i) for c in ("id", "x", name))], names=["leaf", "id", "x", "start"])
+
+    met = boxes.unionByName(points).repartition("a").sortWithinPartitions("a", "point")
+    return met.mapInArrow(run, "leaf string, id long, x array<double>, start array<long>")
 
 
 def _matrix(lists) -> np.ndarray:
@@ -461,7 +486,7 @@ def density_reach(df: DataFrame, cols: list[str], eps: list[float] | float, enou
         home = stage_table(_search(_visits(rows, base, doubt, [given] if given else []), eps, enough, given, name), "density-home")
         if not depth:
             return home
-        abroad = _search_abroad(_guests(rows, home, doubt, enough, given or "w", name, eps, len(cols)), eps, enough, given or "w", given is not None, name)
+        abroad = _search_abroad(_guests(rows, home, doubt, enough, given or "w", name, eps), eps, enough, given or "w", given is not None, name)
         gather = F.max if given else F.sum
         each = [F.least(gather(F.element_at(name, i + 1)), F.lit(enough).cast("long")) for i in range(len(eps))]
         return home.unionByName(abroad).groupBy("id").agg(F.array(*each).alias(name))
