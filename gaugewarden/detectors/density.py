@@ -31,6 +31,8 @@ CLOSE = 1e-12
 #: Visiting points are compared so many at a time; each looks into so many blocks of its own choice, nearest first.
 VISITORS = 4_096
 NEAREST = 2
+#: A point short of neighbours looks into so many of the nearest other leaves before it is sent to the rest.
+NEAREST_LEAVES = 6
 #: Sampled points per leaf that show where to cut, and the levels into which the cuts are gathered.
 SAMPLE_PER_LEAF = 64
 SAMPLED_LEVELS = 3
@@ -214,21 +216,22 @@ def _visits(rows: DataFrame, base: DataFrame, doubt: DataFrame, extra: list[str]
 
 
 def _guests(rows: DataFrame, found: DataFrame, doubt: DataFrame, enough: int, value: str, name: str,
-            eps: list[float] = ()) -> DataFrame:
+            eps: list[float] = (), places: tuple[int, int | None] = (0, None)) -> DataFrame:
     """The points of every leaf, then those of other leaves that are short of ``enough`` after their own and must see it.
 
-    With ``eps`` a point sees only the leaves whose boxes are within a distance at which it is short.
+    With ``eps`` a point sees only the leaves whose boxes are within a distance at which it is short, and of
+    all leaves in doubt only those that come at such places in the order of their distance.
     """
     short = rows.join(found.filter(F.exists(name, lambda v: v < enough)), "id").withColumnRenamed("cell", "a")
     hosts = rows.select(F.col("cell").alias("leaf"), F.lit(False).alias("visitor"), "id", "x", value, F.lit(None).cast("array<long>").alias("start"))
     seen = doubt.filter("a <> cell")
-    met = _reached(short, seen, eps, enough, name) if eps else short.join(seen, "a").select(
+    met = _reached(short, seen, eps, enough, name, places) if eps else short.join(seen, "a").select(
         F.col("cell").alias("leaf"), "id", "x", F.col(name).alias("start"))
     guests = met.select("leaf", F.lit(True).alias("visitor"), "id", "x", F.lit(None).cast(rows.schema[value].dataType).alias(value), "start")
     return hosts.unionByName(guests).repartition("leaf").sortWithinPartitions("leaf", "visitor")
 
 
-def _reached(short: DataFrame, doubt: DataFrame, eps: list[float], enough: int, name: str) -> DataFrame:
+def _reached(short: DataFrame, doubt: DataFrame, eps: list[float], enough: int, name: str, places: tuple[int, int | None]) -> DataFrame:
     """The points of each leaf ``a`` once per leaf whose box they reach: the boxes come first, points pass in batches."""
     none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
     boxes = doubt.select("a", F.lit(False).alias("point"), "cell", "low", "high", *[none(short, c) for c in ("id", "x", name)])
@@ -244,7 +247,7 @@ def _reached(short: DataFrame, doubt: DataFrame, eps: list[float], enough: int,
                 waiting.append(rows)
                 continue
             if cells is None and waiting:
-                own = pa.Table.from_batches(waiting)
+                own = pa.Table.from_batches(waiting).sort_by("cell")  # so that equal distances always come in one order
                 cells, low, high = (own.column(c).combine_chunks() for c in ("cell", "low", "high"))
                 low, high, waiting = _matrix(low), _matrix(high), []
             if cells is None:  # no leaf in doubt
@@ -256,7 +259,12 @@ def _reached(short: DataFrame, doubt: DataFrame, eps: list[float], enough: int,
                 for d in range(x.shape[1]):
                     gap = np.maximum(0, np.maximum(low[:, d] - x[:, d, None], x[:, d, None] - high[:, d]))
                     near += gap * gap
-                i, j = map(pa.array, np.nonzero(near <= np.where(start < enough, limits, -1.0).max(axis=1)[:, None]))
+                able = near <= np.where(start < enough, limits, -1.0).max(axis=1)[:, None]
+                if places != (0, None):
+                    chosen = np.zeros(near.shape, bool)
+                    np.put_along_axis(chosen, near.argsort(axis=1, kind="stable")[:, places[0]:places[1]], True, axis=1)
+                    able &= chosen
+                i, j = map(pa.array, np.nonzero(able))
                 yield pa.record_batch([cells.take(j), *(part.column(c).take(i) for c in ("id", "x", name))], names=["leaf", "id", "x", "start"])
 
     met = boxes.unionByName(points).repartition("a").sortWithinPartitions("a", "point")
@@ -486,10 +494,17 @@ def density_reach(df: DataFrame, cols: list[str], eps: list[float] | float, enou
         home = stage_table(_search(_visits(rows, base, doubt, [given] if given else []), eps, enough, given, name), "density-home")
         if not depth:
             return home
-        abroad = _search_abroad(_guests(rows, home, doubt, enough, given or "w", name, eps), eps, enough, given or "w", given is not None, name)
         gather = F.max if given else F.sum
         each = [F.least(gather(F.element_at(name, i + 1)), F.lit(enough).cast("long")) for i in range(len(eps))]
-        return home.unionByName(abroad).groupBy("id").agg(F.array(*each).alias(name))
+
+        def after(found: DataFrame, places: tuple[int, int | None]) -> DataFrame:
+            guests = _guests(rows, found, doubt, enough, given or "w", name, eps, places)
+            abroad = _search_abroad(guests, eps, enough, given or "w", given is not None, name)
+            return found.unionByName(abroad).groupBy("id").agg(F.array(*each).alias(name))
+
+        if given:  # few are short by now
+            return after(home, (0, None))
+        return after(stage_table(after(home, (0, NEAREST_LEAVES)), "density-near"), (NEAREST_LEAVES, None))
 
     counts = searched(rows, [F.sum("w")] * len(eps), None, "counts")
     counted = stage_table(rows.join(counts, "id"), "density-counts")

@@ -316,3 +316,35 @@ def test_only_points_short_of_neighbours_see_other_leaves(spark):
     seen = density._guests(cells, home, doubt, 6, "w", "counts")
     assert 0 < short < 200 and seen.filter("visitor").select("id").distinct().count() <= short
     assert seen.filter("not visitor").count() == 400
+
+
+def test_points_see_only_leaves_that_their_own_place_reaches(spark):
+    """Nearest leaves first, then the others, none twice; and no leaf whose box is out of a point's reach."""
+    pdf = points("spread", 4, 600)
+    cols = list(pdf.columns)
+    rows = spark.createDataFrame(pdf).select(F.array(*cols).alias("x"), F.lit(1).cast("long").alias("w"), F.monotonically_increasing_id().alias("id"))
+    cells, depth = density._with_cells(rows, density._axes(rows, 4), 20, 2_000)
+    levels = density._boxes(cells, 4, depth, [F.sum("w")], False)
+    base, doubt = density._walk(levels, [0.8], 50, False, 2_000)
+    home = density._search(density._visits(cells, base, doubt, []), [0.8], 50, None, "counts").cache()
+    place = {r["id"]: (r["cell"], np.array(r["x"])) for r in cells.collect()}
+    box = {r["cell"]: (np.array(r["low"]), np.array(r["high"])) for r in levels[-1].collect()}
+    want = {(i, c) for i, (own, x) in place.items() for c, (low, high) in box.items()
+            if c != own and (np.maximum(0, np.maximum(low - x, x - high)) ** 2).sum() <= 0.64}
+    met = lambda places: [(r["id"], r["leaf"]) for r in density._guests(
+        cells, home, doubt, 50, "w", "counts", [0.8], places).filter("visitor").collect()]
+    every, first, rest = met((0, None)), met((0, 3)), met((3, None))
+    assert sorted(every) == sorted(want) == sorted(first + rest) and len(first) <= 3 * 600
+    assert len(want) < doubt.filter("a <> cell").count() * 20 / 2
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_distances_at_the_limit_count_as_the_plain_formula_has_it(spark, shift):
+    """A lattice, where many pairs are as far apart as ``eps`` to the last bit or the one before it."""
+    p = np.array([(i * 0.1 + shift, j * 0.1, k * 0.1) for i in range(9) for j in range(9) for k in range(9)])
+    pdf = pd.DataFrame(p, columns=["c0", "c1", "c2"])
+    got = np.stack(reach_of(spark, pdf, [0.1, 0.3], 10 ** 6, leaf_points=60))
+    for i, e in enumerate((0.1, 0.3)):
+        d = p[:, None, :] - p[None, :, :]
+        near = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2] <= e * e
+        assert (got[:, i] == np.where(near, near.sum(axis=1)[None, :], 0).max(axis=1)).all()
